@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records
+from . import memory_queries, records
 
-MODULES = (records,)
+MODULES = (records, memory_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
