@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import memory_queries, records
+from . import memory_queries, records, retrieval_queries
 
-MODULES = (records, memory_queries)
+MODULES = (records, memory_queries, retrieval_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.queries()["p4_found"](spark, sf_dir)
+    return retrieval_queries.queries()["hierarchical_retrieval"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,8 +35,6 @@ union all select 'action', action_id, parent_stage_id, {ACTION_TEXT} from {live(
 
 
 def queries() -> dict:
-    from pyspark.sql import functions as F
-
     return {
         "id_upsert_last_wins": lambda s, d: memory.live(s, d, "intents").select("intent_id", "canonical_intent", "domain_hint", "batch_no", "first_at"),
         "record_union": memory.nodes,
@@ -44,7 +42,7 @@ def queries() -> dict:
         "tree_flatten": memory.flatten_tree,
         "cascade_delete": memory.cascade,
         "fifo_prune": memory.overflow,
-        "index_manifest": lambda s, d: memory.manifest(s, d).select("record_type", "nodes", F.lit("ok").alias("state")),
+        "index_manifest": memory.manifest,
     }
 
 
@@ -68,5 +66,6 @@ def oracle_sql() -> dict[str, str]:
               row_number() over (partition by coalesce(domain_hint, '') order by first_at, intent_id) as place,
               (select count(*) from {live('intents')} j where coalesce(j.domain_hint, '') = coalesce(i.domain_hint, '')) as size
             from {live('intents')} i where coalesce(batch_no, 1) > 0) where place <= size - 50""",
-        "index_manifest": f"select record_type, count(*) as nodes, 'ok' as state from ({NODES}) group by 1",
+        "index_manifest": f"""select record_type, count(*) as nodes, sum(('0x' || substr(sha1(concat_ws(chr(1), node_id, coalesce(parent_id, ''), text)), 1, 12))::bigint)::varchar as fingerprint
+            from ({NODES}) group by 1""",
     }
