@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import memory_queries, records, retrieval_queries
+from . import maintenance_queries, memory_queries, records, retrieval_queries
 
-MODULES = (records, memory_queries, retrieval_queries)
+MODULES = (records, memory_queries, retrieval_queries, maintenance_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
