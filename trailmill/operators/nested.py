@@ -36,7 +36,7 @@ def flatten(df: DataFrame, key: Column, name: str = "root", carry: tuple[str, ..
     """
     out: dict[str, DataFrame] = {}
 
-    def walk(at: DataFrame, schema: T.StructType, path: str, own: list[str], nested: bool) -> None:
+    def walk(at: DataFrame, schema: T.StructType, path: str, own: list[str]) -> None:
         cols: list[Column] = [F.col(c) for c in own]
         handed: dict[str, Column] = {c: F.col(c) for c in own if c.startswith("up_")}
         if "_ordinal" in carry and "_ordinal" in own:
@@ -44,9 +44,9 @@ def flatten(df: DataFrame, key: Column, name: str = "root", carry: tuple[str, ..
         used = {c.lower() for c in own} | {"_id", "_parent", "_ordinal"}
         children: list[tuple[str, Column, T.DataType]] = []
 
-        def spread(s: T.StructType, prefix: str, of: Column | None) -> None:
+        def spread(s: T.StructType, prefix: str, of: Column) -> None:
             for f in s.fields:
-                c = F.col(f"`{f.name}`") if of is None else of.getField(f.name)
+                c = of.getField(f.name)
                 label = f"{prefix}{f.name}"
                 if isinstance(f.dataType, T.StructType):
                     spread(f.dataType, f"{label}_", c)
@@ -60,7 +60,7 @@ def flatten(df: DataFrame, key: Column, name: str = "root", carry: tuple[str, ..
                     used.add(label.lower())
                     cols.append(c.alias(label))
 
-        spread(schema, "", F.col("_row") if nested else None)
+        spread(schema, "", F.col("_row"))
         out[path] = at.select(*cols)
         for label, c, kind in children:
             up = [c.alias(k) for k, c in handed.items()]
@@ -69,9 +69,10 @@ def flatten(df: DataFrame, key: Column, name: str = "root", carry: tuple[str, ..
             if isinstance(kind, T.ArrayType):  # an array in an array is a level of its own
                 rows = rows.withColumn("_row", F.struct(F.col("_row").alias("items")))
                 kind = T.StructType([T.StructField("items", kind)])
-            walk(rows, kind, f"{path}.{label}", ["_id", "_parent", "_ordinal", *handed], True)
+            walk(rows, kind, f"{path}.{label}", ["_id", "_parent", "_ordinal", *handed])
 
-    walk(df.withColumn("_id", F.xxhash64(key)), df.schema, name, ["_id"], False)
+    rows = df.select(F.xxhash64(key).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    walk(rows, df.schema, name, ["_id"])
     return out
 
 
@@ -117,7 +118,7 @@ def merged_schema(rows: DataFrame, col: str) -> T.DataType:
 def id_of(get) -> Column:  # noqa: ANN001
     """The first id of an element that is neither null nor empty; ``get(path)`` gives text."""
     paths = [*ID_KEYS, *[f"attributes.{k}" for k in ATTRIBUTE_ID_KEYS]]
-    return F.coalesce(*[F.nullif(get(p), F.lit("")) for p in paths if get(p) is not None])
+    return F.coalesce(*[F.nullif(get(p), F.lit("")) for p in paths if get(p) is not None], F.lit(None).cast("string"))
 
 
 def _has(schema: T.DataType, path: str) -> bool:

@@ -37,6 +37,12 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
         yield rows
 
 
+def _none(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """The result without queries."""
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return queries.sparkSession.createDataFrame([], f"query_id {kind(queries, 'query_id')}, id {kind(items, 'id')}, score double, rank int")
+
+
 def best(scored: DataFrame, k: int, by: list[str], score: str = "score", item: str = "id") -> DataFrame:
     """The ``k`` best a query by (-score, id as text), with ``rank`` from 1."""
     w = W.partitionBy(*by).orderBy(F.desc(score), F.col(item).cast("string"))
@@ -93,9 +99,7 @@ def lexical_topk(queries: DataFrame, items: DataFrame, k: int = 5, block: int =
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {items.schema['id'].dataType.simpleString()}, score double"
         part = items.select("id", "tokens", *(["allow"] if blocked else [])).mapInPandas(run, kinds)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id string, id string, score double, rank int")
-    return best(out, k, ["query_id"])
+    return best(out, k, ["query_id"]) if out is not None else _none(queries, items)
 
 
 def dense_topk(queries: DataFrame, items: DataFrame, k: int = 5, block: int = QUERY_BLOCK, same_label: bool = False) -> DataFrame:
@@ -135,7 +139,7 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int = 5, block: int = QU
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {items.schema['id'].dataType.simpleString()}, score double"
         part = items.select("id", "vector", *cols).mapInPandas(run, kinds)
         out = part if out is None else out.unionByName(part)
-    return best(out, k, ["query_id"])
+    return best(out, k, ["query_id"]) if out is not None else _none(queries, items)
 
 
 def l2_normalize(v: Column) -> Column:
