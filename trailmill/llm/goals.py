@@ -39,19 +39,16 @@ FRAMING = re.compile(
     r"|\bthat is all\b|\bthat's all\b|\bfor me\b|\bthank you\b|\bmany thanks\b|\bwould like(?: you)? to\b"
     r"|\b(?:my goal|user request|goal|task|request|instruction)\s*:"
 )
-PHRASES = [  # everyday ways of saying the same thing; applied in this order
-    (re.compile(p), r)
-    for p, r in (
-        (r"\b(?:no|not) less than\b|\ba minimum of\b|\bminimum\b|\bor more\b", " least "),
-        (r"\b(?:no|not) more than\b|\ba maximum of\b|\bmaximum\b|\bup to\b|\bor less\b", " most "),
-        (r"\b(?:less|lower|cheaper|fewer) than\b|\bunder\b|\bbelow\b", " under "),
-        (r"\b(?:more|greater|higher) than\b|\bover\b|\babove\b", " over "),
-        (r"\b(?:open|go to|navigate to|visit|in|on|at)(?: the)? forum\b", " forum "),
-        (r"\b(?:look|search|looking|searching) for\b", " find "),
-        (r"\bform (?=#|from )", " "),
-        (r"\bsort(?:ing|ed)? by\b|\border(?:ing|ed)? by\b", " sort "),
-    )
-]
+PHRASES = (  # everyday ways of saying the same thing; the first that fits at a place counts
+    (r"(?:no|not) less than|a minimum of|minimum|or more", "least"),
+    (r"(?:no|not) more than|a maximum of|maximum|up to|or less", "most"),
+    (r"(?:less|lower|cheaper|fewer) than|under|below", "under"),
+    (r"(?:more|greater|higher) than|over|above", "over"),
+    (r"(?:open|go to|navigate to|visit|in|on|at)(?: the)? forum", "forum"),
+    (r"(?:look|search|looking|searching) for", "find"),
+    (r"form(?= #| from)", ""),
+    (r"(?:sort|sorting|sorted|order|ordering|ordered) by", "sort"),
+)
 SYNONYMS = {
     "book": "reserve", "hire": "rent", "persons": "people", "person": "people", "basket": "cart", "trolley": "cart",
     "purchase": "buy", "display": "show", "give": "assign", "allocate": "assign", "pick": "choose", "select": "choose",
@@ -61,7 +58,7 @@ SYNONYMS = {
     "flights": "flight", "put": "add", "tagged": "labelled", "labeled": "labelled", "authored": "written",
 }
 DROPPED = frozenset("written made posted leaving starting about regarding concerning change costing forum".split())
-OTHER_WORDS = frozenset("look search looking searching visit last list over above below minimum maximum no not less more than".split())
+OTHER_WORDS = frozenset("look search looking searching visit last list over above below minimum maximum no not less more than most least forum sort".split())
 # ------------------------------------------------------------------------------
 
 _ZERO_WIDTH = re.compile("[​-‏⁠﻿­]")
@@ -77,11 +74,14 @@ _MONEY = re.compile(
     r"(?:\$|\busd|\beur|€|£|\bus\$)\s*(\d[\d,]*(?:\.\d+)?)|(\d[\d,]*(?:\.\d+)?)\s*(?:us\s+)?(?:dollars?|usd|bucks|\$)"
 )
 _NUM_WORD = re.compile(r"\b(" + "|".join(_NUMBER) + r")\b")
+_PHRASE = re.compile(r"(?<!\S)(?:" + "|".join(f"({p})" for p, _ in PHRASES) + r")(?!\S)")
 _TOKEN = re.compile(r"[a-z0-9#]+(?:\.\d+)?")
 
 
 def plain(text: str) -> str:
     """Lower case, without accents and invisible characters, white space collapsed."""
+    if text.isascii():
+        return " ".join(text.lower().split())
     t = unicodedata.normalize("NFKD", text)
     t = "".join(c for c in t if not unicodedata.combining(c)).lower()
     return " ".join(_ZERO_WIDTH.sub("", t).split())
@@ -121,10 +121,12 @@ class Lexicon:
 
     ``common`` maps a word to the number of texts that hold it; it is counted
     over the whole corpus and only words over a share of all texts stay, so
-    its size has a bound (1 / share words per position of a text).
+    its size has a bound (1 / share words per position of a text).  ``usual``
+    are less common words that are too frequent for slips: they stay as they are.
     """
 
     common: dict[str, int] = field(default_factory=dict)
+    usual: frozenset[str] = frozenset()
     _memo: dict[str, str] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
@@ -137,7 +139,7 @@ class Lexicon:
 
     def right(self, w: str) -> str:
         """The common word that ``w`` is one slip away from, else ``w``."""
-        if w in self.known or len(w) < 3 or w[0].isdigit() or w[0] == "#":
+        if w in self.known or w in self.usual or len(w) < 3 or w[0].isdigit() or w[0] == "#":
             return w
         if (hit := self._memo.get(w)) is None:
             near = {
@@ -172,14 +174,13 @@ def canonical(text: str | None, lexicon: Lexicon | None = None) -> list[str] | N
     ws = words(text)
     if ws is None:
         return None
+    t = " ".join(ws)
     if lexicon is not None:
-        t = " ".join(lexicon.right(w) for w in ws)
-    else:
-        t = " ".join(ws)
-    t = _NUM_WORD.sub(lambda m: _NUMBER[m[1]], FRAMING.sub(" ", t))
-    for pattern, to in PHRASES:
-        t = pattern.sub(to, t)
-    ws = t.split()
+        known, right = lexicon.known, lexicon.right
+        fixed = " ".join([w if w in known else right(w) for w in ws])
+        if fixed != t:  # a slip put right may complete a phrase
+            t = _NUM_WORD.sub(lambda m: _NUMBER[m[1]], FRAMING.sub(" ", fixed))
+    ws = _PHRASE.sub(lambda m: PHRASES[m.lastindex - 1][1], t).split()
     starts: set[int] = set()
     for i, w in enumerate(ws):  # from A to B: the values that prepositions tell apart
         if w == "from":

@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 256
+#: Up to so many points an exhaustive search costs less than a walk; links are laid when a shard grows beyond.
+EXHAUSTIVE = 512
 
 
 class SmallWorld:
@@ -40,17 +42,28 @@ class SmallWorld:
             sims = np.concatenate([sims, np.take_along_axis(within, own, 1)], axis=1)
             order = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+            near = [i[s > -1.5] for i, s in zip(ids, sims, strict=True)]
+            found += near
             self.x = np.concatenate([self.x, block])
-            self.links = np.concatenate([self.links, np.full((n, self.width), -1, np.int32)])
-            self.fill = np.concatenate([self.fill, np.zeros(n, np.int32)])
-            for i in range(n):
-                ok = ids[i][sims[i] > -1.5]
-                found.append(ok)
-                for j in self._spread(base + i, ok):
-                    self._link(base + i, j)
-                    self._link(j, base + i)
+            if len(self.x) > EXHAUSTIVE:
+                self._lay(base, near)
         return found
 
+    def _lay(self, base: int, near: list[np.ndarray]) -> None:
+        """Links the points from ``base`` on; the first time, all points before them too."""
+        grow = len(self.x) - len(self.links)
+        self.links = np.concatenate([self.links, np.full((grow, self.width), -1, np.int32)])
+        self.fill = np.concatenate([self.fill, np.zeros(grow, np.int32)])
+        if grow > len(near):
+            sims = np.where(np.tri(base, k=-1, dtype=bool), self.x[:base] @ self.x[:base].T, -2.0)
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :24]
+            near = [o[sims[i, o] > -1.5] for i, o in enumerate(order)] + near
+            base = 0
+        for i, ok in enumerate(near, base):
+            for j in self._spread(i, ok):
+                self._link(i, j)
+                self._link(j, i)
+
     def _spread(self, i: int, near: np.ndarray) -> list[int]:
         """Neighbours that are not closer to one already taken than to the point: keeps the graph navigable."""
         taken: list[int] = []
@@ -82,9 +95,9 @@ class SmallWorld:
         n, b = len(self.x), len(q)
         if not n:
             return np.zeros((b, 0), np.int64), np.zeros((b, 0), np.float32)
-        if n <= 4 * beam:
+        if len(self.links) < n or n <= 4 * beam:
             sims = q @ self.x.T
-            ids = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+            ids = np.argpartition(-sims, beam - 1, axis=1)[:, :beam] if n > beam else np.tile(np.arange(n), (b, 1))
             return ids, np.take_along_axis(sims, ids, 1)
         rng = np.random.default_rng(self.seed)
         entry = np.unique(np.concatenate([[0], rng.integers(0, n, min(64, int(n**0.5)))]))
@@ -131,18 +144,18 @@ class SmallWorld:
             done[live] = np.take_along_axis(all_done, order, 1)
         return ids, sims
 
-    def tuned_beam(self, recall: float = 0.95, start: int = 16, probes: int = 64, top: int = 4) -> int:
+    def tuned_beam(self, recall: float = 0.95, start: int = 16, probes: int = 32, top: int = 4) -> int:
         """The least beam (doubled from ``start``) whose ``top`` answers reach ``recall`` of an exhaustive search."""
         n = len(self.x)
-        if n <= 4 * start:
+        if len(self.links) < n or n <= 4 * start:
             return start
         at = np.random.default_rng(self.seed + 1).choice(n, min(probes, n), replace=False)
         q = self.x[at]
         exact = np.sort(-(q @ self.x.T), axis=1)[:, :top]
         beam = start
-        while beam < n:
+        while 8 * beam < n:  # beyond, ``search`` looks at every point
             _, sims = self.search(q, beam)
             if np.mean(-np.sort(-sims, axis=1)[:, :top] <= exact + 1e-5) >= recall:
-                break
+                return beam
             beam *= 2
-        return beam
+        return n
