@@ -40,13 +40,14 @@ def representatives(rows: DataFrame, by: list[str], order: list[str]) -> DataFra
     return salted.join(whole, [*by, "_salt"]).drop("_salt")
 
 
-def lexicon(texts: DataFrame, col: str, share: float = 0.006, least: int = 5) -> Lexicon:
-    """The words in at least ``share`` of all texts, counted over all of them.
+def lexicon(texts: DataFrame, col: str, share: float = 0.006, least: int = 5, usual: float = 0.001) -> Lexicon:
+    """The words in at least ``share`` of all texts, counted over all of them, and those in ``usual`` of them.
 
-    What comes to the driver has a bound: words per text / ``share`` entries.
+    What comes to the driver has a bound: words per text / ``usual`` entries.
     """
     n = texts.count()
     word = F.explode(F.array_distinct(F.split(F.lower(F.col(col)), "[^a-z]+"))).alias("word")
     counts = texts.select(word).where(F.length("word") > 1).groupBy("word").count()
-    common = counts.where(F.col("count") >= max(least, int(share * n))).collect()
-    return Lexicon({r["word"]: r["count"] for r in common})
+    rows = counts.where(F.col("count") >= max(least - 1, int(usual * n))).collect()
+    common = {r["word"]: r["count"] for r in rows if r["count"] >= max(least, int(share * n))}
+    return Lexicon(common, frozenset(r["word"] for r in rows) - common.keys())

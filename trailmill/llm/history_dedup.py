@@ -113,10 +113,10 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenised(texts: DataFrame, words: Lexicon) -> DataFrame:
     """One row a text that has a canonical form: tokens, hash of its numbers, hash of its names."""
-    common = words.common
+    common, usual = words.common, words.usual
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(common)
+        lex = Lexicon(common, usual)
         for pdf in batches:
             rows = []
             for kind, batch, key, text in pdf.itertuples(index=False):

@@ -36,6 +36,7 @@ BITS = 24
 BUCKETS = 1 << 16
 TRAIN_DOCS = 120
 TRAIN_SENTENCES = 8
+MIN_STEPS = 60
 MIN_WORDS = 4
 MIN_KANA = 8
 SURE = 0.25
@@ -82,8 +83,8 @@ def codewords(n: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
     best, code = -1, np.ones((n, bits))
     for _ in range(400):
         c = rng.integers(0, 2, (n, bits)) * 2 - 1
-        if n > 1 and (np.abs(c.sum(0)) == n).any():
-            continue
+        same = np.flatnonzero(np.abs(c.sum(0)) == n) if n > 1 else []
+        c[rng.integers(0, n, len(same)), same] *= -1
         d = min((int((c[i] != c[j]).sum()) for i in range(n) for j in range(i)), default=bits)
         if d > best:
             best, code = d, c
@@ -128,7 +129,8 @@ def fit(sents: list[list[str]], labels: np.ndarray, langs: list[str], epochs: in
     freq = np.bincount(labels, minlength=len(langs)).astype(np.float32)
     weight = (len(labels) / np.maximum(freq, 1) / len(langs))[labels]
     rng = np.random.default_rng(3)
-    for epoch in range(epochs):
+    epochs = max(epochs, -(-MIN_STEPS * 512 // max(1, len(sents))))  # a small sample takes more rounds
+    for _ in range(min(epochs, MIN_STEPS)):
         order = rng.permutation(len(sents))
         for at in range(0, len(order), 512):
             block = order[at : at + 512]
