@@ -111,13 +111,16 @@ def overlap(a: Column, b: Column) -> Column:
     return jaccard(a, b, both_empty=1.0)
 
 
-def contradiction(condition: Column, observation: Column, tokens: Column, seen: Column) -> Column:
+def plain_text(c: Column) -> Column:
+    """``normal_text`` with hyphens as spaces."""
+    return F.replace(normal_text(c), F.lit("-"), F.lit(" "))
+
+
+def contradiction(cond: Column, obs: Column, tokens: Column, seen: Column) -> Column:
     """Share of the condition's tokens contradicted by the observation, at most 1.
 
-    ``tokens`` and ``seen`` are the token sets of the two texts.
+    ``cond`` and ``obs`` are ``plain_text``, ``tokens`` and ``seen`` the token sets of the two.
     """
-    cond = F.replace(normal_text(condition), F.lit("-"), F.lit(" "))
-    obs = F.replace(normal_text(observation), F.lit("-"), F.lit(" "))
     hits = []
     for word, opposites in CONTRADICTIONS.items():
         plain = word.replace("-", " ")

@@ -159,12 +159,12 @@ def hash_encode(tokens: Column, dim: int = 256) -> Column:
 def conditions(rows: DataFrame, pre: Column, post: Column, observation: Column, theta_pre: float = 0.20, theta_done: float = 0.25, theta_conflict: float = 0.10) -> DataFrame:
     """``rows`` with pre_score, post_score, conflict_score, decision and condition_score of a stage on an observation."""
     none = F.array().cast("array<string>")
-    seen = X.token_set(observation)
-    rows = rows.withColumn("_seen", seen).withColumn("_obs", observation)
-    score = lambda arr: F.coalesce(F.array_max(F.transform(F.coalesce(arr, none), lambda c: X.overlap(X.token_set(c), F.col("_seen")))), F.lit(0.0))
-    every = F.concat(F.coalesce(pre, none), F.coalesce(post, none))
-    conflict = F.coalesce(F.array_max(F.transform(every, lambda c: X.contradiction(c, F.col("_obs"), X.token_set(c), F.col("_seen")))), F.lit(0.0))
-    rows = rows.withColumns({"pre_score": score(pre), "post_score": score(post), "conflict_score": conflict})
+    # texts and token sets once a condition and row, as columns, before they are compared
+    parsed = lambda arr: F.transform(F.coalesce(arr, none), lambda c: F.struct(X.plain_text(c).alias("text"), X.token_set(c).alias("tokens")))
+    rows = rows.withColumns({"_pre": parsed(pre), "_post": parsed(post), "_seen": X.token_set(observation), "_obs": X.plain_text(observation)})
+    score = lambda c: F.coalesce(F.array_max(F.transform(c, lambda x: X.overlap(x["tokens"], F.col("_seen")))), F.lit(0.0))
+    against = F.transform(F.concat("_pre", "_post"), lambda x: X.contradiction(x["text"], F.col("_obs"), x["tokens"], F.col("_seen")))
+    rows = rows.withColumns({"pre_score": score("_pre"), "post_score": score("_post"), "conflict_score": F.coalesce(F.array_max(against), F.lit(0.0))})
     decision = (
         F.when(F.col("conflict_score") >= theta_conflict, "conflict")
         .when((F.col("post_score") >= theta_done) & (F.size(F.coalesce(post, none)) > 0), "already_completed")
@@ -174,7 +174,7 @@ def conditions(rows: DataFrame, pre: Column, post: Column, observation: Column,
     )
     rows = rows.withColumn("decision", decision)
     value = F.when(F.col("decision") == "already_completed", F.col("post_score")).when(F.col("decision").isin("satisfied", "partial"), F.col("pre_score")).otherwise(0.0)
-    return rows.withColumn("condition_score", value).drop("_seen", "_obs")
+    return rows.withColumn("condition_score", value).drop("_pre", "_post", "_seen", "_obs")
 
 
 def rescored(score: Column, weight: float = 0.3) -> Column:
@@ -217,8 +217,8 @@ def stages_topk(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
     q = query_tasks(spark, sf_dir)
     s = memory.live(spark, sf_dir, "stages").select("stage_id", F.col("parent_intent_id").alias("id"), "pre_conditions", "post_conditions", memory.stage_text().alias("stage"))
     rows = hits.select("query_id", "id").join(s, "id").join(q, "query_id")
-    lexical = X.set_cosine(X.token_set(F.col("text")), X.token_set(F.col("stage")))
-    rows = conditions(rows.withColumn("lexical", lexical), F.col("pre_conditions"), F.col("post_conditions"), F.col("text"))
+    rows = rows.withColumns({"_q": X.token_set(F.col("text")), "_s": X.token_set(F.col("stage"))})
+    rows = conditions(rows.withColumn("lexical", X.set_cosine(F.col("_q"), F.col("_s"))), F.col("pre_conditions"), F.col("post_conditions"), F.col("text"))
     rows = rows.select("query_id", F.col("stage_id").alias("id"), "decision", F.round(rescored(F.col("lexical")), 9).alias("score"))
     return best(rows, k, ["query_id"])
 
@@ -232,7 +232,8 @@ def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = query_tasks(spark, sf_dir)
     a = memory.live(spark, sf_dir, "actions").select(F.col("parent_stage_id").alias("id"), "action_id", "operation", memory.action_text().alias("action"))
     rows = chosen.select("query_id", "id", F.col("decision").alias("stage_decision"), F.round("confidence", 6).alias("confidence"), "low_confidence").join(a, "id", "left").join(q, "query_id")
-    rows = rows.withColumn("score", F.round(X.set_cosine(X.token_set(F.col("text")), X.token_set(F.col("action"))), 9))
+    rows = rows.withColumns({"_q": X.token_set(F.col("text")), "_a": X.token_set(F.col("action"))})
+    rows = rows.withColumn("score", F.round(X.set_cosine(F.col("_q"), F.col("_a")), 9))
     first = best(rows.withColumn("aid", X.blank(F.col("action_id"))), 1, ["query_id"], item="aid")
     return first.select("query_id", F.col("id").alias("stage_id"), "stage_decision", "confidence", "low_confidence", "action_id", "operation")
 
