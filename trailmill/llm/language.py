@@ -8,9 +8,9 @@ second codeword flags a sentence as ambiguous: it then takes the language, of
 those the document surely has, that has the least loss.
 
 The classifiers are fitted on the driver on a bounded sample of labelled
-documents (``TRAIN_DOCS`` a language, ``TRAIN_SENTENCES`` a document), twice:
-the second time without the sentences that the first fit finds in another
-language than their label.  Applying them is a map without a shuffle.
+documents (``TRAIN_DOCS`` a language, ``TRAIN_SENTENCES`` a document), without
+the sentences whose words stand mostly under other labels than their own.
+Applying them is a map without a shuffle.
 
 A full sentence ends with a mark and has at least ``MIN_WORDS`` words (Japanese:
 ``MIN_KANA`` characters) besides quoted labels, codes, addresses and tags.
@@ -130,7 +130,7 @@ def fit(sents: list[list[str]], labels: np.ndarray, langs: list[str], epochs: in
     weight = (len(labels) / np.maximum(freq, 1) / len(langs))[labels]
     rng = np.random.default_rng(3)
     epochs = max(epochs, -(-MIN_STEPS * 512 // max(1, len(sents))))  # a small sample takes more rounds
-    for _ in range(min(epochs, MIN_STEPS)):
+    for _ in range(min(epochs, max(MIN_STEPS, 1))):
         order = rng.permutation(len(sents))
         for at in range(0, len(order), 512):
             block = order[at : at + 512]
@@ -154,6 +154,25 @@ def fit(sents: list[list[str]], labels: np.ndarray, langs: list[str], epochs: in
     return Model(langs, w, bias, trust)
 
 
+def consistent(sents: list[list[str]], labels: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the sentences whose words stand mostly under their own label.
+
+    Wrong labels and mixed documents put a sentence under labels not its own;
+    the share of a word in each label's words still points to its language, as
+    most labels are right, where a classifier fitted to all would learn the noise.
+    """
+    ids: dict[str, int] = {}
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for s in sents for w in s), np.int64)
+    sizes = np.array([len(s) for s in sents])
+    owner = np.repeat(np.arange(len(sents)), sizes)
+    counts = np.zeros((len(ids), n))
+    np.add.at(counts, (flat, labels[owner]), 1.0)
+    share = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(ids)))
+    share[:, counts.sum(0) == 0] = -np.inf
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return np.flatnonzero(np.add.reduceat(share[flat], starts, axis=0).argmax(1) == labels)
+
+
 def label_code(docs: DataFrame, labels: DataFrame, col: str = "lang") -> DataFrame:
     """``docs`` with ``label``: the code its ``lang`` names, null where it names none."""
     clean = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
@@ -174,11 +193,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not pairs:
         return None
     sents, y = [s for s, _ in pairs], np.array([i for _, i in pairs])
-    model = fit(sents, y, langs, epochs=3)
-    keep = np.flatnonzero(model.predict(sents)[0] == y)
-    if len(keep) and len(langs) > 1:
-        model = fit([sents[i] for i in keep], y[keep], langs)
-    return model
+    keep = consistent(sents, y, len(langs))
+    return fit([sents[i] for i in keep], y[keep], langs)
 
 
 SEGMENT = "array<struct<segment: int, lang: string, confidence: double, sentences: int, ambiguous: int>>"
