@@ -110,7 +110,7 @@ def flatten_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = live(spark, sf_dir, "intents").select("intent_id", "canonical_intent")
     out = i.join(per, "intent_id", "left")
     text = F.concat_ws("; ", F.transform("s", lambda x: x["text"]))
-    return out.select(F.concat(F.lit("awm_"), "intent_id").alias("workflow_id"), F.col("canonical_intent").alias("instruction"), F.greatest(F.size("s"), F.lit(0)).alias("n_steps"), text.alias("steps"))
+    return out.select(F.concat(F.lit("workflow_"), "intent_id").alias("workflow_id"), F.col("canonical_intent").alias("instruction"), F.greatest(F.size("s"), F.lit(0)).alias("n_steps"), text.alias("steps"))
 
 
 def unflatten_tree(flat: DataFrame) -> DataFrame:

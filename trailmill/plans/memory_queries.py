@@ -57,7 +57,7 @@ def oracle_sql() -> dict[str, str]:
               string_agg(concat_ws('|', coalesce(s.name, ''), coalesce(a.operation, ''), coalesce(a.argument_template, '')), '; '
                 order by coalesce(s.span[1], 0), s.stage_id, coalesce(a.source.step_index, 0), a.action_id) as steps
             from {live('stages')} s join {live('actions')} a on a.parent_stage_id = s.stage_id group by 1)
-            select 'awm_' || i.intent_id as workflow_id, canonical_intent as instruction, coalesce(n, 0)::int as n_steps, coalesce(steps, '') as steps
+            select 'workflow_' || i.intent_id as workflow_id, canonical_intent as instruction, coalesce(n, 0)::int as n_steps, coalesce(steps, '') as steps
             from {live('intents')} i left join x on x.intent_id = i.intent_id""",
         "cascade_delete": f"""with s as (select stage_id from {live('stages')} where parent_intent_id in (select intent_id from {live('intents')}))
             select 'intent' as level, count(*) as kept from {live('intents')} union all select 'stage', count(*) from s
