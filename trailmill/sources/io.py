@@ -38,12 +38,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, keep_
     if not keep_bad:
         return spark.read.schema(schema).json(path, mode="FAILFAST")
     full = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).add("_bad", "string")
-    return spark.read.schema(full).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("_file"))
+    record = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(record.alias("r"), "_file").select("r.*", "_file")
 
 
 def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows of a read with ``keep_bad``; the bad ones keep their file."""
-    return rows.where(F.col("_bad").isNull()).drop("_bad"), rows.where(F.col("_bad").isNotNull()).select("_bad", F.col("_metadata.file_path").alias("file"))
+    return rows.where(F.col("_bad").isNull()).drop("_bad", "_file"), rows.where(F.col("_bad").isNotNull()).select("_bad", F.col("_file").alias("file"))
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -187,8 +189,8 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     """One hash of a folder's file names and contents, in order of names."""
     root = Path(path).resolve().as_uri().replace("file://", "")
     rel = F.regexp_replace("path", f"^file:/*{re.escape(root)}/?", "")
-    line = file_hashes(spark, path).select(rel.alias("p"), "sha256").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "sha256"))), lambda x: F.concat(x["p"], F.lit("\0"), x["sha256"])), ""))
-    return line.select(F.sha2(F.col(line.columns[0]), 256)).first()[0]
+    line = file_hashes(spark, path).select(rel.alias("p"), "sha256").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "sha256"))), lambda x: F.concat(x["p"], F.lit("\0"), x["sha256"])), "").alias("t"))
+    return line.select(F.sha2("t", 256)).first()[0]
 
 
 def write_splits(df: DataFrame, split: Column, path: str) -> None:
