@@ -124,3 +124,26 @@ def test_drift(spark, folder):
     assert len(got) == len(set(got)) and set(got) == want
     steps = schema_drift.steps(spark, d).where("feed = 'f'").orderBy("file_no", "line_no").collect()
     assert [(r["task_id"], r["instruction"], r["operation"], r["n_pos"]) for r in steps] == [("1", "x", "click", 1)] * 2 + [("5", "x", "click", 1), ("1", "x", "click", 1), ("2", "x", None, None)]
+
+
+def test_one_table_keeps_every_value(spark, folder):
+    one = {
+        "id": "1", "task_id": "2", "confirmed_task": {"text": "x", "lang": "en"}, "action_reprs": "[a]  A | B -> CLICK | [b]  C -> CLICK", "locale": ["en"], "viewport": {"w": 1},
+        "num_steps": "2", "new": {"k": [1]}, "success": "perhaps",
+        "actions": [
+            {"op": {"op": "click", "original_op": "CLICK"}, "confidence": "0.5", "screenshot": "s.png", "pos_candidates": {"tag": "a", "visible_text": "T", "bbox": [1, 2]}},
+            {"op": "type", "index": "two", "novel": True, "neg_candidates": [{"ref": 3, "attributes": {"k": "v"}}, {"ref": 4}]},
+        ],
+    }
+    two = {"id": "3", "action_reprs": ["p", "q", "r"], "actions": {"10": {"repr": ["button", "Save", "click"]}, "9": "wait"}}
+    d = folder(extra=True, raw_records=_raw("f", 1, one, two))
+    a, b, c, e = schema_drift.steps(spark, d).orderBy("line_no", "step_pos").collect()
+    assert [r["action_repr"] for r in (a, b, c, e)] == ["[a]  A | B -> CLICK", "[b]  C -> CLICK", "p", "button Save click"]
+    assert (a["task_id"], a["instruction"], a["locale"], a["viewport"], a["num_steps"], a["success"]) == ("2", "x", "en", '{"w": 1}', 2, None)
+    assert a["record_fields"] == b["record_fields"] == {"id": "1", "confirmed_task.lang": "en", "new": '{"k": [1]}', "success": "perhaps"}
+    assert (a["operation"], a["confidence"], a["screenshot"], a["step_fields"]) == ("click", 0.5, "s.png", {"operation.original_op": "CLICK"})
+    assert a["pos_candidates"] == [{"tag": "a", "text": "T", "bbox": "[1, 2]"}] and a["neg_candidates"] == []
+    assert b["neg_candidates"] == [{"backend_node_id": "3", "attributes": '{"k": "v"}'}, {"backend_node_id": "4"}] and (b["n_pos"], b["n_neg"]) == (0, 2)
+    assert b["step_index"] is None and b["step_fields"] == {"step_index": "two", "novel": "true"} and b["confidence"] is None
+    assert c["step_fields"] == {"step": "wait"} and e["step_fields"] == {"action_repr": '["button", "Save", "click"]'}
+    assert e["record_fields"] == {"action_reprs": '["p", "q", "r"]'}

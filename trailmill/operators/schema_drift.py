@@ -213,24 +213,47 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORD_COLUMNS = {
     "annotation_id": "task_id string", "confirmed_task": "instruction string", "website": "website string", "domain": "domain string",
     "subdomain": "subdomain string", "success": "success boolean", "recorded_at": "recorded_at timestamp_ntz",
+    "locale": "locale string", "difficulty": "difficulty string", "viewport": "viewport string", "num_steps": "num_steps int",
 }
 STEP_COLUMNS = {
     "step_index": "step_index int", "operation": "operation string", "value": "value string", "action_uid": "action_uid string",
     "action_repr": "action_repr string", "url": "url string", "cleaned_html": "cleaned_html string",
+    "confidence": "confidence double", "screenshot": "screenshot string",
 }
+TEXT_KEYS = ("text", "op", "value", "name")  # fixed values: names in an object under which the text of a field stands
+ELEMENTS = ("pos_candidates", "neg_candidates")
+
+
+def _json(v: object) -> str:
+    return json.dumps(v, sort_keys=True, ensure_ascii=False)
 
 
 def _text(v: object) -> str | None:
-    """The text in a value of any type: of an array the first, of an object that under text or op."""
+    """The text in a value of any type: of an array all that it holds, of an object that under text or op."""
     if isinstance(v, list):
-        v = next((x for x in v if x is not None), None)
+        v = [x for x in v if x is not None]
+        if any(isinstance(x, (list, dict)) for x in v) and len(v) > 1:
+            return _json(v)
+        v = " ".join(map(_text, v)) if len(v) > 1 else v[0] if v else None
     if isinstance(v, dict):
-        v = next((v[k] for k in ("text", "op", "value", "name") if v.get(k) is not None), json.dumps(v, sort_keys=True))
+        v = next((v[k] for k in TEXT_KEYS if v.get(k) is not None), _json(v))
     if isinstance(v, (list, dict)):
-        return json.dumps(v, sort_keys=True)
+        return _json(v)
     return None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
 
 
+def _beside(name: str, v: object, kept: object) -> dict[str, str]:
+    """What the column of a field does not hold of its value ``v``: parts of an object, parts of an array, what could not be cast."""
+    if isinstance(v, list) and len(v) == 1:
+        v = v[0]
+    if v is not None and kept is None or isinstance(v, list) and len(v) > 1:
+        return {name: _json(v) if isinstance(v, (list, dict)) else _text(v)}
+    if isinstance(v, dict):
+        own = next((k for k in TEXT_KEYS if v.get(k) is not None), None)
+        return {f"{name}.{k}": _json(x) if isinstance(x, (list, dict)) else _text(x) for k, x in v.items() if own and k != own and x is not None}
+    return {}
+
+
 def _cast(v: object, kind: str) -> object:
     t = _text(v)
     if t is None or kind == "string":
@@ -240,6 +263,11 @@ def _cast(v: object, kind: str) -> object:
             return int(float(t))
         except (ValueError, OverflowError):
             return None
+    if kind == "double":
+        try:
+            return float(t)
+        except ValueError:
+            return None
     if kind == "boolean":
         return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}.get(t.strip().lower())
     try:
@@ -250,11 +278,13 @@ def _cast(v: object, kind: str) -> object:
 
 
 def _by_name(obj: dict, kind: str) -> dict[str, object]:
+    """The values by canonical name; of several names of one field the first counts, and the others stay under their own."""
     out: dict[str, object] = {}
     order = _CANON.get(kind, {})
     for name, v in sorted(obj.items(), key=lambda x: list(order).index(spelling(x[0])) if spelling(x[0]) in order else 99):
         if v is not None:
-            out.setdefault(canonical_name(kind, name), v)
+            cname = canonical_name(kind, name)
+            out.setdefault(name if cname in out else cname, v)
     return out
 
 
@@ -262,14 +292,48 @@ def _many(v: object) -> list:
     return list(v) if isinstance(v, list) else [] if v is None else [v]
 
 
+def _places(v: object) -> list:
+    """An array, or an object by place, in order; anything else is an array of one."""
+    if isinstance(v, dict) and v and all(k.isdecimal() for k in v):
+        return [v[k] for k in sorted(v, key=int)]
+    if isinstance(v, dict) and v and all(isinstance(x, dict) for x in v.values()):
+        return list(v.values())
+    return _many(v)
+
+
+def _reprs(v: object, n: int) -> list:
+    """The descriptions of ``n`` steps: an array, or one text ``a | b``, in which a label may hold the bar too."""
+    if not isinstance(v, str):
+        return _places(v)
+    cuts = [re.split(r"\s+\|\s+(?=\[)", v), re.split(r"\s+\|\s+", v)]
+    return next((c for c in cuts if len(c) == n), cuts[0] if v.lstrip().startswith("[") else cuts[1])
+
+
+def _row(obj: dict, columns: dict[str, str], used: tuple[str, ...] = ()) -> tuple[list, dict[str, str]]:
+    """The values of the columns, and all else that an object by name holds, as text."""
+    vals = [_cast(obj.get(k), c.split()[1]) for k, c in columns.items()]
+    rest: dict[str, str] = {}
+    for k, x in zip(columns, vals, strict=True):
+        rest |= _beside(k, obj.get(k), x)
+    return vals, rest | {k: _json(v) if isinstance(v, (list, dict)) else _text(v) for k, v in obj.items() if k not in columns and k not in used}
+
+
+def _elements(v: object) -> list[dict[str, str]]:
+    return [_row(_by_name(c, "candidate") if isinstance(c, dict) else {"value": c}, {})[1] for c in _many(v) if c is not None]
+
+
 def unified(records: DataFrame) -> DataFrame:
     """Every readable record as rows of steps with the same columns and types, whatever its file wrote.
 
-    A record without steps is one row with a null ``step_pos``.  Values that
-    cannot be cast are null; repeated lines stay rows of their own.
+    A record without steps is one row with a null ``step_pos``.  Repeated
+    lines stay rows of their own.  What no column holds stands as text in
+    ``record_fields`` and ``step_fields``, by canonical name: fields not
+    listed, parts of objects and arrays, and values that cannot be cast (null
+    in their column).  Candidates are maps of their fields.
     """
     head = ["feed", "file_name", "file_no", "line_no"]
-    columns = [*RECORD_COLUMNS.values(), "step_pos int", *STEP_COLUMNS.values(), "n_pos int", "n_neg int"]
+    columns = [*RECORD_COLUMNS.values(), "record_fields map<string,string>", "step_pos int", *STEP_COLUMNS.values(), "n_pos int", "n_neg int"]
+    columns += [*[f"{k} array<map<string,string>>" for k in ELEMENTS], "step_fields map<string,string>"]
     schema = "feed string, file_name string, file_no int, line_no int, " + ", ".join(columns)
     names = [*head, *[c.split()[0] for c in columns]]
 
@@ -280,23 +344,24 @@ def unified(records: DataFrame) -> DataFrame:
                 if (r := _read(payload)) is None:
                     continue
                 rec = _by_name(r, "record")
-                own = [_cast(rec.get(k), c.split()[1]) for k, c in RECORD_COLUMNS.items()]
-                steps = rec.get("actions")
-                steps = list(steps.values()) if isinstance(steps, dict) else _many(steps)
-                reprs = _many(rec.get("action_reprs"))
-                steps = [s for s in steps if isinstance(s, dict)]
-                for i, s in enumerate(steps):
-                    step = _by_name(s, "step")
+                steps = [(i, s) for i, s in enumerate(_places(rec.get("actions"))) if s is not None]
+                steps = [(i, _by_name(s if isinstance(s, dict) else {"step": s}, "step")) for i, s in steps]
+                reprs = _reprs(rec.get("action_reprs"), len(steps))
+                placed = {i for i, s in steps if i < len(reprs) and s.get("action_repr", reprs[i]) == reprs[i]}
+                own, more = _row(rec, RECORD_COLUMNS, ("actions", "action_reprs") if len(placed) == len(reprs) else ("actions",))
+                for i, step in steps:
                     step.setdefault("step_index", i)
                     if "action_repr" not in step and i < len(reprs):
                         step["action_repr"] = reprs[i]
-                    vals = [_cast(step.get(k), c.split()[1]) for k, c in STEP_COLUMNS.items()]
-                    rows.append((*at, *own, i, *vals, len(_many(step.get("pos_candidates"))), len(_many(step.get("neg_candidates")))))
+                    vals, rest = _row(step, STEP_COLUMNS, ELEMENTS)
+                    pos, neg = (_elements(step.get(k)) for k in ELEMENTS)
+                    rows.append((*at, *own, more, i, *vals, len(pos), len(neg), pos, neg, rest))
                 if not steps:
-                    rows.append((*at, *own, *[None] * (len(STEP_COLUMNS) + 3)))
+                    rows.append((*at, *own, more, *[None] * (len(STEP_COLUMNS) + 6)))
             out = pd.DataFrame(rows, columns=names)
-            for c in ("step_pos", "step_index", "n_pos", "n_neg"):
+            for c in ("step_pos", "step_index", "n_pos", "n_neg", "num_steps"):
                 out[c] = out[c].astype("Int32")
+            out["confidence"] = out["confidence"].astype("Float64")
             out["recorded_at"] = pd.to_datetime(out["recorded_at"])
             out["success"] = out["success"].astype("boolean")
             yield out
