@@ -90,6 +90,25 @@ def test_batches_one_by_one_find_what_one_pass_finds(spark):
     assert links == {("k02", "k00"), ("k05", "k00"), ("k05", "k02"), ("k06", "k00"), ("k06", "k02"), ("k06", "k05"), ("k04", "k01"), ("k07", "k03")}
 
 
+def test_batches_partitioned_one_by_one_keep_their_links_when_a_route_grows(spark):
+    rnd = random.Random(11)
+    name = lambda: "".join(rnd.choice("bcdfghjklmnpqrstvwxz") + rnd.choice("aeiou") for _ in range(5))
+    goal = lambda n: f"Book a room in {n} for 6 nights"
+    old, more = [name() for _ in range(4100)], [name() for _ in range(4100)]
+    batches = [old, rnd.sample(old, 40), more, [*rnd.sample(old, 40), *rnd.sample(more, 40)]]
+    stored, links, seen, want = None, set(), {}, set()
+    for b, names in enumerate(batches):
+        df = spark.createDataFrame([("intent", b, f"{b}-{i:04d}", goal(n)) for i, n in enumerate(names)], "kind string, batch int, key string, text string")
+        tok = history_dedup.tokenised(df, LEX)
+        for k, t in sorted((r["key"], tuple(r["tokens"])) for r in tok.collect()):
+            want |= {(k, other) for other in seen.get(t, [])}
+            seen.setdefault(t, []).append(k)
+        found, stored = history_dedup.index_batch(stored, history_dedup.partitioned(tok), LEX)
+        links |= {(r["key"], r["to_key"]) for r in found.collect()}
+        stored = spark.createDataFrame(stored.collect(), history_dedup.STORED)
+    assert links == want and len(want) >= 120
+
+
 def test_splits(spark, folder):
     t = lambda k, text, split, source="s": {"task_id": k, "instruction": text, "split": split, "source": source, "loaded_at": D(2025, 1, 1)}
     d = folder(extra=True, tasks=[

@@ -5,7 +5,7 @@
 3. The index is partitioned by the numbers, dates and amounts of a goal: the
    same task has the same ones, so a query needs the shards of one partition
    only, and none is lost.  A partition over ``PARTITION_ROWS`` rows is split
-   further by its names, which the same task shares as well.
+   further by its names, which the same task shares as well, in a power of two.
 4. In each partition the history is a list of small-world graphs, one for each
    segment.  A new batch is searched in all of them with a beam widened until
    it meets exhaustive search on a probe, each candidate is decided by its
@@ -15,7 +15,9 @@
    one, and every other is a case.
 
 ``index_batch`` does the same step by step with shards stored as a table, so
-a batch reads the stored shards instead of the records behind them.
+a batch reads the stored shards instead of the records behind them.  The split
+of a route stands in its stored shards and holds for every later batch; where
+a batch makes the route too large, they are split again first.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
@@ -39,7 +41,7 @@ PARTITION_ROWS = 4000
 MAX_SHARDS = 4
 LAST_BATCH = 2**31 - 1
 LINKS = "kind string, batch int, key string, to_batch int, to_key string"
-STORED = "kind string, part long, segment int, graph binary"
+STORED = "kind string, route long, piece long, pieces long, segment int, points long, graph binary"
 
 _memo: dict[str, np.ndarray] = {}
 
@@ -111,6 +113,10 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("kind", "key", F.coalesce("batch_no", F.lit(LAST_BATCH)).cast("int").alias("batch"), "text")
 
 
+def _names(tokens: list[str] | tuple[str, ...], known: dict[str, int]) -> int:
+    return zlib.crc32(" ".join(t for t in tokens if t[0].isalpha() and t not in known).encode())
+
+
 def tokenised(texts: DataFrame, words: Lexicon) -> DataFrame:
     """One row a text that has a canonical form: tokens, hash of its numbers, hash of its names."""
     common, usual = words.common, words.usual
@@ -123,9 +129,8 @@ def tokenised(texts: DataFrame, words: Lexicon) -> DataFrame:
                 tokens = canonical(text, lex)
                 if tokens:
                     numbers = sorted(t.partition(":")[0] for t in tokens if t[0] == "#" or t[0].isdigit())
-                    names = [t for t in tokens if t[0].isalpha() and t not in lex.known]
                     route = zlib.crc32(" ".join([kind, *numbers]).encode())
-                    rows.append((kind, batch, key, tokens, route, zlib.crc32(" ".join(names).encode())))
+                    rows.append((kind, batch, key, tokens, route, _names(tokens, lex.known)))
             yield pd.DataFrame(rows, columns=["kind", "batch", "key", "tokens", "route", "names"])
 
     return texts.select("kind", "batch", "key", "text").mapInPandas(
@@ -133,13 +138,21 @@ def tokenised(texts: DataFrame, words: Lexicon) -> DataFrame:
     )
 
 
+def _pieces(count: Column, rows: int) -> Column:
+    """The least power of two of pieces that have ``rows`` rows each, on average."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), count / rows)))).cast("long")
+
+
 def partitioned(tokens: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
-    """``tokens`` with ``part``: by numbers, and by numbers and names where those have too many rows."""
+    """``tokens`` with ``part``: by numbers, and by numbers and names where those have too many rows.
+
+    ``part`` holds within this frame; ``index_batch`` goes by the split that is stored with the index.
+    """
     hot = tokens.groupBy("kind", "route").count().where(F.col("count") > rows)
-    hot = hot.select("kind", "route", F.ceil(F.col("count") / rows).alias("pieces"))
-    piece = F.coalesce(F.pmod(F.xxhash64("names"), "pieces"), F.lit(0))
+    hot = hot.select("kind", "route", _pieces(F.col("count"), rows).alias("pieces"))
+    piece = F.coalesce(F.pmod("names", "pieces"), F.lit(0))
     out = tokens.join(hot, ["kind", "route"], "left")
-    return out.withColumn("part", F.xxhash64("kind", "route", piece)).drop("pieces", "route", "names")
+    return out.withColumn("part", F.xxhash64("kind", "route", piece)).drop("pieces")
 
 
 def _replay(common: dict[str, int]):
@@ -201,7 +214,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(representatives(rows.withColumn("form", F.xxhash64("form", F.reverse("form"))), ["kind", "form"], ["batch", "key"]))
     reps = rows.where((F.col("rep.batch") == F.col("batch")) & (F.col("rep.key") == F.col("key")))
     words = lexicon(reps, "text")
-    tokens = cut(partitioned(tokenised(reps, words)))
+    tokens = cut(partitioned(tokenised(reps, words)).drop("route", "names"))
     task = F.pmod("part", F.lit(max(24, tokens.count() // PARTITION_ROWS)))
     links = tokens.withColumn("_task", task).groupBy("_task").applyInPandas(_replay(words.common), LINKS)
     of = classes(links).select("kind", F.struct("batch", "key").alias("rep"), "accepted")
@@ -216,20 +229,51 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def index_batch(stored: DataFrame | None, batch: DataFrame, words: Lexicon) -> tuple[DataFrame, DataFrame]:
+def _split_again(known: dict[str, int]):
+    """Stored shards of routes with more pieces than before (``to``): each becomes a shard in every piece it has points of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for kind, route, to, segment, graph in pdf.itertuples(index=False):
+                old, points, _ = pickle.loads(graph)
+                piece = np.array([_names(p[2], known) % to for p in points])
+                rows = []
+                for k in np.unique(piece).tolist():
+                    at = np.flatnonzero(piece == k)
+                    new = SmallWorld(DIM)
+                    new.add(old.x[at])
+                    shard = (new, [points[i] for i in at], new.tuned_beam())
+                    rows.append((kind, route, k, to, segment, len(at), pickle.dumps(shard)))
+                yield pd.DataFrame(rows, columns=["kind", "route", "piece", "pieces", "segment", "points", "graph"])
+
+    return run
+
+
+def index_batch(stored: DataFrame | None, batch: DataFrame, words: Lexicon, rows: int = PARTITION_ROWS) -> tuple[DataFrame, DataFrame]:
     """One batch against stored shards.
 
-    ``stored``: kind, part, segment, graph (null for an empty index);
-    ``batch``: kind, batch, key, tokens, part.  Returns the links found and
-    the shard rows of the batch (and of compacted segments, which replace
-    those of their ``part``).  Only shards of partitions that the batch
-    touches are read in full.
+    ``stored``: the columns of ``STORED`` (null for an empty index);
+    ``batch``: kind, batch, key, tokens, route, names; a ``part`` is not looked at.
+    Returns the links found and all shard rows, which replace those stored.
+    The pieces of a route never get fewer, and more once its stored points
+    and those of the batch are more than ``rows`` a piece.
     """
     known = words.known
     spark = batch.sparkSession
     stored = stored if stored is not None else spark.createDataFrame([], STORED)
-
-    def run(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> Iterator[tuple[list, Shards]]:
+    route = ["kind", "route"]
+    was = stored.groupBy(*route).agg(F.max("pieces").alias("was"), F.sum("points").alias("n"))
+    came = batch.groupBy(*route).agg(F.count("*").alias("came"))
+    total = F.coalesce("n", F.lit(0)) + F.coalesce("came", F.lit(0))
+    split = was.join(came, route, "full").select(*route, F.greatest(F.coalesce("was", F.lit(1)), _pieces(total, rows)).alias("to"))
+    split = cut(split)
+    old = stored.join(split, route)
+    again = old.where(F.col("pieces") < F.col("to")).select(*route, "to", "segment", "graph").mapInPandas(_split_again(known), STORED)
+    old = cut(old.where(F.col("pieces") == F.col("to")).drop("to").unionByName(again))
+    new = batch.join(split, route).withColumn("piece", F.pmod("names", "to")).withColumnRenamed("to", "pieces")
+    new = new.select("kind", "route", "piece", "pieces", "batch", "key", "tokens")
+
+    def run(old: pd.DataFrame, new: pd.DataFrame) -> tuple[list, Shards]:
         shards = Shards()
         shards.graphs = [pickle.loads(g) for g in old.sort_values("segment")["graph"]]
         if not len(new):
@@ -239,15 +283,16 @@ def index_batch(stored: DataFrame | None, batch: DataFrame, words: Lexicon) -> t
         return shards.take(rows, np.stack([vector(r[2], known) for r in rows])), shards
 
     def link(key, old, new):  # noqa: ANN001, ANN202
-        links, _ = run(key, old, new)
+        links, _ = run(old, new)
         return pd.DataFrame(
             [(key[0], a[0], a[1], b[0], b[1]) for a, b in links], columns=["kind", "batch", "key", "to_batch", "to_key"]
         )
 
     def store(key, old, new):  # noqa: ANN001, ANN202
-        _, shards = run(key, old, new)
-        rows = [(key[0], key[1], i, pickle.dumps(g)) for i, g in enumerate(shards.graphs)]
-        return pd.DataFrame(rows, columns=["kind", "part", "segment", "graph"])
+        _, shards = run(old, new)
+        rows = [(*key, i, len(g[1]), pickle.dumps(g)) for i, g in enumerate(shards.graphs)]
+        return pd.DataFrame(rows, columns=["kind", "route", "piece", "pieces", "segment", "points", "graph"])
 
-    both = stored.groupBy("kind", "part").cogroup(batch.groupBy("kind", "part"))
+    by = ["kind", "route", "piece", "pieces"]
+    both = old.groupBy(*by).cogroup(new.groupBy(*by))
     return both.applyInPandas(link, LINKS), both.applyInPandas(store, STORED)
