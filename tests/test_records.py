@@ -147,3 +147,30 @@ def test_one_table_keeps_every_value(spark, folder):
     assert b["step_index"] is None and b["step_fields"] == {"step_index": "two", "novel": "true"} and b["confidence"] is None
     assert c["step_fields"] == {"step": "wait"} and e["step_fields"] == {"action_repr": '["button", "Save", "click"]'}
     assert e["record_fields"] == {"action_reprs": '["p", "q", "r"]'}
+
+
+def test_all_nested_parts_are_linked_tables(spark, folder):
+    from trailmill.plans import records
+
+    seen = {"text": "page", "candidates": [{"element_id": "c1", "role": "link"}, {"element_id": 2}]}
+    deep = [
+        {"step_index": 4, "observation": "as text", "target": {"id": "a", "attributes": {"class": "k"}}},
+        {"observation": seen, "target": [{"id": 7}, "b"], "operation": "click"},
+    ]
+    d = folder(
+        extra=True,
+        tasks=[{"task_id": "t", "steps": [_step(3, _cand(node_id="p")) | {"neg_candidates": [_cand(node_id="n"), _cand(node_id="m")]}]}],
+        episode_traces=[{"task_id": "x", "trajectory": json.dumps(deep)}, {"task_id": "y", "trajectory": json.dumps({"steps": deep[:1]})}, {"task_id": "cut", "trajectory": "[{"}, *[{"task_id": "same", "trajectory": "[{}]"}] * 2],
+    )
+    q = {k: f(spark, d).collect() for k, f in records.queries().items() if k.startswith("p5_t")}
+    for child, parent in (("tasks_steps", "tasks"), ("tasks_pos", "tasks_steps"), ("tasks_neg", "tasks_steps"), ("trace_steps", "traces"), ("trace_targets", "trace_steps"), ("trace_candidates", "trace_steps")):
+        assert {r["_parent"] for r in q[f"p5_{child}"]} <= {r["_id"] for r in q[f"p5_{parent}"]} and q[f"p5_{child}"], child
+        assert len({r["_id"] for r in q[f"p5_{child}"]}) == len(q[f"p5_{child}"])
+    pick = lambda name, *cols: sorted((tuple(r[c] for c in cols) for r in q[name]), key=str)
+    assert pick("p5_tasks_neg", "up_task_id", "up_step_index", "_ordinal", "node_id") == [("t", 3, 0, "n"), ("t", 3, 1, "m")]
+    assert pick("p5_trace_steps", "record_id", "step_index", "observation", "observation_text", "operation") == [*[("same", 0, None, None, None)] * 2, ("x", 1, None, "page", "click"), ("x", 4, "as text", None, None), ("y", 4, "as text", None, None)]
+    assert pick("p5_trace_targets", "up_task_id", "up_step_index", "_ordinal", "id", "attributes_class", "value") == [
+        ("x", 1, 0, "7", None, None), ("x", 1, 1, None, None, "b"), ("x", 4, 0, "a", "k", None), ("y", 4, 0, "a", "k", None),
+    ]
+    assert pick("p5_trace_candidates", "up_step_index", "_ordinal", "element_id", "role") == [(1, 0, "c1", "link"), (1, 1, "2", None)]
+    assert pick("p5_traces", "task_id", "trajectory") == [("cut", "[{"), *[("same", None)] * 2, ("x", None), ("y", None)]

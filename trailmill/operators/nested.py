@@ -5,7 +5,7 @@ carry the surrogate key of their parent and the ordinal in the array; structs
 are spread into columns, maps and scalars stay.  ``json_steps`` brings
 trajectories (JSON of varying containers and types) into one array of
 variants; their merged schema is inferred over all rows (``merged_schema``) and
-decides which columns and child tables come out.
+decides which columns and child tables come out (``flatten_variants``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,13 +109,103 @@ def merged_schema(rows: DataFrame, col: str) -> T.DataType:
 
     Paths at which kinds conflict are variants in it; no rows give an empty struct.
     """
-    ddl = rows.agg(F.schema_of_variant_agg(F.col(col)).alias("s")).first()["s"]
+    return _parsed(rows.agg(F.schema_of_variant_agg(F.col(col)).alias("s")).first()["s"])
+
+
+def _parsed(ddl: str | None) -> T.DataType:
     ddl = re.sub(r"\bOBJECT\b(?=<)", "STRUCT", ddl or "VOID").replace("OBJECT<>", "STRUCT<>")
     if ddl in ("VOID", "STRUCT<>"):
         return T.StructType([])
     return T._parse_datatype_string(ddl)
 
 
+def _at(v: Column, path: tuple[str, ...]) -> Column:
+    for n in path:
+        v = _variant(v, f"$['{n}']" if "'" not in n else f'$["{n}"]', "variant")
+    return v
+
+
+def layout(rows: DataFrame, col: str) -> tuple[list[tuple[str, ...]], list[tuple[str, ...]]]:
+    """Paths of the text columns and of the child tables of a variant column of objects.
+
+    Objects are spread.  Where kinds conflict at a path, an array among them
+    makes it a child table (other values are arrays of one); objects beside
+    scalars are spread beside a column of the scalars.  One aggregation a
+    level of conflicts.
+    """
+    texts: list[tuple[str, ...]] = []
+    tables: list[tuple[str, ...]] = []
+
+    def walk(schema: T.DataType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+        mixed = []
+        for f in schema.fields if isinstance(schema, T.StructType) else ():
+            p = (*path, f.name)
+            if isinstance(f.dataType, T.StructType):
+                mixed += walk(f.dataType, p)
+            elif isinstance(f.dataType, T.VariantType):
+                mixed.append(p)
+            else:
+                (tables if isinstance(f.dataType, T.ArrayType) else texts).append(p)
+        return mixed
+
+    mixed = walk(merged_schema(rows, col), ())
+    while mixed:
+        aggs = []
+        for i, p in enumerate(mixed):
+            v = _at(F.col(col), p)
+            array, obj = _is(v, "array<variant>"), _is(v, "map<string,variant>")
+            scalar = v.isNotNull() & ~F.is_variant_null(v) & ~array & ~obj
+            aggs += [F.max(array).alias(f"a{i}"), F.max(scalar).alias(f"s{i}"), F.schema_of_variant_agg(F.when(obj, v)).alias(f"o{i}")]
+        r, found, mixed = rows.agg(*aggs).first(), mixed, []
+        for i, p in enumerate(found):
+            if r[f"a{i}"]:
+                tables.append(p)
+                continue
+            if r[f"s{i}"]:
+                texts.append(p)
+            mixed += walk(_parsed(r[f"o{i}"]), p)
+    return sorted(texts), sorted(tables)
+
+
+def _is(v: Column, kind: str) -> Column:
+    return _variant(v, "$", kind).isNotNull()
+
+
+def flatten_variants(rows: DataFrame, name: str, only: str | None = None) -> dict[str, DataFrame]:
+    """Flat tables of a column ``_row`` of variants by path, as ``flatten`` gives them; scalars are text.
+
+    ``rows``: ``_row``, ``_id`` and further columns, which stand in the table of
+    ``name``; those that begin with ``up_`` are handed down.  An element that is no object stands
+    in ``value``.  ``only`` is the path of the one table asked for: the schemas of others are not inferred.
+    """
+    out: dict[str, DataFrame] = {}
+
+    def walk(at: DataFrame, path: str) -> None:
+        own = [c for c in at.columns if c != "_row"]
+        texts, tables = layout(at, "_row")
+        if only is None or only == path:
+            used, cols = {c.lower() for c in own} | {"_id", "_parent", "_ordinal"}, []
+            for p in texts:
+                label, v = "_".join(p), _at(F.col("_row"), p)
+                while label.lower() in used:
+                    label += "_"
+                used.add(label.lower())
+                nested_ = _is(v, "array<variant>") | _is(v, "map<string,variant>")
+                cols.append(F.when(~nested_, _variant(v, "$", "string")).alias(label))
+            out[path] = at.select(*own, *cols)
+        for p in tables:
+            below = f"{path}.{'_'.join(p)}"
+            if only is None or only == below or only.startswith(f"{below}."):
+                up = [F.col(c) for c in own if c.startswith("up_")]
+                down = at.select(F.col("_id").alias("_parent"), *up, F.posexplode(as_array(_at(F.col("_row"), p))).alias("_ordinal", "_row"))
+                down = down.withColumn("_id", F.xxhash64(F.lit("_".join(p)), "_parent", "_ordinal"))
+                lone = F.to_variant_object(F.struct(F.col("_row").alias("value")))
+                walk(down.withColumn("_row", F.when(_is(F.col("_row"), "map<string,variant>"), F.col("_row")).otherwise(lone)), below)
+
+    walk(rows, name)
+    return out
+
+
 def id_of(get) -> Column:  # noqa: ANN001
     """The first id of an element that is neither null nor empty; ``get(path)`` gives text."""
     paths = [*ID_KEYS, *[f"attributes.{k}" for k in ATTRIBUTE_ID_KEYS]]
@@ -139,8 +230,11 @@ def trace_steps(traces: DataFrame) -> DataFrame:
     rows = traces.where(F.col("task_id").isNotNull()).select("task_id", F.explode(json_steps(F.col("trajectory"))).alias("s"))
     rows = rows.select(F.col("task_id").alias("_parent"), F.col("s.pos").alias("_ordinal"), F.col("s.step").alias("step"))
     rows = rows.where(_variant("step", "$", "map<string,variant>").isNotNull())
-    own = F.coalesce(*[_variant("step", f"$.{k}", "int") for k in STEP_KEYS], F.col("_ordinal"))
-    return rows.withColumn("step_index", own)
+    return rows.withColumn("step_index", _step_number("step"))
+
+
+def _step_number(step: str) -> Column:
+    return F.coalesce(*[_variant(step, f"$.{k}", "int") for k in STEP_KEYS], F.col("_ordinal"))
 
 
 def trace_elements(steps: DataFrame, schema: T.DataType | None = None) -> DataFrame:
@@ -154,10 +248,33 @@ def trace_elements(steps: DataFrame, schema: T.DataType | None = None) -> DataFr
     return t.select("_parent", "step_index", id_of(get).alias("element_id")).where(F.col("element_id").isNotNull())
 
 
+def _root_key(rows: DataFrame) -> Column:
+    """Key of a row of records: a redelivered row is a root of its own; rows equal in all columns are numbered."""
+    plain = [F.to_json(F.col(f"`{c}`")) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, t in rows.dtypes]
+    content = F.xxhash64(*plain, *[c.isNull() for c in plain])
+    return F.struct("task_id", content, F.row_number().over(W.partitionBy(content).orderBy(content)))
+
+
+def trace_tables(traces: DataFrame, only: str | None = None) -> dict[str, DataFrame]:
+    """Flat tables of traces: ``traces``, ``traces.steps``, ``traces.steps.target`` and what else the steps hold.
+
+    ``traces`` keeps the text of a trajectory only where it cannot be read as steps.
+    """
+    rows = traces.where(F.col("task_id").isNotNull())
+    rows = rows.withColumn("_id", F.xxhash64(_root_key(rows))).withColumn("_steps", json_steps(F.col("trajectory")))
+    root = rows.withColumn("trajectory", F.when(F.col("_steps").isNull(), F.col("trajectory"))).select("_id", *traces.columns)
+    if only == "traces":
+        return {"traces": root}
+    steps = rows.select(F.col("_id").alias("_parent"), F.col("task_id").alias("up_task_id"), F.explode("_steps").alias("s"))
+    steps = steps.select("_parent", "up_task_id", F.col("s.pos").alias("_ordinal"), F.col("s.step").alias("_row")).where(_is(F.col("_row"), "map<string,variant>"))
+    steps = steps.withColumn("_id", F.xxhash64(F.lit("steps"), "_parent", "_ordinal")).withColumn("up_step_index", _step_number("_row"))
+    return {"traces": root, **flatten_variants(steps, "traces.steps", only)}
+
+
 def task_tables(tasks: DataFrame) -> dict[str, DataFrame]:
     """Flat tables of tasks; a redelivered row is a root of its own."""
     rows = tasks.where(F.col("task_id").isNotNull())
-    return flatten(rows, F.struct("task_id", "loaded_at"), "tasks", carry=("task_id", "step_index", "_ordinal"))
+    return flatten(rows, _root_key(rows), "tasks", carry=("task_id", "step_index", "_ordinal"))
 
 
 def task_elements(tasks: DataFrame) -> DataFrame:
@@ -192,9 +309,22 @@ def task_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p5_trace_steps: the steps of traces with the scalar fields that their merged schema holds, as text."""
-    steps = trace_steps(table(spark, sf_dir, "episode_traces").select("task_id", "trajectory"))
-    schema = merged_schema(steps, "step")
-    names = [f.name for f in schema.fields if f.name not in ("step_index", "index") and not isinstance(f.dataType, (T.StructType, T.ArrayType))]
-    cols = [_variant("step", f"$['{n}']", "string").alias(n) for n in names]
-    return steps.select(F.col("_parent").alias("record_id"), "_ordinal", "step_index", *cols)
+    """p5_trace_steps: the steps of traces with their links and all fields but arrays, as text, whatever kinds they mix."""
+    t = trace_tables(table(spark, sf_dir, "episode_traces"), "traces.steps")["traces.steps"]
+    t = t.drop(*[c for c in t.columns if c.lower() in STEP_KEYS])
+    return t.withColumnsRenamed({"up_task_id": "record_id", "up_step_index": "step_index"})
+
+
+def trace_part(path: str):  # noqa: ANN201
+    """A query of one table of traces; without such parts in the data it has no rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        none = spark.createDataFrame([], "_parent long, up_task_id string, up_step_index int, _ordinal int, _id long")
+        return trace_tables(table(spark, sf_dir, "episode_traces"), path).get(path, none)
+
+    return run
+
+
+def task_part(path: str):  # noqa: ANN201
+    """A query of one table of tasks, with its links."""
+    return lambda spark, sf_dir: task_tables(table(spark, sf_dir, "tasks"))[path]

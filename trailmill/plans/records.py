@@ -87,6 +87,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": nested.found,
         "p5_task_steps": nested.task_steps,
         "p5_trace_steps": nested.trace_table,
+        "p5_tasks": nested.task_part("tasks"),
+        "p5_tasks_steps": nested.task_part("tasks.steps"),
+        "p5_tasks_pos": nested.task_part("tasks.steps.pos_candidates"),
+        "p5_tasks_neg": nested.task_part("tasks.steps.neg_candidates"),
+        "p5_traces": nested.trace_part("traces"),
+        "p5_trace_targets": nested.trace_part("traces.steps.target"),
+        "p5_trace_candidates": nested.trace_part("traces.steps.observation_candidates"),
     }
 
 
