@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+from datetime import datetime as D
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,17 @@ def test_wilson_and_f1(spark):
     assert f(None, "") == 1.0 and f("a", None) == 0.0 and f("a a b", "a b b") == pytest.approx(2 / 3)
 
 
+def test_average_steps_come_from_the_trajectories(spark, folder):
+    from trailmill.plans import episode_queries
+
+    trace = lambda k, n, at=1, **more: {"task_id": k, "domain": "d", "success": True, "loaded_at": D(2025, 1, at), "trajectory": json.dumps([{"index": i} for i in range(n)])} | more
+    d = folder(extra=True, episode_traces=[
+        trace("a", 9), trace("a", 4, at=2), trace("b", 2), trace("c", 3, domain="e", trajectory=json.dumps({"steps": [{}] * 3})), trace("x", 0, domain="e", trajectory="[{"), trace(None, 7),
+    ])
+    got = {r["domain"]: (r["n"], r["avg_steps"]) for r in episode_queries.queries()["success_rate_by_domain"](spark, d).collect()}
+    assert got == {"d": (2, 3.0), "e": (2, 1.5), None: (4, 2.25)}
+
+
 def test_low_confidence_merge_and_repair(spark):
     s = spark.createDataFrame([("t", i, i, i, c) for i, c in enumerate([0.5, 0.1, 0.2, 0.9, 0.1], 1)], "task_id string, stage int, start int, end int, confidence double")
     got = [(r["start"], r["end"], r["confidence"]) for r in episodes.merge_low_confidence(s).orderBy("stage").collect()]

@@ -152,12 +152,13 @@ _PRED = f"""{STEPS}, q1 as (select *, {_IDS.format(c='pos_candidates')} as gold,
 
 
 def _log(s, d):  # noqa: ANN001, ANN202
-    """Task log of the first arrivals of traces: method is the agent that recorded it."""
+    """Task log of the last arrivals of traces: method is the agent that recorded it, num_steps the steps of its trajectory (0 if it cannot be read)."""
     from ..operators import memory
     from ..operators.nested import json_steps
 
-    t = memory.upsert(table(s, d, "episode_traces").select("task_id", "loaded_at", "domain", "success", F.col("metadata")["agent"].alias("agent")), "task_id", ["loaded_at", "agent", "success", "domain"])
-    return t.select(F.coalesce("agent", F.lit("none")).alias("method"), F.coalesce("domain", F.lit("unknown")).alias("domain"), "success", F.lit(1).alias("num_steps"))
+    n = F.coalesce(F.size(json_steps(F.col("trajectory"))), F.lit(0)).alias("num_steps")
+    t = memory.upsert(table(s, d, "episode_traces").select("task_id", "loaded_at", "domain", "success", F.col("metadata")["agent"].alias("agent"), n), "task_id", ["loaded_at", "agent", "success", "domain", "num_steps"])
+    return t.select(F.coalesce("agent", F.lit("none")).alias("method"), F.coalesce("domain", F.lit("unknown")).alias("domain"), "success", "num_steps")
 
 
 _LOG = """l as (select coalesce(agent, 'none') as method, coalesce(domain, 'unknown') as domain, success from (select *, row_number() over (partition by task_id
