@@ -69,6 +69,18 @@ def test_near_duplicates_equal_brute_force_and_hot_groups_stay_one_row(spark):
     assert got == want and members.count() == len(rows)
 
 
+def test_large_blocks_of_actions_find_what_small_ones_find(spark, folder):
+    words = [f"word{i}" for i in range(30)]
+    says = lambda k, **x: {"action_id": k, "parent_stage_id": "s", "operation": "click", "semantic_description": x, "loaded_at": D(2025, 1, 1)}
+    d = folder(actions=[
+        says("a", value_source=" ".join([*words, "one"])), says("b", value_source=" ".join([*words, "two"])),  # no weighted field
+        says("c", role="x", value_source="up"), says("e", role="X", value_source="down"),  # a role without a token
+        *[says(f"f{i}", role=f"role{i}", label_or_text=f"label{i} of{i}") for i in range(6)],
+    ])
+    pairs = lambda most: sorted(map(tuple, maintenance.near_dup_actions(spark, d, most).collect()))
+    assert pairs(2) == pairs(200) and {p[:2] for p in pairs(200)} == {("a", "b"), ("c", "e")}
+
+
 def test_merge_removes_only_by_survivors(spark):
     p = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "d")], "id_a string, id_b string")
     assert sorted(map(tuple, maintenance.survivors(p).collect())) == [("b", "a"), ("d", "c")]

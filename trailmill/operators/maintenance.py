@@ -181,8 +181,8 @@ def near_dup_actions(spark: SparkSession, sf_dir: str, most: int = 200) -> DataF
 
     Equal descriptors are grouped first.  Blocks of up to ``most``
     representatives are compared pair by pair; in larger blocks a pair must
-    share the role or a token of its label, name, purpose or context first,
-    which pairs this similar do.
+    share the role or a token of any field of the descriptor first, which
+    pairs this similar do.
     """
     d = [f"semantic_description.{f}" for f in SIMILARITY_WEIGHTS]
     names = list(SIMILARITY_WEIGHTS)
@@ -191,7 +191,9 @@ def near_dup_actions(spark: SparkSession, sf_dir: str, most: int = 200) -> DataF
     reps = cut(a.groupBy("parent_stage_id", "operation", "whole", *names).agg(F.min("action_id").alias("id")))
     size = reps.groupBy("parent_stage_id", "operation").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     keyed = reps.join(size, ["parent_stage_id", "operation"])
-    tokens = F.array_distinct(F.flatten(F.array(*[X.word_tokens(F.col(n)) for n in names])))
+    # pairs without a field in common are scored by the whole text; roles are compared whole, not by tokens
+    role = F.concat(F.lit("role "), F.nullif(X.normal_key(F.col("role")), F.lit("")))
+    tokens = F.array_distinct(F.flatten(F.array(*[X.word_tokens(F.col(n)) for n in [*names, "whole"]], F.array(role))))
     keyed = keyed.withColumn("k", F.explode(F.when(F.col("size") <= most, F.array(F.lit(""))).otherwise(tokens)))
     b = keyed.select("parent_stage_id", "operation", "k", F.col("id").alias("id_b"))
     pairs = keyed.join(b, ["parent_stage_id", "operation", "k"]).where(F.col("id") < F.col("id_b")).select(F.col("id").alias("id_a"), "id_b").distinct()
