@@ -5,9 +5,13 @@ values.  ``canonical`` turns a text into a set of tokens in which everything
 that does not count has been removed: case, accents, invisible characters,
 punctuation, ways of writing dates, times, numbers and amounts, articles,
 polite and framing words, everyday synonyms, and (with a ``Lexicon``) slips of
-spelling in words that are no values.  Numbers stay bound to the noun they
+spelling in words that are no values, put right by the words around them.  Numbers stay bound to the noun they
 count and names stay bound to ``from`` / ``to``, so exchanged values differ.
 
+``score`` decides a pair: it is the share of canonical tokens in common, 0
+unless the two are the same task once the slips of each are put right to
+words of the other.
+
 Null, empty and blank texts have no canonical form (``None``) and are never
 the same as anything.
 """
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 # --- fixed values: words of English that carry no value in a request ---------
@@ -37,11 +42,12 @@ STOP_WORDS = frozenset(
 FRAMING = re.compile(
     r"\((?:as discussed|as before|thanks|please)\)|\bas (?:discussed|soon as possible)\b|\bif possible\b"
     r"|\bthat is all\b|\bthat's all\b|\bfor me\b|\bthank you\b|\bmany thanks\b|\bwould like(?: you)? to\b"
-    r"|\b(?:my goal|user request|goal|task|request|instruction)\s*:"
+    r"|\b(?:my goal|user request|goal|task|request|instruction)\s*:|\b(?:(?:small|quick|little|big) )?favou?r\s*:"
 )
 PHRASES = (  # everyday ways of saying the same thing; the first that fits at a place counts
-    (r"(?:no|not) less than|a minimum of|minimum|or more", "least"),
-    (r"(?:no|not) more than|a maximum of|maximum|up to|or less", "most"),
+    (r"(?:least expensive|least costly|lowest priced|lowest price)", "cheapest"),
+    (r"(?:no|not) (?:less|fewer|lower) than|(?:no|not) (?:under|below)|a minimum of|minimum|or more", "least"),
+    (r"(?:no|not) (?:more|greater|higher) than|(?:no|not) (?:over|above|exceeding)|a maximum of|maximum|up to|or less", "most"),
     (r"(?:less|lower|cheaper|fewer) than|under|below", "under"),
     (r"(?:more|greater|higher) than|over|above", "over"),
     (r"(?:open|go to|navigate to|visit|in|on|at)(?: the)? forum", "forum"),
@@ -58,7 +64,9 @@ SYNONYMS = {
     "flights": "flight", "put": "add", "tagged": "labelled", "labeled": "labelled", "authored": "written",
 }
 DROPPED = frozenset("written made posted leaving starting about regarding concerning change costing forum".split())
-OTHER_WORDS = frozenset("look search looking searching visit last list over above below minimum maximum no not less more than most least forum sort".split())
+OTHER_WORDS = frozenset(
+    "look search looking searching visit last list over above below minimum maximum no not less more than most least forum sort lowest priced price expensive costly favour favor small".split()
+)
 # ------------------------------------------------------------------------------
 
 _ZERO_WIDTH = re.compile("[​-‏⁠﻿­]")
@@ -115,69 +123,124 @@ def words(text: str | None) -> list[str] | None:
     return _TOKEN.findall(t) or None
 
 
+NAME, VALUE, START, END = "_", "#", "^", "$"  # classes of words that are not known, and the ends of a text
+
+
 @dataclass
 class Lexicon:
     """The words of all goals that are no values: what slips are put right to.
 
     ``common`` maps a word to the number of texts that hold it; it is counted
-    over the whole corpus and only words over a share of all texts stay, so
+    over a whole corpus and only words over a share of all texts stay, so
     its size has a bound (1 / share words per position of a text).  ``usual``
     are less common words that are too frequent for slips: they stay as they are.
+    ``context`` maps the classes of the words before and behind a place to the
+    words that stand there, with their counts.
     """
 
     common: dict[str, int] = field(default_factory=dict)
     usual: frozenset[str] = frozenset()
-    _memo: dict[str, str] = field(default_factory=dict, repr=False)
+    context: dict[str, dict[str, int]] = field(default_factory=dict)
+    _memo: dict[str, dict[str, int]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        base = STOP_WORDS | OTHER_WORDS | DROPPED | set(SYNONYMS) | set(SYNONYMS.values()) | set(MONTHS) | set(NUMBER_WORDS)
-        self.known = dict.fromkeys(base, 1) | self.common
+        self.known = dict.fromkeys(base_words(), 1) | self.common
         self._deletes: dict[str, list[str]] = {}
         for w in self.known:
-            for k in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
-                self._deletes.setdefault(k, []).append(w)
+            if len(w) > 2:
+                for k in _deleted(w, 2 if len(w) > 3 else 1):
+                    self._deletes.setdefault(k, []).append(w)
 
-    def right(self, w: str) -> str:
-        """The common word that ``w`` is one slip away from, else ``w``."""
-        if w in self.known or w in self.usual or len(w) < 3 or w[0].isdigit() or w[0] == "#":
-            return w
+    def near(self, w: str) -> dict[str, int]:
+        """The known words one slip away from ``w``, or two where both are longer than three, with the number of slips."""
         if (hit := self._memo.get(w)) is None:
-            near = {
-                c
-                for k in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
-                for c in self._deletes.get(k, ())
-                if len(c) > 2 and _one_slip(w, c)
-            }
-            hit = max(near, key=lambda c: (c[0] == w[0], self.known[c], c)) if near else w
+            there = {c for k in _deleted(w, 2 if len(w) > 3 else 1) for c in self._deletes.get(k, ())}
+            hit = {c: d for c in there if c != w and (d := slips(w, c)) <= (2 if min(len(c), len(w)) > 3 else 1)}
             if len(self._memo) < 500_000:
                 self._memo[w] = hit
         return hit
 
+    def kind(self, w: str) -> str:
+        """The word itself if it is known, else its class."""
+        if w in self.known:
+            return w
+        return VALUE if w[0] == "#" or w[0].isdigit() else NAME
+
+    def right(self, w: str, before: str = "", behind: str = "") -> str:
+        """The word meant by ``w`` between words of these classes.
+
+        A word that is not known becomes the near one that stands there at
+        least twice as often as names do, else the most common one a single
+        slip away.  A known one becomes another only where it hardly ever
+        stands and the other, a single slip away, mostly does.
+        """
+        if len(w) < 3 or w[0].isdigit() or w[0] == "#" or w in self.usual or not (near := self.near(w)):
+            return w
+        there = self.context.get(f"{before} {behind}", {})
+        if w in self.known:
+            best = max((c for c, d in near.items() if d == 1), key=lambda c: (there.get(c, 0), c), default=None)
+            return best if best and there.get(best, 0) >= 50 * max(1, there.get(w, 0)) else w
+        fit = [c for c in near if there.get(c, 0) >= 2 * there.get(NAME, 0) and c in there]
+        if fit:
+            return min(fit, key=lambda c: (near[c], -there[c], c))
+        one = [c for c, d in near.items() if d == 1]
+        return max(one, key=lambda c: (c[0] == w[0], self.known[c], c)) if one else w
+
+    def corrected(self, ws: list[str]) -> list[str]:
+        """The words with slips put right, from the left."""
+        out: list[str] = []
+        before = START
+        for i, w in enumerate(ws):
+            w = self.right(w, before, self.kind(ws[i + 1]) if i + 1 < len(ws) else END)
+            out.append(w)
+            before = self.kind(w)
+        return out
+
+
+def base_words() -> set[str]:
+    """The words that the rules above name."""
+    return STOP_WORDS | OTHER_WORDS | DROPPED | set(SYNONYMS) | set(SYNONYMS.values()) | set(MONTHS) | set(NUMBER_WORDS)
 
-def _one_slip(a: str, b: str) -> bool:
-    """One insertion, deletion, substitution or swap of neighbours apart."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return (
-        a[i:] == b[i + 1 :]
-        or a[i + 1 :] == b[i:]
-        or a[i + 1 :] == b[i + 1 :]
-        or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    )
+
+def _deleted(w: str, n: int) -> set[str]:
+    """``w`` and what stays of it without up to ``n`` letters."""
+    out = last = {w}
+    for _ in range(n):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
+def slips(a: str, b: str, most: int = 2) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours between two words; ``most + 1`` if there are more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    two: list[int] = []
+    one = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, two[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return most + 1
+        two, one = one, row
+    return min(one[-1], most + 1)
 
 
 def canonical(text: str | None, lexicon: Lexicon | None = None) -> list[str] | None:
     """Sorted canonical tokens of a goal; None for null, blank or wordless texts."""
     ws = words(text)
-    if ws is None:
-        return None
+    return None if ws is None else canonical_words(ws, lexicon)
+
+
+def canonical_words(ws: list[str], lexicon: Lexicon | None = None) -> list[str] | None:
+    """Sorted canonical tokens of the words of a goal."""
     t = " ".join(ws)
     if lexicon is not None:
-        known, right = lexicon.known, lexicon.right
-        fixed = " ".join([w if w in known else right(w) for w in ws])
+        fixed = " ".join(lexicon.corrected(ws))
         if fixed != t:  # a slip put right may complete a phrase
             t = _NUM_WORD.sub(lambda m: _NUMBER[m[1]], FRAMING.sub(" ", fixed))
     ws = _PHRASE.sub(lambda m: PHRASES[m.lastindex - 1][1], t).split()
@@ -205,6 +268,40 @@ def canonical(text: str | None, lexicon: Lexicon | None = None) -> list[str] | N
     return sorted(out) or None
 
 
-def values(tokens: list[str]) -> list[str]:
-    """The tokens that are numbers, dates, times or amounts: equal for the same task."""
-    return [t for t in tokens if t[0] == "#" or t[0].isdigit()]
+def numbers(tokens: Iterable[str]) -> list[str]:
+    """The numbers, dates, times and amounts, without what they count: equal for the same task."""
+    return sorted(t.partition(":")[0] for t in tokens if t[0] == "#" or t[0].isdigit())
+
+
+def score(a: str, b: str, lexicon: Lexicon, least: float = 0.6) -> float:
+    """How alike two goals (their words, joined by spaces) are if they are the same task, else 0.
+
+    The share is that of the canonical tokens in common (twice their number
+    over the sum of both).  Tokens that differ must come from slips: each
+    word that is not known and stands in one text only is put right to the
+    nearest known word of the other text, and then all tokens must be equal.
+    """
+    one, two = a.split(), b.split()
+    x, y = canonical_words(one, lexicon) or [], canonical_words(two, lexicon) or []
+    if x == y:
+        return 1.0
+    alike = 2 * len(set(x) & set(y)) / (len(x) + len(y))
+    if alike < least or numbers(x) != numbers(y):
+        return 0.0
+    one_right, two_right = _towards(one, two, lexicon), _towards(two, one, lexicon)
+    if one_right == one and two_right == two:
+        return 0.0
+    return alike if canonical_words(one_right, lexicon) == canonical_words(two_right, lexicon) else 0.0
+
+
+def _towards(ws: list[str], other: list[str], lexicon: Lexicon) -> list[str]:
+    """``ws`` with words that are not known put right to the nearest known word that only ``other`` has."""
+    mine, out = set(ws), []
+    theirs = (set(other) | set(lexicon.corrected(other))) - mine
+    for w in ws:
+        if w[0].isalpha() and len(w) > 2 and w not in lexicon.known and w not in other:
+            near = {c: d for c, d in lexicon.near(w).items() if c in theirs}
+            if near:
+                w = min(near, key=lambda c: (near[c], c))
+        out.append(w)
+    return out

@@ -1,102 +1,371 @@
 """New batches against all history: graph index shards of the goals accepted so far.
 
 1. First arrivals; groups of exact copies become one row each.
-2. Each text gets its canonical tokens (``goals``) and, from them, a vector.
-3. The index is partitioned by the numbers, dates and amounts of a goal: the
-   same task has the same ones, so a query needs the shards of one partition
-   only, and none is lost.  A partition over ``PARTITION_ROWS`` rows is split
-   further by its names, which the same task shares as well, in a power of two.
-4. In each partition the history is a list of small-world graphs, one for each
-   segment.  A new batch is searched in all of them with a beam widened until
-   it meets exhaustive search on a probe, each candidate is decided by its
-   canonical tokens, and the batch becomes a new shard.  Once there are more
-   than ``MAX_SHARDS``, the newest are merged into one.
-5. Links join records to classes; the first record of a class is the accepted
+2. Each text gets its words, its canonical tokens (``goals``) and, from these, a vector.
+3. The index has a number of parts that is stored with it, and the part of a
+   goal follows from the goal alone: from its numbers, dates and amounts,
+   which the same task shares.  A goal with fewer than two of them also goes
+   by its names, and stands in two parts, those of its two names with the
+   least hashes: one word that is no name on either side cannot part a pair.
+4. A part is a list of shards, one a segment of the history, each a navigable
+   small-world graph.  A batch (``Index.add``) becomes a new shard of each part
+   it touches and is searched in the shards before, with a beam widened until
+   it meets exhaustive search on a probe.  What the search brings is re-ranked
+   by ``goals.score``, the exact decision on a pair.
+5. Once a part has more than ``MAX_SHARDS`` shards, the newer ones are merged
+   (``Index.compact``); where the index has outgrown its parts, they are doubled.
+6. Links join records to classes; the first record of a class is the accepted
    one, and every other is a case.
 
-``index_batch`` does the same step by step with shards stored as a table, so
-a batch reads the stored shards instead of the records behind them.  The split
-of a route stands in its stored shards and holds for every later batch; where
-a batch makes the route too large, they are split again first.
+The shards are a table in the shared folder: a batch reads those of the parts
+it touches and appends its own; records behind the shards are not read again,
+and the lexicon is that of the first segment, so that forms do not shift.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, table
-from .common import exact_form, first_arrival, lexicon, representatives
-from .goals import Lexicon, canonical
+from ..session import cut, shared_folder, table
+from .common import exact_form, first_arrival, lexicon, representatives, worded
+from .goals import Lexicon, canonical_words, numbers, score
 from .graph import SmallWorld
 
 DIM = 48
-PARTITION_ROWS = 4000
+PARTITION_ROWS = 4096
+SHARD_POINTS = 1 << 15
 MAX_SHARDS = 4
 LAST_BATCH = 2**31 - 1
+NEAR = 0.6
 LINKS = "kind string, batch int, key string, to_batch int, to_key string"
-STORED = "kind string, route long, piece long, pieces long, segment int, points long, graph binary"
+SHARDS = "kind string, since int, upto int, slot int, points long, graph binary, part int"
+POINTS = ["kind", "batch", "key", "words", "tokens", "route"]
+
+
+def vectors(tokens: list[str], known: dict[str, int]) -> np.ndarray:
+    """Unit sums of a fixed random direction a token; values weigh more than common words."""
+    ids: dict[str, int] = {}
+    split = [t.split(" ") for t in tokens]
+    flat = np.fromiter((ids.setdefault(t, len(ids)) for ts in split for t in ts), np.int64)
+    bits = b"".join(hashlib.blake2b(t.encode(), digest_size=DIM // 8).digest() for t in ids)
+    table = np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(len(ids), DIM).astype(np.float32) * 2 - 1
+    table *= np.array([0.4 if t in known else 1.0 for t in ids], np.float32)[:, None]
+    sizes = np.array([len(ts) for ts in split])
+    x = np.add.reduceat(table[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _hashes(texts: list[str]) -> np.ndarray:
+    return np.fromiter((int.from_bytes(hashlib.blake2b(t.encode(), digest_size=7).digest()) for t in texts), np.int64)
+
+
+class Shard:
+    """A graph with the records behind its points, in the order of batch and key."""
+
+    def __init__(self, rows: pd.DataFrame, known: dict[str, int]) -> None:
+        self.batch, self.key = rows["batch"].to_numpy(np.int64), rows["key"].tolist()
+        self.words, self.tokens = rows["words"].tolist(), rows["tokens"].tolist()
+        self.route = rows["route"].to_numpy(np.int64)
+        self.same = _hashes(self.tokens)
+        self.values = _hashes([" ".join(numbers(t.split(" "))) for t in self.tokens])
+        self.graph = SmallWorld(DIM)
+        self.x = vectors(self.tokens, known)
+
+    def build(self, lex: Lexicon) -> list[tuple[int, int]]:
+        """Inserts the points; (point, the first point before it that is the same task)."""
+        out, at = [], 0
+        for ids, sims in self.graph.add(self.x):
+            out += self.links(self, at, ids, sims, lex)
+            at += len(ids)
+        self.beam = self.graph.tuned_beam()
+        return out
+
+    def links(self, q: Shard, at: int, ids: np.ndarray, sims: np.ndarray, lex: Lexicon) -> list[tuple[int, int]]:
+        """Exact re-ranking: (query, the first of the points found for it that is the same task)."""
+        out = []
+        end = at + len(ids)
+        there = sims > -1.5
+        equal = there & (self.same[ids] == q.same[at:end, None])
+        near = there & ~equal & (sims > NEAR) & (self.values[ids] == q.values[at:end, None])
+        for i in np.flatnonzero((equal | near).any(1)):
+            hits = ids[i, equal[i]].tolist()
+            hits += [j for j in ids[i, near[i]].tolist() if score(q.words[at + i], self.words[j], lex) > 0]
+            if hits:
+                out.append((at + int(i), min(hits, key=lambda j: (self.batch[j], self.key[j]))))
+        return out
+
+    def search(self, q: Shard, lex: Lexicon, rows: np.ndarray) -> list[tuple[int, int]]:
+        """Links of the rows ``rows`` of ``q`` to points of this shard."""
+        out = []
+        for k in range(0, len(rows), 256):
+            part = rows[k : k + 256]
+            ids, sims = self.graph.search(q.x[part], self.beam)
+            view = _View(q, part)
+            out += [(int(part[i]), j) for i, j in self.links(view, 0, ids, sims, lex)]
+        return out
 
-_memo: dict[str, np.ndarray] = {}
+    def stored(self) -> bytes:
+        x = self.graph.x.astype(np.float16)
+        return pickle.dumps((self.batch, self.key, self.words, self.tokens, self.route, self.same, self.values, x, self.graph.links, self.graph.fill, self.beam))
 
+    @staticmethod
+    def load(data: bytes) -> Shard:
+        s = Shard.__new__(Shard)
+        s.batch, s.key, s.words, s.tokens, s.route, s.same, s.values, x, links, fill, s.beam = pickle.loads(data)
+        s.graph = SmallWorld(DIM)
+        s.x = s.graph.x = x.astype(np.float32)
+        s.graph.links, s.graph.fill = links, fill
+        return s
 
-def vector(tokens: list[str], known: dict[str, int]) -> np.ndarray:
-    """Unit sum of a fixed random direction a token; values weigh more than common words."""
-    out = np.zeros(DIM, np.float32)
-    for t in tokens:
-        v = _memo.get(t)
-        if v is None:
-            if len(_memo) > 200_000:
-                _memo.clear()
-            bits = np.random.default_rng(zlib.crc32(t.encode())).integers(0, 2, DIM)
-            v = _memo[t] = (2 * bits - 1).astype(np.float32)
-        out += v if t not in known else 0.4 * v
-    norm = float(np.linalg.norm(out))
-    return out / norm if norm else out
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"batch": self.batch, "key": self.key, "words": self.words, "tokens": self.tokens, "route": self.route})
 
 
-class Shards:
-    """The graphs of one partition with the records behind their points."""
+class _View:
+    """Some rows of a shard, as queries."""
 
-    def __init__(self) -> None:
-        self.graphs: list[tuple[SmallWorld, list[tuple], int]] = []
+    def __init__(self, q: Shard, rows: np.ndarray) -> None:
+        self.same, self.values = q.same[rows], q.values[rows]
+        self.words = [q.words[i] for i in rows.tolist()]
 
-    def take(self, batch: list[tuple], vectors: np.ndarray) -> list[tuple[tuple, tuple]]:
-        """Searches a batch, adds it as a new shard and returns the links of same tasks found.
 
-        ``batch``: (batch, key, tokens), by key.
+def tokenised(texts: DataFrame, words: Lexicon) -> DataFrame:
+    """``POINTS``, one row a route of each text (kind, batch, key, words) with canonical tokens."""
+    common, usual, context = words.common, words.usual, words.context
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = Lexicon(common, usual, context)
+        for pdf in batches:
+            rows = []
+            for kind, batch, key, ws in pdf.itertuples(index=False):
+                tokens = canonical_words(ws.split(" "), lex)
+                if tokens:
+                    rows += [(kind, batch, key, ws, " ".join(tokens), r) for r in routes(kind, tokens, lex.known)]
+            yield pd.DataFrame(rows, columns=POINTS)
+
+    schema = "kind string, batch int, key string, words string, tokens string, route long"
+    return texts.select("kind", "batch", "key", "words").mapInPandas(run, schema)
+
+
+def routes(kind: str, tokens: list[str], known: dict[str, int]) -> set[int]:
+    """Hashes that two goals of the same task have at least one of in common."""
+    values = [kind, *numbers(tokens)]
+    parts = [values]
+    if len(values) < 3:
+        names = {t.removeprefix("from:") for t in tokens if t[0].isalpha()} - known.keys()
+        parts = [[*values, n] for n in sorted(names, key=lambda n: zlib.crc32(n.encode()))[:2]] or parts
+    return {zlib.crc32(" ".join(p).encode()) for p in parts}
+
+
+class Index:
+    """The shards of all accepted records in a folder; ``add`` takes new batches."""
+
+    def __init__(self, spark: SparkSession, folder: str, words: Lexicon, parts: int, generation: int = 0, segments: int = 0) -> None:
+        self.spark, self.folder, self.words = spark, folder, words
+        self.parts, self.generation, self.segments = parts, generation, segments
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, words: Lexicon, rows: int, partition_rows: int = PARTITION_ROWS) -> Index:
+        """An empty index for a history of about ``rows`` records."""
+        parts = 1
+        while parts * partition_rows < rows:
+            parts *= 2
+        out = cls(spark, folder, words, parts)
+        out._save()
+        return out
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        states = [json.loads(r[0]) for r in spark.read.text(f"{folder}/state/*").collect()]
+        s = max(states, key=lambda s: s["version"])
+        words = Lexicon(s["common"], frozenset(s["usual"]), s["context"])
+        return cls(spark, folder, words, s["parts"], s["generation"], s["segments"])
+
+    def _save(self) -> None:
+        version = self.segments + 1000000 * self.generation
+        state = {"version": version, "parts": self.parts, "generation": self.generation, "segments": self.segments}
+        state |= {"common": self.words.common, "usual": sorted(self.words.usual), "context": self.words.context}
+        path = f"{self.folder}/state/{version}"
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    def _path(self) -> str:
+        return f"{self.folder}/shards/{self.generation}"
+
+    def shards(self) -> DataFrame:
+        """All live shards: those that no merged shard covers."""
+        if not self.segments:
+            return self.spark.createDataFrame([], SHARDS)
+        every = self.spark.read.schema(SHARDS).parquet(self._path())
+        w = W.partitionBy("kind", "part").orderBy("since", F.desc("upto")).rowsBetween(W.unboundedPreceding, -1)
+        keys = every.select("kind", "part", "since", "upto").distinct()  # without the graphs
+        live = keys.withColumn("_over", F.max("upto").over(w)).where(F.coalesce(F.col("_over") < F.col("upto"), F.lit(True))).drop("_over")
+        return every.join(live, ["kind", "part", "since", "upto"], "left_semi")
+
+    def add(self, points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
+        """Batches of new records (``tokenised``) against the index and one another; the links found.
+
+        Each batch becomes a segment.  The rows of a part in one batch make
+        one shard, or several (``slot``) where they are more than
+        ``shard_points``, and the shards of a part are searched in groups of
+        about as many points, so that no task holds more than one group.
         """
-        links: list[tuple[tuple, tuple]] = []
-        for graph, points, beam in self.graphs:
-            for at in range(0, len(batch), 256):
-                ids, sims = graph.search(vectors[at : at + 256], beam)
-                for i, (near, s) in enumerate(zip(ids, sims, strict=True)):
-                    links += self._same(batch[at + i], [points[j] for j in near[s > -1.5]])
-        graph = SmallWorld(DIM)
-        for i, near in enumerate(graph.add(vectors)):
-            links += self._same(batch[i], [batch[j] for j in near])
-        self.graphs.append((graph, batch, graph.tuned_beam()))
-        if len(self.graphs) > MAX_SHARDS:
-            self.compact()
-        return links
+        points = points.withColumn("part", F.pmod("route", F.lit(self.parts)).cast("int"))
+        sizes = points.groupBy("kind", "part", "batch").agg(F.count("*").alias("n")).cache()
+        batches = sorted(r[0] for r in sizes.select("batch").distinct().collect())  # a row a batch
+        if not batches:
+            sizes.unpersist()
+            return self.spark.createDataFrame([], LINKS)
+        number = F.array_position(F.array(*[F.lit(b) for b in batches]), F.col("batch")).cast("int") + (self.segments - 1)
+        split = sizes.where(F.col("n") > shard_points).select("kind", "part", "batch", F.ceil(F.col("n") / shard_points).cast("int").alias("slots"))
+        points = points.join(split, ["kind", "part", "batch"], "left")
+        slot = F.when(F.col("slots").isNotNull(), F.pmod(F.xxhash64("key"), "slots").cast("int")).otherwise(0)
+        points = cut(points.select(*POINTS, "part", number.alias("segment"), slot.alias("slot")))
+        sizes.unpersist()
+        before, self.segments = self.shards(), self.segments + len(batches)
+        new = points.groupBy("kind", "part", "segment", "slot").applyInPandas(_build(self.words), f"{SHARDS}, {LINKS.replace('kind', 'of')}")
+        new = cut(new)  # a shard with its own links, or one of these
+        columns = [c.strip().split(" ")[0] for c in SHARDS.split(",")]
+        new.where("graph is not null").select(*columns).write.mode("append").partitionBy("part").parquet(self._path())
+        self._save()
+        own = new.where("to_key is not null").select(F.col("of").alias("kind"), "batch", "key", "to_batch", "to_key")
+        return own.unionByName(cut(self._search(points, before.unionByName(new.where("graph is not null").select(*columns)), shard_points)))
+
+    def _search(self, points: DataFrame, shards: DataFrame, shard_points: int) -> DataFrame:
+        touched = points.select("kind", "part").distinct()
+        shards = shards.join(touched, ["kind", "part"], "left_semi")
+        w = W.partitionBy("kind", "part").orderBy("since", "upto", "slot").rowsBetween(W.unboundedPreceding, -1)
+        group = F.floor(F.coalesce(F.sum("points").over(w), F.lit(0)) / shard_points).cast("int").alias("group")
+        groups = cut(shards.select("kind", "part", "since", "upto", "slot", "points").select("*", group).drop("points"))
+        heads = groups.groupBy("kind", "part", "group").agg(F.min("since").alias("first"))
+        slots = points.select("kind", "part", "slot").distinct().withColumnRenamed("slot", "q_slot")
+        left = shards.drop("points").join(groups, ["kind", "part", "since", "upto", "slot"]).join(slots, ["kind", "part"])
+        # a batch meets the shards before it, and those of its own segment in slots before its own
+        later = (F.col("first") < F.col("segment")) | ((F.col("first") == F.col("segment")) & (F.col("slot") > 0))
+        right = points.join(heads, ["kind", "part"]).where(later).withColumnRenamed("slot", "q_slot")
+        key = ["kind", "part", "group", "q_slot"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_meet(self.words), LINKS)
+
+    def compact(self, max_shards: int = MAX_SHARDS, shard_points: int = SHARD_POINTS, partition_rows: int = PARTITION_ROWS) -> None:
+        """Merges shards of parts that have more than ``max_shards``, and doubles the parts once they are twice too large."""
+        live = self.shards()
+        rows = live.agg(F.sum("points")).first()[0] or 0
+        if rows > 4 * partition_rows * self.parts:
+            return self._double(live, rows, partition_rows)
+        keys = live.select("kind", "part", "since", "upto", "slot", "points")
+        many = keys.groupBy("kind", "part").agg(F.count("*").alias("shards"), F.max("slot").alias("slots")).where((F.col("shards") > max_shards) & (F.col("slots") == 0))
+        newest = W.partitionBy("kind", "part").orderBy(F.desc("upto")).rowsBetween(W.unboundedPreceding, 0)
+        small = keys.join(many, ["kind", "part"]).withColumn("_sum", F.sum("points").over(newest)).withColumn("_n", F.row_number().over(newest))
+        # the newest, while they are small together; the oldest, largest ones stay as they are
+        small = small.where((F.col("_sum") <= shard_points) & (F.col("_n") <= F.col("shards") - max_shards // 2))
+        small = live.join(small.select("kind", "part", "since", "upto", "slot"), ["kind", "part", "since", "upto", "slot"], "left_semi")
+        merged = cut(small.groupBy("kind", "part").applyInPandas(_merge(self.words), SHARDS).where("points > 0"))
+        merged.write.mode("append").partitionBy("part").parquet(self._path())
+
+    def _double(self, live: DataFrame, rows: int, partition_rows: int) -> None:
+        """All shards split by the routes of their points, into a new generation of the table."""
+        parts = self.parts
+        while parts * partition_rows < rows:
+            parts *= 2
+        out = live.mapInPandas(_resplit(self.words, parts), SHARDS)
+        self.generation, self.parts = self.generation + 1, parts
+        out.write.mode("overwrite").partitionBy("part").parquet(self._path())
+        self._save()
+
+
+def _lexicon(words: Lexicon):
+    common, usual, context = words.common, words.usual, words.context
+    made: list[Lexicon] = []
+
+    def get() -> Lexicon:
+        if not made:
+            made.append(Lexicon(common, usual, context))
+        return made[0]
+
+    return get
+
+
+def _build(words: Lexicon):
+    get = _lexicon(words)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, part, segment, slot = key
+        lex = get()
+        s = Shard(pdf.sort_values(["batch", "key"], kind="stable"), lex.known)
+        links = s.build(lex)
+        out = pd.DataFrame(
+            [(kind, int(s.batch[i]), s.key[i], int(s.batch[j]), s.key[j]) for i, j in links], columns=["of", "batch", "key", "to_batch", "to_key"]
+        )
+        own = {"kind": kind, "since": segment, "upto": segment, "slot": slot, "points": len(pdf), "graph": s.stored(), "part": part}
+        out = pd.concat([pd.DataFrame([own]), out], ignore_index=True)
+        names = [c.strip().split(" ")[0] for c in f"{SHARDS}, {LINKS.replace('kind', 'of')}".split(",")]
+        return out.reindex(columns=names).astype(object).where(out.reindex(columns=names).notna(), None)
+
+    return run
+
+
+def _meet(words: Lexicon):
+    get = _lexicon(words)
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            lex = get()
+            right = right.sort_values(["segment", "batch", "key"], kind="stable")
+            q = Shard(right, lex.known)
+            segment, slot = right["segment"].to_numpy(), right["q_slot"].to_numpy()
+            for upto, of_slot, graph in zip(left["upto"], left["slot"], left["graph"], strict=True):
+                rows = np.flatnonzero((segment > upto) | ((segment == upto) & (slot > of_slot)))
+                if len(rows):
+                    s = Shard.load(graph)
+                    out += [(key[0], int(q.batch[i]), q.key[i], int(s.batch[j]), s.key[j]) for i, j in s.search(q, lex, rows)]
+        return pd.DataFrame(out, columns=["kind", "batch", "key", "to_batch", "to_key"])
+
+    return run
+
+
+def _row(kind: str, part: int, since: int, upto: int, slot: int, rows: pd.DataFrame, lex: Lexicon) -> tuple:
+    s = Shard(rows, lex.known)
+    s.graph.add(s.x)
+    s.beam = s.graph.tuned_beam()
+    return kind, since, upto, slot, len(rows), s.stored(), part
+
+
+def _merge(words: Lexicon):
+    get = _lexicon(words)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = [c.strip().split(" ")[0] for c in SHARDS.split(",")]
+        if len(pdf) < 2:
+            return pd.DataFrame([], columns=names)
+        rows = pd.concat([Shard.load(g).rows() for g in pdf.sort_values("since")["graph"]], ignore_index=True)
+        return pd.DataFrame([_row(key[0], key[1], int(pdf["since"].min()), int(pdf["upto"].max()), 0, rows, get())], columns=names)
+
+    return run
 
-    @staticmethod
-    def _same(one: tuple, near: list[tuple]) -> list[tuple[tuple, tuple]]:
-        return [(one, p) for p in near if p[2] == one[2] and p[:2] != one[:2]]
 
-    def compact(self) -> None:
-        """Merges the newer half of the shards into one graph; the large old ones stay."""
-        keep = len(self.graphs) // 2
-        old = self.graphs[keep:]
-        graph, points = SmallWorld(DIM), [p for _, ps, _ in old for p in ps]
-        graph.add(np.concatenate([g.x for g, _, _ in old]))
-        self.graphs = [*self.graphs[:keep], (graph, points, graph.tuned_beam())]
+def _resplit(words: Lexicon, parts: int):
+    get = _lexicon(words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.strip().split(" ")[0] for c in SHARDS.split(",")]
+        for pdf in batches:
+            for kind, since, upto, slot, graph in pdf[["kind", "since", "upto", "slot", "graph"]].itertuples(index=False):
+                rows = Shard.load(graph).rows()
+                out = [_row(kind, int(p), since, upto, slot, r, get()) for p, r in rows.groupby(rows["route"] % parts)]
+                yield pd.DataFrame(out, columns=names)
+
+    return run
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,73 +382,20 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("kind", "key", F.coalesce("batch_no", F.lit(LAST_BATCH)).cast("int").alias("batch"), "text")
 
 
-def _names(tokens: list[str] | tuple[str, ...], known: dict[str, int]) -> int:
-    return zlib.crc32(" ".join(t for t in tokens if t[0].isalpha() and t not in known).encode())
+def settled(label: DataFrame, step, key: list[str], value: str, most: int = 200) -> DataFrame:  # noqa: ANN001
+    """``step`` of ``label`` (``key``, ``value``) again and again until ``value`` changes nowhere; raises when it does not settle.
 
-
-def tokenised(texts: DataFrame, words: Lexicon) -> DataFrame:
-    """One row a text that has a canonical form: tokens, hash of its numbers, hash of its names."""
-    common, usual = words.common, words.usual
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(common, usual)
-        for pdf in batches:
-            rows = []
-            for kind, batch, key, text in pdf.itertuples(index=False):
-                tokens = canonical(text, lex)
-                if tokens:
-                    numbers = sorted(t.partition(":")[0] for t in tokens if t[0] == "#" or t[0].isdigit())
-                    route = zlib.crc32(" ".join([kind, *numbers]).encode())
-                    rows.append((kind, batch, key, tokens, route, _names(tokens, lex.known)))
-            yield pd.DataFrame(rows, columns=["kind", "batch", "key", "tokens", "route", "names"])
-
-    return texts.select("kind", "batch", "key", "text").mapInPandas(
-        run, "kind string, batch int, key string, tokens array<string>, route long, names long"
-    )
-
-
-def _pieces(count: Column, rows: int) -> Column:
-    """The least power of two of pieces that have ``rows`` rows each, on average."""
-    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), count / rows)))).cast("long")
-
-
-def partitioned(tokens: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
-    """``tokens`` with ``part``: by numbers, and by numbers and names where those have too many rows.
-
-    ``part`` holds within this frame; ``index_batch`` goes by the split that is stored with the index.
+    ``step`` returns ``key``, ``value`` and ``was``.  Each round is cut by a checkpoint.
     """
-    hot = tokens.groupBy("kind", "route").count().where(F.col("count") > rows)
-    hot = hot.select("kind", "route", _pieces(F.col("count"), rows).alias("pieces"))
-    piece = F.coalesce(F.pmod("names", "pieces"), F.lit(0))
-    out = tokens.join(hot, ["kind", "route"], "left")
-    return out.withColumn("part", F.xxhash64("kind", "route", piece)).drop("pieces")
-
-
-def _replay(common: dict[str, int]):
-    """A task's partitions, each batch after batch: links of same tasks."""
+    for _ in range(most):
+        new = cut(step(label))
+        label = new.select(*key, value)
+        if new.where(F.col(value) != F.col("was")).isEmpty():
+            return label
+    raise RuntimeError(f"not settled after {most} rounds")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = Lexicon(common).known
-        out = []
-        # partitions of a task are small graphs of their own; rows come by partition, batch, key
-        pdf = pdf.sort_values(["part", "batch", "key"], kind="stable")
-        pdf["tokens"] = [tuple(t) for t in pdf["tokens"]]
-        for (_, kind), group in pdf.groupby(["part", "kind"], sort=False):
-            if len(group) < 2:
-                continue
-            shards = Shards()
-            x = np.stack([vector(t, known) for t in group["tokens"]])
-            rows = list(zip(group["batch"], group["key"], group["tokens"], strict=True))
-            cuts = [0, *(np.flatnonzero(np.diff(group["batch"])) + 1).tolist(), len(rows)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                for one, other in shards.take(rows[a:b], x[a:b]):
-                    out.append((kind, int(one[0]), one[1], int(other[0]), other[1]))
-        return pd.DataFrame(out, columns=["kind", "batch", "key", "to_batch", "to_key"])
 
-    return run
-
-
-def classes(links: DataFrame, rounds: int = 50) -> DataFrame:
+def classes(links: DataFrame) -> DataFrame:
     """(kind, batch, key) of every linked record with ``accepted``, the first record of its class.
 
     Least labels spread over the links and jump to the label of their label;
@@ -190,20 +406,32 @@ def classes(links: DataFrame, rounds: int = 50) -> DataFrame:
     one = links.select("kind", me.alias("a"), other.alias("b"))
     edges = cut(one.unionByName(one.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = edges.groupBy("kind", "a").agg(F.min("b").alias("m")).select("kind", "a", F.least("a", "m").alias("m"))
-    label = cut(label)
-    for _ in range(rounds):
+
+    def step(label: DataFrame) -> DataFrame:
         near = edges.join(label.withColumnRenamed("a", "b"), ["kind", "b"]).groupBy("kind", "a").agg(F.min("m").alias("n"))
         jump = label.select("kind", F.col("a").alias("m"), F.col("m").alias("j"))
         new = label.join(near, ["kind", "a"]).join(jump, ["kind", "m"], "left")
-        new = new.select("kind", "a", F.least("m", "n", F.coalesce("j", "m")).alias("new"), "m")
-        new = cut(new)
-        changed = new.where(F.col("new") != F.col("m")).limit(1).count()
-        label = new.select("kind", "a", F.col("new").alias("m"))
-        if not changed:
-            break
+        return new.select("kind", "a", F.least("m", "n", F.coalesce("j", "m")).alias("m"), F.col("m").alias("was"))
+
+    label = settled(cut(label), step, ["kind", "a"], "m")
     return label.select("kind", "a.batch", "a.key", F.col("m").alias("accepted"))
 
 
+def indexed(spark: SparkSession, points: DataFrame, words: Lexicon, first: Column, rows: int, at_once: int = 6) -> DataFrame:
+    """The links of all batches: the history first, then the new batches, ``at_once`` of them a call, each with a shard of its own."""
+    folder = f"{shared_folder(spark)}/history-index-{uuid.uuid4().hex}"
+    index = Index.create(spark, folder, words, rows)
+    out = index.add(points.where(first))
+    new = sorted(r[0] for r in points.where(~first).select("batch").distinct().collect())  # a row a batch
+    for i in range(0, len(new), at_once):
+        if i:
+            index.compact()
+        out = out.unionByName(index.add(points.where(F.col("batch").isin(new[i : i + at_once]))))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # the links are written; nothing reads the shards any more
+    return out
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_found: every record that is the same task as one accepted before, with the accepted one.
 
@@ -213,10 +441,12 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = arrivals(spark, sf_dir).withColumn("form", exact_form(F.col("text"))).where(F.length("form") > 0)
     rows = cut(representatives(rows.withColumn("form", F.xxhash64("form", F.reverse("form"))), ["kind", "form"], ["batch", "key"]))
     reps = rows.where((F.col("rep.batch") == F.col("batch")) & (F.col("rep.key") == F.col("key")))
-    words = lexicon(reps, "text")
-    tokens = cut(partitioned(tokenised(reps, words)).drop("route", "names"))
-    task = F.pmod("part", F.lit(max(24, tokens.count() // PARTITION_ROWS)))
-    links = tokens.withColumn("_task", task).groupBy("_task").applyInPandas(_replay(words.common), LINKS)
+    texts = cut(worded(reps.select("kind", "batch", "key", "text"), "text"))
+    least = texts.agg(F.min("batch")).first()[0]
+    history = F.col("batch") == F.lit(least if least is not None else 0)
+    words = lexicon(texts.where(history))
+    points = cut(tokenised(texts, words))
+    links = indexed(spark, points, words, history, points.where(history).count())
     of = classes(links).select("kind", F.struct("batch", "key").alias("rep"), "accepted")
     # copies under a text follow their representative; without a link it stands for itself
     salt = F.pmod(F.xxhash64("key"), F.lit(16))
@@ -227,72 +457,3 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select(
         F.col("kind").alias("record_kind"), F.least("key", first).alias("key_a"), F.greatest("key", first).alias("key_b")
     )
-
-
-def _split_again(known: dict[str, int]):
-    """Stored shards of routes with more pieces than before (``to``): each becomes a shard in every piece it has points of."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for kind, route, to, segment, graph in pdf.itertuples(index=False):
-                old, points, _ = pickle.loads(graph)
-                piece = np.array([_names(p[2], known) % to for p in points])
-                rows = []
-                for k in np.unique(piece).tolist():
-                    at = np.flatnonzero(piece == k)
-                    new = SmallWorld(DIM)
-                    new.add(old.x[at])
-                    shard = (new, [points[i] for i in at], new.tuned_beam())
-                    rows.append((kind, route, k, to, segment, len(at), pickle.dumps(shard)))
-                yield pd.DataFrame(rows, columns=["kind", "route", "piece", "pieces", "segment", "points", "graph"])
-
-    return run
-
-
-def index_batch(stored: DataFrame | None, batch: DataFrame, words: Lexicon, rows: int = PARTITION_ROWS) -> tuple[DataFrame, DataFrame]:
-    """One batch against stored shards.
-
-    ``stored``: the columns of ``STORED`` (null for an empty index);
-    ``batch``: kind, batch, key, tokens, route, names; a ``part`` is not looked at.
-    Returns the links found and all shard rows, which replace those stored.
-    The pieces of a route never get fewer, and more once its stored points
-    and those of the batch are more than ``rows`` a piece.
-    """
-    known = words.known
-    spark = batch.sparkSession
-    stored = stored if stored is not None else spark.createDataFrame([], STORED)
-    route = ["kind", "route"]
-    was = stored.groupBy(*route).agg(F.max("pieces").alias("was"), F.sum("points").alias("n"))
-    came = batch.groupBy(*route).agg(F.count("*").alias("came"))
-    total = F.coalesce("n", F.lit(0)) + F.coalesce("came", F.lit(0))
-    split = was.join(came, route, "full").select(*route, F.greatest(F.coalesce("was", F.lit(1)), _pieces(total, rows)).alias("to"))
-    split = cut(split)
-    old = stored.join(split, route)
-    again = old.where(F.col("pieces") < F.col("to")).select(*route, "to", "segment", "graph").mapInPandas(_split_again(known), STORED)
-    old = cut(old.where(F.col("pieces") == F.col("to")).drop("to").unionByName(again))
-    new = batch.join(split, route).withColumn("piece", F.pmod("names", "to")).withColumnRenamed("to", "pieces")
-    new = new.select("kind", "route", "piece", "pieces", "batch", "key", "tokens")
-
-    def run(old: pd.DataFrame, new: pd.DataFrame) -> tuple[list, Shards]:
-        shards = Shards()
-        shards.graphs = [pickle.loads(g) for g in old.sort_values("segment")["graph"]]
-        if not len(new):
-            return [], shards
-        new = new.sort_values(["batch", "key"], kind="stable")
-        rows = [(int(b), k, tuple(t)) for b, k, t in zip(new["batch"], new["key"], new["tokens"], strict=True)]
-        return shards.take(rows, np.stack([vector(r[2], known) for r in rows])), shards
-
-    def link(key, old, new):  # noqa: ANN001, ANN202
-        links, _ = run(old, new)
-        return pd.DataFrame(
-            [(key[0], a[0], a[1], b[0], b[1]) for a, b in links], columns=["kind", "batch", "key", "to_batch", "to_key"]
-        )
-
-    def store(key, old, new):  # noqa: ANN001, ANN202
-        _, shards = run(old, new)
-        rows = [(*key, i, len(g[1]), pickle.dumps(g)) for i, g in enumerate(shards.graphs)]
-        return pd.DataFrame(rows, columns=["kind", "route", "piece", "pieces", "segment", "points", "graph"])
-
-    by = ["kind", "route", "piece", "pieces"]
-    both = old.groupBy(*by).cogroup(new.groupBy(*by))
-    return both.applyInPandas(link, LINKS), both.applyInPandas(store, STORED)
