@@ -27,17 +27,28 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that it is computed once.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which every machine sees; set as the checkpoint folder where it is not yet.
 
-    The folder is the one of ``spark.checkpoint.dir``; only where a session
-    names none (tests on one machine) a temporary folder is set.
+    A session on one machine (master ``local``) that names none gets a
+    temporary one; on a cluster that would be silently wrong, so it raises.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "trailmill-checkpoints")
-        )
+    sc = spark.sparkContext
+    there = sc._jsc.sc().getCheckpointDir()
+    if there.isDefined():
+        return there.get()
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = os.path.join(tempfile.gettempdir(), "trailmill-checkpoints")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that it is computed once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
