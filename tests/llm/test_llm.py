@@ -142,7 +142,7 @@ def test_search_of_real_goals_meets_exhaustive_scoring(spark):
     shard = history_dedup.Shard(rows, lex.known)
     links = {(shard.key[i], shard.key[j]) for i, j in shard.build(lex)}
     assert shard.graph.walked(shard.beam)
-    values = [" ".join(numbers(t.split(" "))) for t in shard.tokens]
+    values = [" ".join(numbers(t.split(" "))) for t in rows["tokens"]]
     by = {}
     for i, v in enumerate(values):
         by.setdefault(v, []).append(i)
@@ -207,6 +207,17 @@ def test_candidates_lose_no_pair(spark):
 
 
 ENC = tokens.Encoder()
+
+
+def test_ids_are_those_of_the_other_library():
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    other.encode_special_tokens = True
+    for t in ["", "It's <|endoftext|> 1,5\n\n  a  ", "日本語と é̂ \u200b\x1c\x85", "x" * 9000, " " * 300 + "a", *OTHER]:
+        assert ENC.batch([t])[0] == other.encode(t, add_special_tokens=False).ids
+
+
 PIECE = st.sampled_from(["a", "'s", "'", "ll", " ", "  ", "\n", "1", "é", "日本", "<|endoftext|>", "​", "\x1c", "　", "!?", "²", "́", "�", "😀", "\x85", "_"])
 
 
@@ -273,3 +284,27 @@ def test_languages(spark, folder):
 def test_codewords_are_far_apart_and_split_every_bit():
     c = language.codewords(10)
     assert min((c[i] != c[j]).sum() for i in range(10) for j in range(i)) >= 7 and (np.abs(c.sum(0)) < 10).all()
+
+
+def test_rates_are_tilted_by_size_and_meet_the_dual(spark):
+    """Against bisection of the dual, a source at a time: one with more than it needs, one with less, one at its cap."""
+    rnd = random.Random(4)
+    sizes = [(i, s, int(rnd.lognormvariate(3, 1)) + 1) for i, s in enumerate("a" * 300 + "b" * 40 + "c" * 5)] + [(999, "a", 20_000)]
+    df = spark.createDataFrame(sizes, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("m", s, w, c) for s, w, c in (("A ", 1.0, 3), ("b", 2.0, 4), ("c", 0.1, 2))], "mix_name string, source string, weight double, max_repeats int")
+    solved = {r["source"]: r for r in mixing.rates(df, targets).collect()}
+    for s, r in solved.items():
+        ns = [n for _, x, n in sizes if x == s]
+        lo, hi = -1e3, 1e3
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            if sum(n * min(r["cap"], np.exp(min(50, mid * n / r["unit"]))) for n in ns) < r["want"]:
+                lo = mid
+            else:
+                hi = mid
+        assert min(r["lam"], 1e3) == pytest.approx(hi, abs=0.03) or r["want"] == pytest.approx(r["cap"] * r["have"])
+    got = mixing.copies(df, mixing.rates(df, targets)).collect()
+    tilt = {r["n_tokens"]: r["rate"] for r in got if r["source"] == "b"}
+    assert len(set(tilt.values())) > 5 and max(r["copies"] for r in got) <= 4
+    for s, r in solved.items():
+        assert sum(g["copies"] * g["n_tokens"] for g in got if g["source"] == s) == pytest.approx(r["want"], rel=0.01)

@@ -273,6 +273,11 @@ def numbers(tokens: Iterable[str]) -> list[str]:
     return sorted(t.partition(":")[0] for t in tokens if t[0] == "#" or t[0].isdigit())
 
 
+def names(tokens: Iterable[str], lexicon: Lexicon) -> list[str]:
+    """The tokens that are neither numbers nor known words, nor may be slips of one: equal for the same task."""
+    return [t for t in tokens if t[0].isalpha() and t not in lexicon.known and not lexicon.near(t.removeprefix("from:"))]
+
+
 def score(a: str, b: str, lexicon: Lexicon, least: float = 0.6) -> float:
     """How alike two goals (their words, joined by spaces) are if they are the same task, else 0.
 

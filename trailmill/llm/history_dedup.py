@@ -12,8 +12,9 @@
    it touches and is searched in the shards before, with a beam widened until
    it meets exhaustive search on a probe.  What the search brings is re-ranked
    by ``goals.score``, the exact decision on a pair.
-5. Once a part has more than ``MAX_SHARDS`` shards, the newer ones are merged
-   (``Index.compact``); where the index has outgrown its parts, they are doubled.
+5. Every ``COMPACT_EVERY`` batches (``Index.compact``), in parts with more than
+   ``MAX_SHARDS`` shards the newer ones are merged; where the index has outgrown
+   its parts, they are doubled.
 6. Links join records to classes; the first record of a class is the accepted
    one, and every other is a case.
 
@@ -39,18 +40,24 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_folder, table
 from .common import exact_form, first_arrival, lexicon, representatives, worded
-from .goals import Lexicon, canonical_words, numbers, score
+from .goals import Lexicon, canonical_words, names, numbers, score
 from .graph import SmallWorld
 
 DIM = 48
 PARTITION_ROWS = 4096
 SHARD_POINTS = 1 << 15
 MAX_SHARDS = 4
+COMPACT_EVERY = 12
 LAST_BATCH = 2**31 - 1
 NEAR = 0.6
 LINKS = "kind string, batch int, key string, to_batch int, to_key string"
 SHARDS = "kind string, since int, upto int, slot int, points long, graph binary, part int"
-POINTS = ["kind", "batch", "key", "words", "tokens", "route"]
+STORED = SHARDS + ", batch int, key string, to_batch int, to_key string"  # a shard, or a link found within one
+POINTS = "kind string, batch int, key string, words string, tokens string, worth long, route long"
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(",")]
 
 
 def vectors(tokens: list[str], known: dict[str, int]) -> np.ndarray:
@@ -74,35 +81,51 @@ class Shard:
     """A graph with the records behind its points, in the order of batch and key."""
 
     def __init__(self, rows: pd.DataFrame, known: dict[str, int]) -> None:
-        self.batch, self.key = rows["batch"].to_numpy(np.int64), rows["key"].tolist()
-        self.words, self.tokens = rows["words"].tolist(), rows["tokens"].tolist()
-        self.route = rows["route"].to_numpy(np.int64)
-        self.same = _hashes(self.tokens)
-        self.values = _hashes([" ".join(numbers(t.split(" "))) for t in self.tokens])
+        tokens = rows["tokens"].tolist()
+        self._fill(rows["batch"].to_numpy(np.int64), rows["key"].tolist(), rows["words"].tolist(), rows["route"].to_numpy(np.int64), _hashes(tokens), rows["worth"].to_numpy(np.int64))
+        self.x = vectors(tokens, known)
+
+    def _fill(self, batch: np.ndarray, key: list[str], words: list[str], route: np.ndarray, same: np.ndarray, worth: np.ndarray) -> None:
+        self.batch, self.key, self.words, self.route, self.same, self.worth = batch, key, words, route, same, worth
         self.graph = SmallWorld(DIM)
-        self.x = vectors(self.tokens, known)
+        self.beam = 0
+
+    @classmethod
+    def of(cls, shards: list[Shard], at: list[np.ndarray] | None = None) -> Shard:
+        """The points of some shards (those at ``at``), not yet inserted."""
+        at = at or [np.arange(len(s.batch)) for s in shards]
+        out = cls.__new__(cls)
+        join = lambda f: np.concatenate([getattr(s, f)[i] for s, i in zip(shards, at, strict=True)])
+        pick = lambda f: [getattr(s, f)[j] for s, i in zip(shards, at, strict=True) for j in i.tolist()]
+        out._fill(join("batch"), pick("key"), pick("words"), join("route"), join("same"), join("worth"))
+        out.x = join("x")
+        return out
+
+    def insert(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = self.graph.add(self.x)
+        self.beam = self.graph.tuned_beam()
+        return found
 
     def build(self, lex: Lexicon) -> list[tuple[int, int]]:
         """Inserts the points; (point, the first point before it that is the same task)."""
         out, at = [], 0
-        for ids, sims in self.graph.add(self.x):
-            out += self.links(self, at, ids, sims, lex)
+        for ids, sims in self.insert():
+            out += self.links(self, np.arange(at, at + len(ids)), ids, sims, lex)
             at += len(ids)
-        self.beam = self.graph.tuned_beam()
         return out
 
-    def links(self, q: Shard, at: int, ids: np.ndarray, sims: np.ndarray, lex: Lexicon) -> list[tuple[int, int]]:
-        """Exact re-ranking: (query, the first of the points found for it that is the same task)."""
+    def links(self, q: Shard, rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, lex: Lexicon) -> list[tuple[int, int]]:
+        """Exact re-ranking: (row of ``q``, the first of the points found for it that is the same task)."""
         out = []
-        end = at + len(ids)
         there = sims > -1.5
-        equal = there & (self.same[ids] == q.same[at:end, None])
-        near = there & ~equal & (sims > NEAR) & (self.values[ids] == q.values[at:end, None])
+        equal = there & (self.same[ids] == q.same[rows, None])
+        near = there & ~equal & (sims > NEAR) & (self.worth[ids] == q.worth[rows, None])
         for i in np.flatnonzero((equal | near).any(1)):
             hits = ids[i, equal[i]].tolist()
-            hits += [j for j in ids[i, near[i]].tolist() if score(q.words[at + i], self.words[j], lex) > 0]
+            row = int(rows[i])
+            hits += [j for j in ids[i, near[i]].tolist() if score(q.words[row], self.words[j], lex) > 0]
             if hits:
-                out.append((at + int(i), min(hits, key=lambda j: (self.batch[j], self.key[j]))))
+                out.append((row, min(hits, key=lambda j: (self.batch[j], self.key[j]))))
         return out
 
     def search(self, q: Shard, lex: Lexicon, rows: np.ndarray) -> list[tuple[int, int]]:
@@ -110,38 +133,28 @@ class Shard:
         out = []
         for k in range(0, len(rows), 256):
             part = rows[k : k + 256]
-            ids, sims = self.graph.search(q.x[part], self.beam)
-            view = _View(q, part)
-            out += [(int(part[i]), j) for i, j in self.links(view, 0, ids, sims, lex)]
+            out += self.links(q, part, *self.graph.search(q.x[part], self.beam), lex)
         return out
 
     def stored(self) -> bytes:
-        x = self.graph.x.astype(np.float16)
-        return pickle.dumps((self.batch, self.key, self.words, self.tokens, self.route, self.same, self.values, x, self.graph.links, self.graph.fill, self.beam))
-
-    @staticmethod
-    def load(data: bytes) -> Shard:
-        s = Shard.__new__(Shard)
-        s.batch, s.key, s.words, s.tokens, s.route, s.same, s.values, x, links, fill, s.beam = pickle.loads(data)
-        s.graph = SmallWorld(DIM)
+        g = self.graph
+        return pickle.dumps((self.batch.astype(np.int32), self.key, self.words, self.route, self.same, self.worth, g.x.astype(np.float16), g.links, g.fill.astype(np.int8), self.beam))
+
+    @classmethod
+    def load(cls, data: bytes) -> Shard:
+        s = cls.__new__(cls)
+        batch, key, words, route, same, worth, x, links, fill, beam = pickle.loads(data)
+        s._fill(batch.astype(np.int64), key, words, route, same, worth)
         s.x = s.graph.x = x.astype(np.float32)
-        s.graph.links, s.graph.fill = links, fill
+        s.graph.links, s.graph.fill, s.beam = links, fill.astype(np.int32), beam
         return s
 
-    def rows(self) -> pd.DataFrame:
-        return pd.DataFrame({"batch": self.batch, "key": self.key, "words": self.words, "tokens": self.tokens, "route": self.route})
-
-
-class _View:
-    """Some rows of a shard, as queries."""
-
-    def __init__(self, q: Shard, rows: np.ndarray) -> None:
-        self.same, self.values = q.same[rows], q.values[rows]
-        self.words = [q.words[i] for i in rows.tolist()]
-
 
 def tokenised(texts: DataFrame, words: Lexicon) -> DataFrame:
-    """``POINTS``, one row a route of each text (kind, batch, key, words) with canonical tokens."""
+    """``POINTS``, one row a route of each text (kind, batch, key, words) with canonical tokens.
+
+    ``worth`` is the hash of its values: numbers, and names that are no slip of a known word.
+    """
     common, usual, context = words.common, words.usual, words.context
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,11 +164,11 @@ def tokenised(texts: DataFrame, words: Lexicon) -> DataFrame:
             for kind, batch, key, ws in pdf.itertuples(index=False):
                 tokens = canonical_words(ws.split(" "), lex)
                 if tokens:
-                    rows += [(kind, batch, key, ws, " ".join(tokens), r) for r in routes(kind, tokens, lex.known)]
-            yield pd.DataFrame(rows, columns=POINTS)
+                    worth = zlib.crc32(" ".join([*numbers(tokens), *names(tokens, lex)]).encode())
+                    rows += [(kind, batch, key, ws, " ".join(tokens), worth, r) for r in routes(kind, tokens, lex.known)]
+            yield pd.DataFrame(rows, columns=_columns(POINTS))
 
-    schema = "kind string, batch int, key string, words string, tokens string, route long"
-    return texts.select("kind", "batch", "key", "words").mapInPandas(run, schema)
+    return texts.select("kind", "batch", "key", "words").mapInPandas(run, POINTS)
 
 
 def routes(kind: str, tokens: list[str], known: dict[str, int]) -> set[int]:
@@ -163,17 +176,17 @@ def routes(kind: str, tokens: list[str], known: dict[str, int]) -> set[int]:
     values = [kind, *numbers(tokens)]
     parts = [values]
     if len(values) < 3:
-        names = {t.removeprefix("from:") for t in tokens if t[0].isalpha()} - known.keys()
-        parts = [[*values, n] for n in sorted(names, key=lambda n: zlib.crc32(n.encode()))[:2]] or parts
+        unknown = {t.removeprefix("from:") for t in tokens if t[0].isalpha()} - known.keys()
+        parts = [[*values, n] for n in sorted(unknown, key=lambda n: zlib.crc32(n.encode()))[:2]] or parts
     return {zlib.crc32(" ".join(p).encode()) for p in parts}
 
 
 class Index:
     """The shards of all accepted records in a folder; ``add`` takes new batches."""
 
-    def __init__(self, spark: SparkSession, folder: str, words: Lexicon, parts: int, generation: int = 0, segments: int = 0) -> None:
+    def __init__(self, spark: SparkSession, folder: str, words: Lexicon, parts: int, generation: int = 0, segments: int = 0, merged: bool = False) -> None:
         self.spark, self.folder, self.words = spark, folder, words
-        self.parts, self.generation, self.segments = parts, generation, segments
+        self.parts, self.generation, self.segments, self.merged = parts, generation, segments, merged
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, words: Lexicon, rows: int, partition_rows: int = PARTITION_ROWS) -> Index:
@@ -190,11 +203,11 @@ class Index:
         states = [json.loads(r[0]) for r in spark.read.text(f"{folder}/state/*").collect()]
         s = max(states, key=lambda s: s["version"])
         words = Lexicon(s["common"], frozenset(s["usual"]), s["context"])
-        return cls(spark, folder, words, s["parts"], s["generation"], s["segments"])
+        return cls(spark, folder, words, s["parts"], s["generation"], s["segments"], s["merged"])
 
     def _save(self) -> None:
-        version = self.segments + 1000000 * self.generation
-        state = {"version": version, "parts": self.parts, "generation": self.generation, "segments": self.segments}
+        version = 2 * (self.segments + 1000000 * self.generation) + self.merged
+        state = {"version": version, "parts": self.parts, "generation": self.generation, "segments": self.segments, "merged": self.merged}
         state |= {"common": self.words.common, "usual": sorted(self.words.usual), "context": self.words.context}
         path = f"{self.folder}/state/{version}"
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
@@ -206,14 +219,16 @@ class Index:
         """All live shards: those that no merged shard covers."""
         if not self.segments:
             return self.spark.createDataFrame([], SHARDS)
-        every = self.spark.read.schema(SHARDS).parquet(self._path())
+        every = self.spark.read.schema(STORED).parquet(self._path()).where("points > 0").select(*_columns(SHARDS))
+        if not self.merged:
+            return every
         w = W.partitionBy("kind", "part").orderBy("since", F.desc("upto")).rowsBetween(W.unboundedPreceding, -1)
         keys = every.select("kind", "part", "since", "upto").distinct()  # without the graphs
         live = keys.withColumn("_over", F.max("upto").over(w)).where(F.coalesce(F.col("_over") < F.col("upto"), F.lit(True))).drop("_over")
         return every.join(live, ["kind", "part", "since", "upto"], "left_semi")
 
     def add(self, points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
-        """Batches of new records (``tokenised``) against the index and one another; the links found.
+        """Batches of new records (``tokenised``, written to a table) against the index and one another; the links found.
 
         Each batch becomes a segment.  The rows of a part in one batch make
         one shard, or several (``slot``) where they are more than
@@ -221,38 +236,43 @@ class Index:
         about as many points, so that no task holds more than one group.
         """
         points = points.withColumn("part", F.pmod("route", F.lit(self.parts)).cast("int"))
-        sizes = points.groupBy("kind", "part", "batch").agg(F.count("*").alias("n")).cache()
-        batches = sorted(r[0] for r in sizes.select("batch").distinct().collect())  # a row a batch
-        if not batches:
-            sizes.unpersist()
+        sizes = points.groupBy("kind", "part", "batch").agg(F.count("*").alias("n"))
+        most = {r["batch"]: r["n"] for r in sizes.groupBy("batch").agg(F.max("n").alias("n")).collect()}  # a row a batch
+        if not most:
             return self.spark.createDataFrame([], LINKS)
-        number = F.array_position(F.array(*[F.lit(b) for b in batches]), F.col("batch")).cast("int") + (self.segments - 1)
-        split = sizes.where(F.col("n") > shard_points).select("kind", "part", "batch", F.ceil(F.col("n") / shard_points).cast("int").alias("slots"))
-        points = points.join(split, ["kind", "part", "batch"], "left")
-        slot = F.when(F.col("slots").isNotNull(), F.pmod(F.xxhash64("key"), "slots").cast("int")).otherwise(0)
-        points = cut(points.select(*POINTS, "part", number.alias("segment"), slot.alias("slot")))
-        sizes.unpersist()
-        before, self.segments = self.shards(), self.segments + len(batches)
-        new = points.groupBy("kind", "part", "segment", "slot").applyInPandas(_build(self.words), f"{SHARDS}, {LINKS.replace('kind', 'of')}")
-        new = cut(new)  # a shard with its own links, or one of these
-        columns = [c.strip().split(" ")[0] for c in SHARDS.split(",")]
-        new.where("graph is not null").select(*columns).write.mode("append").partitionBy("part").parquet(self._path())
+        first = self.segments
+        number = F.array_position(F.array(*[F.lit(b) for b in sorted(most)]), F.col("batch")).cast("int") + (first - 1)
+        slot = F.lit(0)
+        if hot := max(most.values()) > shard_points:
+            split = sizes.where(F.col("n") > shard_points).select("kind", "part", "batch", F.ceil(F.col("n") / shard_points).cast("int").alias("slots"))
+            points = points.join(split, ["kind", "part", "batch"], "left")
+            slot = F.when(F.col("slots").isNotNull(), F.pmod(F.xxhash64("key"), "slots").cast("int")).otherwise(0)
+        points = points.select(*_columns(POINTS), "part", number.alias("segment"), slot.alias("slot"))
+        new = points.groupBy("kind", "part", "segment", "slot").applyInPandas(_build(self.words), STORED)
+        new.write.mode("append").partitionBy("part").parquet(self._path())
+        self.segments += len(most)
         self._save()
-        own = new.where("to_key is not null").select(F.col("of").alias("kind"), "batch", "key", "to_batch", "to_key")
-        return own.unionByName(cut(self._search(points, before.unionByName(new.where("graph is not null").select(*columns)), shard_points)))
+        written = self.spark.read.schema(STORED).parquet(self._path()).where(F.col("since") >= first)
+        out = cut(written.where("to_key is not null").select(*_columns(LINKS)))
+        if first or hot or len(most) > 1:
+            out = out.unionByName(cut(self._search(points, hot, shard_points)))
+        return out
 
-    def _search(self, points: DataFrame, shards: DataFrame, shard_points: int) -> DataFrame:
-        touched = points.select("kind", "part").distinct()
-        shards = shards.join(touched, ["kind", "part"], "left_semi")
+    def _search(self, points: DataFrame, hot: bool, shard_points: int) -> DataFrame:
+        """Links to the shards before, and to those of the own segment in slots before the own."""
+        shards = self.shards().join(points.select("kind", "part").distinct(), ["kind", "part"], "left_semi")
+        right = points.where((F.col("segment") > 0) | (F.col("slot") > 0)).withColumnRenamed("slot", "q_slot")
+        sums = shards.groupBy("kind", "part").agg(F.sum("points").alias("n"))
+        if not hot and (sums.agg(F.max("n")).first()[0] or 0) <= shard_points:
+            key = ["kind", "part"]
+            return shards.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_meet(self.words), LINKS)
         w = W.partitionBy("kind", "part").orderBy("since", "upto", "slot").rowsBetween(W.unboundedPreceding, -1)
         group = F.floor(F.coalesce(F.sum("points").over(w), F.lit(0)) / shard_points).cast("int").alias("group")
         groups = cut(shards.select("kind", "part", "since", "upto", "slot", "points").select("*", group).drop("points"))
         heads = groups.groupBy("kind", "part", "group").agg(F.min("since").alias("first"))
-        slots = points.select("kind", "part", "slot").distinct().withColumnRenamed("slot", "q_slot")
-        left = shards.drop("points").join(groups, ["kind", "part", "since", "upto", "slot"]).join(slots, ["kind", "part"])
-        # a batch meets the shards before it, and those of its own segment in slots before its own
-        later = (F.col("first") < F.col("segment")) | ((F.col("first") == F.col("segment")) & (F.col("slot") > 0))
-        right = points.join(heads, ["kind", "part"]).where(later).withColumnRenamed("slot", "q_slot")
+        slots = right.select("kind", "part", (F.col("q_slot") + 0).alias("of_slot")).distinct()
+        left = shards.join(groups, ["kind", "part", "since", "upto", "slot"]).join(slots, ["kind", "part"]).withColumnRenamed("of_slot", "q_slot")
+        right = right.join(heads, ["kind", "part"]).where((F.col("first") < F.col("segment")) | ((F.col("first") == F.col("segment")) & (F.col("q_slot") > 0)))
         key = ["kind", "part", "group", "q_slot"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_meet(self.words), LINKS)
 
@@ -269,16 +289,18 @@ class Index:
         # the newest, while they are small together; the oldest, largest ones stay as they are
         small = small.where((F.col("_sum") <= shard_points) & (F.col("_n") <= F.col("shards") - max_shards // 2))
         small = live.join(small.select("kind", "part", "since", "upto", "slot"), ["kind", "part", "since", "upto", "slot"], "left_semi")
-        merged = cut(small.groupBy("kind", "part").applyInPandas(_merge(self.words), SHARDS).where("points > 0"))
-        merged.write.mode("append").partitionBy("part").parquet(self._path())
+        small = cut(small)  # what is merged is read before it is written to the same table
+        small.groupBy("kind", "part").applyInPandas(_merge, SHARDS).write.mode("append").partitionBy("part").parquet(self._path())
+        self.merged = True
+        self._save()
 
     def _double(self, live: DataFrame, rows: int, partition_rows: int) -> None:
         """All shards split by the routes of their points, into a new generation of the table."""
         parts = self.parts
         while parts * partition_rows < rows:
             parts *= 2
-        out = live.mapInPandas(_resplit(self.words, parts), SHARDS)
-        self.generation, self.parts = self.generation + 1, parts
+        out = live.mapInPandas(_resplit(parts), SHARDS)
+        self.generation, self.parts, self.merged = self.generation + 1, parts, False
         out.write.mode("overwrite").partitionBy("part").parquet(self._path())
         self._save()
 
@@ -303,13 +325,10 @@ def _build(words: Lexicon):
         lex = get()
         s = Shard(pdf.sort_values(["batch", "key"], kind="stable"), lex.known)
         links = s.build(lex)
-        out = pd.DataFrame(
-            [(kind, int(s.batch[i]), s.key[i], int(s.batch[j]), s.key[j]) for i, j in links], columns=["of", "batch", "key", "to_batch", "to_key"]
-        )
-        own = {"kind": kind, "since": segment, "upto": segment, "slot": slot, "points": len(pdf), "graph": s.stored(), "part": part}
-        out = pd.concat([pd.DataFrame([own]), out], ignore_index=True)
-        names = [c.strip().split(" ")[0] for c in f"{SHARDS}, {LINKS.replace('kind', 'of')}".split(",")]
-        return out.reindex(columns=names).astype(object).where(out.reindex(columns=names).notna(), None)
+        where = (kind, segment, segment, slot)
+        out = [(*where, len(pdf), s.stored(), part, None, None, None, None)]
+        out += [(*where, 0, None, part, int(s.batch[i]), s.key[i], int(s.batch[j]), s.key[j]) for i, j in links]
+        return pd.DataFrame(out, columns=_columns(STORED)).astype({"batch": "Int32", "to_batch": "Int32"})
 
     return run
 
@@ -329,41 +348,35 @@ def _meet(words: Lexicon):
                 if len(rows):
                     s = Shard.load(graph)
                     out += [(key[0], int(q.batch[i]), q.key[i], int(s.batch[j]), s.key[j]) for i, j in s.search(q, lex, rows)]
-        return pd.DataFrame(out, columns=["kind", "batch", "key", "to_batch", "to_key"])
+        return pd.DataFrame(out, columns=_columns(LINKS))
 
     return run
 
 
-def _row(kind: str, part: int, since: int, upto: int, slot: int, rows: pd.DataFrame, lex: Lexicon) -> tuple:
-    s = Shard(rows, lex.known)
-    s.graph.add(s.x)
-    s.beam = s.graph.tuned_beam()
-    return kind, since, upto, slot, len(rows), s.stored(), part
+def _row(kind: str, part: int, since: int, upto: int, slot: int, s: Shard) -> tuple:
+    s.insert()
+    return kind, since, upto, slot, len(s.batch), s.stored(), part
 
 
-def _merge(words: Lexicon):
-    get = _lexicon(words)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [c.strip().split(" ")[0] for c in SHARDS.split(",")]
-        if len(pdf) < 2:
-            return pd.DataFrame([], columns=names)
-        rows = pd.concat([Shard.load(g).rows() for g in pdf.sort_values("since")["graph"]], ignore_index=True)
-        return pd.DataFrame([_row(key[0], key[1], int(pdf["since"].min()), int(pdf["upto"].max()), 0, rows, get())], columns=names)
-
-    return run
+def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One shard in place of those of a part; none where there is only one."""
+    rows = []
+    if len(pdf) > 1:
+        whole = Shard.of([Shard.load(g) for g in pdf.sort_values("since")["graph"]])
+        rows.append(_row(key[0], key[1], int(pdf["since"].min()), int(pdf["upto"].max()), 0, whole))
+    return pd.DataFrame(rows, columns=_columns(SHARDS))
 
 
-def _resplit(words: Lexicon, parts: int):
-    get = _lexicon(words)
+def _resplit(parts: int):
+    """Each shard cut up by the parts its points go to now."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in SHARDS.split(",")]
         for pdf in batches:
             for kind, since, upto, slot, graph in pdf[["kind", "since", "upto", "slot", "graph"]].itertuples(index=False):
-                rows = Shard.load(graph).rows()
-                out = [_row(kind, int(p), since, upto, slot, r, get()) for p, r in rows.groupby(rows["route"] % parts)]
-                yield pd.DataFrame(out, columns=names)
+                old = Shard.load(graph)
+                to = old.route % parts
+                out = [_row(kind, p, since, upto, slot, Shard.of([old], [np.flatnonzero(to == p)])) for p in np.unique(to).tolist()]
+                yield pd.DataFrame(out, columns=_columns(SHARDS))
 
     return run
 
@@ -417,7 +430,7 @@ def classes(links: DataFrame) -> DataFrame:
     return label.select("kind", "a.batch", "a.key", F.col("m").alias("accepted"))
 
 
-def indexed(spark: SparkSession, points: DataFrame, words: Lexicon, first: Column, rows: int, at_once: int = 6) -> DataFrame:
+def indexed(spark: SparkSession, points: DataFrame, words: Lexicon, first: Column, rows: int, at_once: int = COMPACT_EVERY) -> DataFrame:
     """The links of all batches: the history first, then the new batches, ``at_once`` of them a call, each with a shard of its own."""
     folder = f"{shared_folder(spark)}/history-index-{uuid.uuid4().hex}"
     index = Index.create(spark, folder, words, rows)

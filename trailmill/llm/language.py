@@ -3,7 +3,8 @@
 Each language has a codeword of ``BITS`` bits, far from all others.  For each
 bit a binary classifier over the character n-grams of words predicts its value;
 a sentence gets the language whose codeword has the least loss, each bit
-weighted by how well its classifier did in training.  A small margin over the
+weighted by how well its classifier did on sentences held out.  So is the
+sharpness of the confidence, a softmax of the losses, chosen.  A small margin over the
 second codeword flags a sentence as ambiguous: it then takes the language, of
 those the document surely has, that has the least loss.
 
@@ -40,13 +41,34 @@ MIN_STEPS = 60
 MIN_WORDS = 4
 MIN_KANA = 8
 SURE = 0.25
+KEPT_WORDS = 200_000
 
+# parts that are no language; those of the patterns below are looked for where their marks stand
 _NOISE = re.compile(
-    r"```.*?```|<\|[^|>]*\|>|<[^<>]{1,400}>|https?://\S+|www\.\S+|\S+@\S+\.\S+|&\w+;"
+    r"```.*?```|<\|[^|>]*\|>|<[^<>]{1,400}>|https?://\S+|www\.\S+|&\w+;"
     r"|“[^“”]{0,80}”|„[^„“”]{0,80}[“”]|«[^«»]{0,80}»|‘[^‘’]{0,80}’|「[^「」]{0,60}」|\"[^\"\n]{0,80}\""
-    r"|\[\w+\](?:\s*\w+=\d+)?|\w+\('[^']*'\)|\{[^{}]*\}|\d+(?:[.,:]\d+)+\w*|\b\w*(?:__|\d)\w*\b|\\[ntr]",
+    r"|\[\w+\](?:\s*\w+=\d+)?|\{[^{}]*\}|\\[ntr]",
     re.DOTALL,
 )
+_MAIL = re.compile(r"\S+@\S+\.\S+")
+_CODE = re.compile(r"\b\w*__\w*\b")
+_CALL = re.compile(r"\w+\('[^']*'\)")
+_END = re.compile(r"(?<=[.!?])(?![\w.!?])|(?<=[。！？])")
+_WORD = re.compile(r"\w+")
+_KANA = 8
+SURE = 0.25
+KEPT_WORDS = 200_000
+
+# parts that are no language; those of the patterns below are looked for where their marks stand
+_NOISE = re.compile(
+    r"```.*?```|<\|[^|>]*\|>|<[^<>]{1,400}>|https?://\S+|www\.\S+|&\w+;"
+    r"|“[^“”]{0,80}”|„[^„“”]{0,80}[“”]|«[^«»]{0,80}»|‘[^‘’]{0,80}’|「[^「」]{0,60}」|\"[^\"\n]{0,80}\""
+    r"|\[\w+\](?:\s*\w+=\d+)?|\{[^{}]*\}|\\[ntr]",
+    re.DOTALL,
+)
+_MAIL = re.compile(r"\S+@\S+\.\S+")
+_CODE = re.compile(r"\b\w*__\w*\b")
+_CALL = re.compile(r"\w+\('[^']*'\)")
 _END = re.compile(r"(?<=[.!?])(?![\w.!?])|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
 _KANA = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
@@ -56,12 +78,23 @@ def sentences(text: str | None) -> list[list[str]]:
     """The words of each full sentence (for Japanese: its characters)."""
     if not text or not text.strip():
         return []
+    if "@" in text:
+        text = _MAIL.sub(" ", text)
+    if "__" in text:
+        text = _CODE.sub(" ", text)
+    if "('" in text:
+        text = _CALL.sub(" ", text)
     out = []
     for part in _END.split(_NOISE.sub(" ", text)):
         part = part.rstrip()
         if not part or part[-1] not in ".!?。！？":
             continue
-        words = _WORD.findall(part.lower())
+        words = []
+        for w in _WORD.findall(part.lower()):
+            if w.isalpha():
+                words.append(w)
+            elif "_" in w:  # names of fields are words, codes with digits are not
+                words += [x for x in w.split("_") if x.isalpha()] if not any(map(str.isdigit, w)) else []
         kana = _KANA.findall(part)
         if len(kana) >= MIN_KANA:
             out.append(kana)
@@ -72,7 +105,7 @@ def sentences(text: str | None) -> list[list[str]]:
 
 def features(word: str) -> list[int]:
     """Hashes of the 1- to 4-grams of a word between marks, and of the word."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     grams = {w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)} | {w}
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams if g not in "^$"]
 
@@ -92,32 +125,75 @@ def codewords(n: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
 
 
 class Model:
-    """Weights of the bit classifiers, codewords and weights of the bits."""
+    """Weights of the bit classifiers, codewords, weights of the bits and the sharpness of confidences."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, trust: np.ndarray) -> None:
-        self.langs, self.w, self.bias, self.trust = langs, weights, bias, trust
+    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, trust: np.ndarray, sharp: float = 4.0) -> None:
+        self.langs, self.w, self.bias, self.trust, self.sharp = langs, weights, bias, trust, sharp
         self.code = codewords(len(langs))
+        self._ids: dict[str, int] = {}
+        self._sums = np.zeros((1024, weights.shape[1]), np.float32)
+
+    def _words(self, sents: list[list[str]]) -> np.ndarray:
+        """Numbers of the words, whose summed weights are kept from block to block."""
+        if len(self._ids) > KEPT_WORDS:
+            self._ids.clear()
+        old = len(self._ids)
+        put = self._ids.setdefault
+        flat = np.fromiter((put(w, len(self._ids)) for s in sents for w in s), np.int64)
+        if len(self._ids) > old:
+            new = list(self._ids)[old:] if old else list(self._ids)
+            grams = [features(w) for w in new]
+            starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]])
+            if len(self._ids) > len(self._sums):
+                grow = np.zeros((max(2 * len(self._sums), len(self._ids)), self._sums.shape[1]), np.float32)
+                grow[:old] = self._sums[:old]
+                self._sums = grow
+            self._sums[old : len(self._ids)] = np.add.reduceat(self.w[np.fromiter((i for g in grams for i in g), np.int64)], starts, axis=0)
+        return flat
 
     def losses(self, sents: list[list[str]]) -> np.ndarray:
         """Loss of each language (columns) for each sentence."""
-        ids: dict[str, int] = {}
-        flat = np.fromiter((ids.setdefault(w, len(ids)) for s in sents for w in s), np.int64)
-        table = np.stack([self.w[features(w)].sum(0) for w in ids])
+        flat = self._words(sents)
         sizes = np.array([len(s) for s in sents])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        f = np.add.reduceat(table[flat], starts, axis=0) / sizes[:, None] + self.bias
-        m = np.clip(f, -12, 12)[:, None, :] * self.code[None]
-        return (np.log1p(np.exp(-m)) * self.trust).sum(2) / self.trust.sum()
+        f = np.clip(np.add.reduceat(self._sums[flat], starts, axis=0) / sizes[:, None] + self.bias, -12, 12)
+        one = np.log1p(np.exp(-f)) * self.trust  # loss of a bit that should be 1; of one that should be -1 it is f more
+        return (one.sum(1, keepdims=True) + (f * self.trust) @ (self.code < 0).T.astype(np.float32)) / self.trust.sum()
 
     def predict(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, confidence and losses of each sentence."""
         loss = self.losses(sents)
-        p = np.exp(-4.0 * (loss - loss.min(1, keepdims=True)))
+        p = np.exp(-self.sharp * (loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         best = loss.argmin(1)
         return best, p[np.arange(len(best)), best], loss
 
 
+def calibrated(sents: list[list[str]], labels: np.ndarray, langs: list[str]) -> Model:
+    """A model fitted to four fifths of the sentences; weights of the bits and the sharpness of confidences come from the rest.
+
+    Where the rest has too few sentences, both come from all of them.
+    """
+    held = np.arange(len(sents)) % 5 == 4
+    if held.sum() < 10 * len(langs):
+        return fit(sents, labels, langs)
+    model = fit([s for s, h in zip(sents, held, strict=True) if not h], labels[~held], langs)
+    rest, y = [s for s, h in zip(sents, held, strict=True) if h], labels[held]
+    flat = model._words(rest)
+    sizes = np.array([len(s) for s in rest])
+    f = np.add.reduceat(model._sums[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / sizes[:, None] + model.bias
+    model.trust = _trust(((f * model.code[y]) > 0).mean(0))
+    loss = model.losses(rest)
+    gap = loss - loss[np.arange(len(y)), y][:, None]
+    # the sharpness of the greatest likelihood, from a fixed grid
+    model.sharp = float(min(np.geomspace(1.0, 32.0, 16), key=lambda k: np.log(np.exp(-k * gap).sum(1)).mean()))
+    return model
+
+
+def _trust(right: np.ndarray) -> np.ndarray:
+    return np.log((right + 0.01) / (1.01 - right)).clip(0.1, 5).astype(np.float32)
+
+
 def fit(sents: list[list[str]], labels: np.ndarray, langs: list[str], epochs: int = 8, rate: float = 0.5) -> Model:
     """Logistic regression of every bit at once, Adagrad over blocks of sentences."""
     code = codewords(len(langs))
@@ -150,8 +226,7 @@ def fit(sents: list[list[str]], labels: np.ndarray, langs: list[str], epochs: in
             bias -= 0.1 * err.sum(0)
     f = np.stack([w[p].sum(0) for p in per]) / size[:, None] + bias if len(per) else np.zeros((0, BITS))
     right = ((f * y) > 0).mean(0) if len(per) else np.ones(BITS)
-    trust = np.log((right + 0.01) / (1.01 - right)).clip(0.1, 5).astype(np.float32)
-    return Model(langs, w, bias, trust)
+    return Model(langs, w, bias, _trust(right))
 
 
 def consistent(sents: list[list[str]], labels: np.ndarray, n: int) -> np.ndarray:
@@ -194,7 +269,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     sents, y = [s for s, _ in pairs], np.array([i for _, i in pairs])
     keep = consistent(sents, y, len(langs))
-    return fit([sents[i] for i in keep], y[keep], langs)
+    return calibrated([sents[i] for i in keep], y[keep], langs)
 
 
 SEGMENT = "array<struct<segment: int, lang: string, confidence: double, sentences: int, ambiguous: int>>"
@@ -202,7 +277,7 @@ SEGMENT = "array<struct<segment: int, lang: string, confidence: double, sentence
 
 def segmented(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, label and ``segments``: runs of full sentences in one language."""
-    share = docs.sparkSession.sparkContext.broadcast((model.langs, model.w, model.bias, model.trust))
+    share = docs.sparkSession.sparkContext.broadcast((model.langs, model.w, model.bias, model.trust, model.sharp))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*share.value)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 from .common import exact_form, first_arrival, lexicon, representatives, worded
-from .goals import Lexicon, canonical_words, numbers, score
+from .goals import Lexicon, canonical_words, names, numbers, score
 
 N = 5
 CONTAINMENT = 0.8
@@ -53,7 +53,11 @@ def grams(tokens: list[str], n: int = N) -> list[int]:
     return sorted({zlib.crc32(" ".join(p).encode()) << 20 | (zlib.adler32(" ".join(p).encode()) & 0xFFFFF) for p in parts})
 
 
-def shingled(texts: DataFrame, lex: Lexicon) -> DataFrame:
+FAMILIES = ("order", "tokens", "values")
+SAME = ("tokens", "values")  # all that two texts of the same task need, whose tokens differ by slips only
+
+
+def shingled(texts: DataFrame, lex: Lexicon, families: tuple[str, ...] = FAMILIES) -> DataFrame:
     """key, side, words, tokens, family and n-gram hashes of the texts (key, side, words) with canonical tokens; a row a family."""
     common, usual, context = lex.common, lex.usual, lex.context
 
@@ -65,10 +69,11 @@ def shingled(texts: DataFrame, lex: Lexicon) -> DataFrame:
                 tokens = canonical_words(ws.split(" "), lex)
                 if not tokens:
                     continue
-                rows.append((key, side, ws, tokens, "order", grams(["order:", *ws.split(" ")])))
+                if "order" in families:
+                    rows.append((key, side, ws, tokens, "order", grams(["order:", *ws.split(" ")])))
                 rows.append((key, side, ws, tokens, "tokens", grams(tokens)))
                 # a word near a known one may be a slip of it; what a number counts may be one, too
-                values = numbers(tokens) + [t for t in tokens if t[0].isalpha() and t not in lex.known and not lex.near(t)]
+                values = numbers(tokens) + names(tokens, lex)
                 if len(values) >= VALUES:
                     rows.append((key, side, ws, tokens, "values", grams(["values:", *values])))
             yield pd.DataFrame(rows, columns=["key", "side", "words", "tokens", "family", "grams"])
@@ -114,7 +119,7 @@ def scored(pairs: DataFrame, docs: DataFrame, lex: Lexicon) -> DataFrame:
     return both.where("equal").select("eval", "train", "containment", F.lit(1.0).alias("score")).unionByName(other)
 
 
-def overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def overlaps(spark: SparkSession, sf_dir: str, families: tuple[str, ...] = FAMILIES) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): near-same pairs of an evaluation and a training text, and the records that stand for each text.
 
     Copies are grouped first and pairs are those of representatives (``eval``,
@@ -132,14 +137,14 @@ def overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     reps = rows.where(F.col("rep") == F.col("task_id"))
     texts = cut(worded(reps.select(F.col("task_id").alias("key"), "side", F.col("instruction").alias("text")), "text"))
     lex = lexicon(texts)
-    docs = cut(shingled(texts, lex))
+    docs = cut(shingled(texts, lex, families))
     pairs = candidates(docs).groupBy("eval", "train").agg(F.max("containment").alias("containment"))
     return scored(pairs, docs, lex), rows
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p2_found: the pairs of the same task, smaller id first."""
-    pairs, rows = overlaps(spark, sf_dir)
+    pairs, rows = overlaps(spark, sf_dir, SAME)
     of = lambda s: rows.where(F.col("side") == s).select(F.col("rep").alias(s), F.col("task_id").alias(f"{s}_id"))
     p = pairs.where("score > 0").select("eval", "train").join(of("eval"), "eval").join(of("train"), "train").where("eval_id != train_id")
     return p.select(F.least("eval_id", "train_id").alias("task_id_a"), F.greatest("eval_id", "train_id").alias("task_id_b"))

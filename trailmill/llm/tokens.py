@@ -20,11 +20,14 @@ are ordinary text.
 
 from __future__ import annotations
 
+import base64
+import itertools
 import os
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from ..session import table
 
 TOKENIZERS = "/opt/tokenizers"
 LEAF = 8192  # characters; longer texts are halved
+# fixed value: the pattern of pretokens of this vocabulary
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _kind(c: str) -> str:
@@ -58,20 +63,20 @@ def _stable(a: str, b: str) -> bool:
 
 
 class Encoder:
-    """The byte-level vocabulary of a public tokenizer file."""
+    """The byte-level vocabulary of a public tokenizer, from its file of ranks."""
 
-    def __init__(self, path: str = TOKENIZERS, name: str = "byte_bpe_50k.json") -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    def __init__(self, path: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> None:
+        import tiktoken
 
-        self._t = Tokenizer.from_file(os.path.join(path, name))
-        self._t.encode_special_tokens = True
+        with open(os.path.join(path, name), "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self._t = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._t.encode_ordinary(t) for t in texts]
 
     def decode(self, ids: list[int]) -> str:
-        return self._t.decode(ids, skip_special_tokens=False)
+        return self._t.decode(ids)
 
     # --- the monoid ---
     def element(self, text: str) -> tuple:
@@ -111,31 +116,36 @@ class Encoder:
         return self.join(self.tree(text[:half], leaf), self.tree(text[half:], leaf))
 
     def encode(self, text: str | None, leaf: int = LEAF) -> list[int]:
-        return self.close(self.tree(text, leaf)) if text else []
+        if not text:
+            return []
+        return self.batch([text])[0] if len(text) <= leaf else self.close(self.tree(text, leaf))
 
 
 def encoded(docs: DataFrame, path: str = TOKENIZERS, leaf: int = LEAF, count_only: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, others kept) with ``ids``, or with their number ``n_tokens``.
 
-    A map over Arrow batches, without a shuffle.  Texts up to ``leaf``
-    characters are leaves of their trees and are encoded as one batch.
+    A map over Arrow batches, without a shuffle.  A text up to ``leaf``
+    characters is the one leaf of its tree.
     """
     keep = [c for c in docs.columns if c != "text"]
     out = "n_tokens" if count_only else "ids"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                texts = ["" if t is None else t for t in part["text"]]
-                leaves = [t if len(t) <= leaf else "" for t in texts]
-                ids = encoder.batch(leaves)
-                ids = [i if len(t) <= leaf else encoder.encode(t, leaf) for t, i in zip(texts, ids, strict=True)]
-                yield part[keep].assign(**{out: [len(i) for i in ids] if count_only else ids})
-
-    return docs.mapInPandas(run, f"{schema}, {out} {'int' if count_only else 'array<int>'}")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = [encoder.encode(t, leaf) for t in part.column(len(keep)).to_pylist()]
+                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+                if count_only:
+                    made = pa.array(sizes)
+                else:
+                    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
+                    made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], made], [*keep, out])
+
+    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, {out} {'int' if count_only else 'array<int>'}")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
