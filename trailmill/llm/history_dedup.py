@@ -248,7 +248,8 @@ class Index:
             points = points.join(split, ["kind", "part", "batch"], "left")
             slot = F.when(F.col("slots").isNotNull(), F.pmod(F.xxhash64("key"), "slots").cast("int")).otherwise(0)
         points = points.select(*_columns(POINTS), "part", number.alias("segment"), slot.alias("slot"))
-        new = points.groupBy("kind", "part", "segment", "slot").applyInPandas(_build(self.words), STORED)
+        # one task a part (and slot), so that a part gets one file a call
+        new = points.repartition("part", "slot").groupBy("kind", "part", "segment", "slot").applyInPandas(_build(self.words), STORED)
         new.write.mode("append").partitionBy("part").parquet(self._path())
         self.segments += len(most)
         self._save()
