@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,17 +91,15 @@ def boundaries(rows: DataFrame, max_len: int = MAX_STAGE) -> DataFrame:
     return rows.withColumn("stage", F.sum(F.col("boundary").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("p_tokens", "p_kind", "p_op")
 
 
-def stages(rows: DataFrame) -> DataFrame:
-    """One row a stage: span, kind, confidence, and the kinds of the stages before and after."""
-    sums = [F.round(F.sum(f"k_{k}"), 6).alias(f"s_{k}") for k in ORDER]
-    inner = F.avg(F.when(~F.col("boundary"), F.col("distance")))
-    label = F.max_by(F.when(F.col("label") != "", F.col("label")), F.when(F.col("label") != "", F.col("pos")))
-    g = rows.groupBy("task_id", "stage").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n"), inner.alias("inner"), label.alias("last_label"), *sums)
-    g = g.withColumn("kind", leading("s_"))
-    average = F.greatest(*[F.col(f"s_{k}") for k in ORDER]) / F.col("n")
-    coherent = F.when(F.col("n") == 1, 1.0).otherwise(1.0 - F.least(F.lit(1.0), F.col("inner")))
-    confidence = 0.45 * average + 0.35 * coherent + 0.20 * F.least(F.lit(1.0), F.sqrt("n") / 2.5)
-    g = g.withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)), 6))
+def _confidence(top: Column, n: Column, inner: Column) -> Column:
+    """Confidence of ``n`` steps with the greatest sum of scores ``top`` and the sum of distances ``inner`` between them."""
+    coherent = F.when(n == 1, 1.0).otherwise(1.0 - F.least(F.lit(1.0), inner / (n - 1)))
+    value = 0.45 * top / n + 0.35 * coherent + 0.20 * F.least(F.lit(1.0), F.sqrt(n) / 2.5)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 6)
+
+
+def _named(g: DataFrame) -> DataFrame:
+    """``g`` with the name of each stage and the kinds of those before and after."""
     w = W.partitionBy("task_id").orderBy("stage")
     g = g.withColumns({"previous": F.lag("kind").over(w), "next": F.lead("kind").over(w)})
     kind = F.replace("kind", F.lit("_"), F.lit(" "))
@@ -110,28 +107,46 @@ def stages(rows: DataFrame) -> DataFrame:
     return g.withColumn("name", X.collapse(name)).select("task_id", "stage", "start", "end", "kind", "name", "confidence", "previous", "next")
 
 
-def merge_low_confidence(spans: DataFrame, threshold: float = LOW_CONFIDENCE, most: int = MAX_STAGES) -> DataFrame:
-    """Stages of a task folded in order: one below ``threshold`` takes in the next; only the first ``most`` stay.
+def stage_rows(rows: DataFrame) -> DataFrame:
+    """One row a stage with what a merge needs: span, sums of scores, sum of inner distances, distance to the stage before."""
+    sums = [F.round(F.sum(f"k_{k}"), 6).alias(f"s_{k}") for k in ORDER]
+    inner = F.coalesce(F.sum(F.when(~F.col("boundary"), F.col("distance"))), F.lit(0.0)).alias("inner")
+    edge = F.coalesce(F.max(F.when(F.col("boundary"), F.col("distance"))), F.lit(0.0)).alias("edge")
+    label = F.max_by(F.when(F.col("label") != "", F.col("label")), F.when(F.col("label") != "", F.col("pos")))
+    g = rows.groupBy("task_id", "stage").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n"), inner, edge, label.alias("last_label"), *sums)
+    top = F.greatest(*[F.col(f"s_{k}") for k in ORDER])
+    alone = F.sum("n").over(W.partitionBy("task_id")) == 1  # a task of one step
+    return g.withColumns({"kind": leading("s_"), "confidence": F.when(alone, 0.8).otherwise(_confidence(top, F.col("n"), F.col("inner")))})
+
+
+def stages(rows: DataFrame) -> DataFrame:
+    """One row a stage: span, kind, name, confidence, and the kinds of the stages before and after."""
+    return _named(stage_rows(rows))
 
-    A fold over the stages of one task, at most as long as its steps.
-    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("stage").to_dict("records")
-        out, i = [], 0
-        while i < len(rows):
-            r = dict(rows[i])
-            if r["confidence"] < threshold and i + 1 < len(rows):
-                n = rows[i + 1]
-                r |= {"end": n["end"], "confidence": max(r["confidence"], n["confidence"])}
-                i += 1
-            out.append(r)
-            i += 1
-        kept = out[:most]
-        return pd.DataFrame([{"task_id": r["task_id"], "stage": k, "start": r["start"], "end": r["end"], "confidence": r["confidence"]} for k, r in enumerate(kept, 1)])
-
-    cols = spans.select("task_id", "stage", "start", "end", "confidence")
-    return cols.groupBy("task_id").applyInPandas(fold, "task_id string, stage int, start int, end int, confidence double")
+def merge_low_confidence(rows: DataFrame, threshold: float = LOW_CONFIDENCE, most: int = MAX_STAGES) -> DataFrame:
+    """Stages (``stage_rows``) in order, where one below ``threshold`` takes in the next; then the ``most``-th runs to the end of the task.
+
+    A stage that was taken in takes in none itself, so in a run of weak ones
+    every second is taken in, which windows tell without a fold.  Kind and
+    confidence of two stages are those of their steps together, the latter no
+    less than either had.  Later stages are covered by the last one kept.
+    """
+    w = W.partitionBy("task_id").orderBy("stage")
+    weak = F.col("confidence") < threshold
+    strong = F.max(F.when(~weak, F.col("stage"))).over(w.rowsBetween(W.unboundedPreceding, -1))  # the last strong one before
+    x = rows.withColumn("taken", F.pmod(F.col("stage") - 1 - F.coalesce(strong, F.lit(0)), F.lit(2)) == 1)
+    x = x.withColumn("head", F.col("stage") - F.col("taken").cast("int"))
+    sums = [F.round(F.sum(f"s_{k}"), 6).alias(f"s_{k}") for k in ORDER]
+    inner = F.sum("inner") + F.sum(F.when(F.col("taken"), F.col("edge")).otherwise(0.0))
+    label = F.max_by("last_label", F.when(F.col("last_label").isNotNull(), F.col("stage")))
+    g = x.groupBy("task_id", "head").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), inner.alias("inner"), F.max("confidence").alias("own"), F.count("*").alias("two"), label.alias("last_label"), *sums)
+    top = F.greatest(*[F.col(f"s_{k}") for k in ORDER])
+    both = F.greatest("own", _confidence(top, F.col("n"), F.col("inner")))
+    g = g.withColumns({"kind": leading("s_"), "confidence": F.when(F.col("two") > 1, both).otherwise(F.col("own"))})
+    h = W.partitionBy("task_id")
+    g = g.withColumn("stage", F.row_number().over(h.orderBy("head"))).withColumn("last", F.max("end").over(h)).where(F.col("stage") <= most)
+    return _named(g.withColumn("end", F.when(F.col("stage") == most, F.col("last")).otherwise(F.col("end"))))
 
 
 def repaired(spans: DataFrame, lengths: DataFrame) -> DataFrame:

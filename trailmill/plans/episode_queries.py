@@ -9,7 +9,7 @@ from ..operators import describe as D
 from ..operators import episodes as E
 from ..operators import grounding as G
 from ..operators import metrics as M
-from ..operators import schema_drift
+from ..operators import nested, schema_drift
 from ..session import cut, table
 from . import sqltext as S
 from .maintenance_queries import canonical_operation
@@ -48,13 +48,28 @@ BOUNDARIES = f"""{EVIDENCE},
   b3 as (select *, coalesce((kind <> p_kind and distance >= 0.35) or (p_op || '->' || op in ({_T}) and distance >= 0.25), true) as split from b2),
   b4 as (select *, (pos - max(case when split then pos end) over (partition by task_id order by pos rows unbounded preceding)) % 6 = 0 as boundary from b3),
   bo as materialized (select *, (sum(boundary::int) over (partition by task_id order by pos rows unbounded preceding))::int as stage from b4)"""
-STAGES = f"""{BOUNDARIES},
-  g1 as (select task_id, stage, min(pos) as start, max(pos) as "end", count(*) as n, avg(case when not boundary then distance end) as inner_d,
+def _conf(top: str, n: str, inner: str) -> str:
+    return f"round(greatest(0.0, least(1.0, 0.45 * {top} / {n} + 0.35 * (case when {n} = 1 then 1.0 else 1.0 - least(1.0, {inner} / ({n} - 1)) end) + 0.20 * least(1.0, sqrt({n}) / 2.5))), 6)"
+
+
+_TOP = f"greatest({', '.join(f's_{k}' for k in E.ORDER)})"
+_NAME = S.collapse("case when last_label is not null then replace(kind, '_', ' ') || ': ' || substring(last_label, 1, 48) else replace(kind, '_', ' ') end")
+_NAMED = f"""task_id, stage, start, "end", kind, {_NAME} as name, confidence, lag(kind) over (partition by task_id order by stage) as previous, lead(kind) over (partition by task_id order by stage) as next"""
+ROWS = f"""{BOUNDARIES},
+  g1 as (select task_id, stage, min(pos) as start, max(pos) as "end", count(*) as n, coalesce(sum(case when not boundary then distance end), 0.0) as inner_d, coalesce(max(case when boundary then distance end), 0.0) as edge,
      max_by(case when label <> '' then label end, case when label <> '' then pos end) as last_label, {', '.join(f'round(sum(k_{k}), 6) as s_{k}' for k in E.ORDER)} from bo group by 1, 2),
-  g2 as (select *, {_lead('s_')} as kind, greatest({', '.join(f's_{k}' for k in E.ORDER)}) as top from g1),
-  sg as materialized (select task_id, stage, start, "end", kind, {S.collapse("case when last_label is not null then replace(kind, '_', ' ') || ': ' || substring(last_label, 1, 48) else replace(kind, '_', ' ') end")} as name,
-     round(greatest(0.0, least(1.0, 0.45 * top / n + 0.35 * (case when n = 1 then 1.0 else 1.0 - least(1.0, inner_d) end) + 0.20 * least(1.0, sqrt(n) / 2.5))), 6) as confidence,
-     lag(kind) over (partition by task_id order by stage) as previous, lead(kind) over (partition by task_id order by stage) as next from g2)"""
+  gr as materialized (select *, {_lead('s_')} as kind, case when sum(n) over (partition by task_id) = 1 then 0.8 else {_conf(_TOP, 'n', 'inner_d')} end as confidence from g1)"""
+STAGES = f"{ROWS}, sg as materialized (select {_NAMED} from gr)"
+# the merge as a walk along the stages of a task
+MERGED = f"""with recursive {ROWS},
+  walk as (select task_id, stage, false as taken, confidence < {E.LOW_CONFIDENCE} as opens from gr where stage = 1
+    union all select g.task_id, g.stage, w.opens, g.confidence < {E.LOW_CONFIDENCE} and not w.opens from walk w join gr g on g.task_id = w.task_id and g.stage = w.stage + 1),
+  m1 as (select g.*, w.taken, g.stage - w.taken::int as head from gr g join walk w on w.task_id = g.task_id and w.stage = g.stage),
+  m2 as (select task_id, head, min(start) as start, max("end") as "end", sum(n)::bigint as n, sum(inner_d) + sum(case when taken then edge else 0.0 end) as inner_d, max(confidence) as own, count(*) as two,
+     max_by(last_label, case when last_label is not null then stage end) as last_label, {', '.join(f'round(sum(s_{k}), 6) as s_{k}' for k in E.ORDER)} from m1 group by 1, 2),
+  m3 as (select *, {_lead('s_')} as kind, case when two > 1 then greatest(own, {_conf(_TOP, 'n', 'inner_d')}) else own end as confidence, row_number() over (partition by task_id order by head)::int as stage, max("end") over (partition by task_id) as last_end from m2),
+  m4 as (select * replace (case when stage = {E.MAX_STAGES} then last_end else "end" end as "end") from m3 where stage <= {E.MAX_STAGES})
+  select {_NAMED} from m4"""
 
 
 def _boundaries(s, d):  # noqa: ANN001, ANN202
@@ -77,18 +92,23 @@ def _described(s, d):  # noqa: ANN001, ANN202
     return D.described(rows).select("task_id", "pos", *D.FIELDS)
 
 
-def _described_sql() -> str:
+def described_ctes() -> str:
+    """CTEs up to ``dd``: the steps with their descriptor fields."""
     k = S.normal_key
     ws = lambda *xs: "concat_ws(' ', " + ", ".join(xs) + ")"
-    return f"""with {STEPS}, d0 as (select task_id, pos, {canonical_operation('operation')} as op, argument, label, case when role = '' then 'generic' else role end as role,
+    return f"""d0 as (select task_id, pos, {canonical_operation('operation')} as op, argument, label, case when role = '' then 'generic' else role end as role,
         {S.collapse('pos_candidates[1].parent_context')} as parent, {S.collapse('pos_candidates[1].sibling_text')} as sibling from st),
       d1 as (select *, {k(ws('parent', 'label'))} as ctx from d0), d2 as (select *, {D.case('ctx', D.SECTIONS, 'task-relevant content area')} as section from d1),
       d3 as (select *, {k(ws('parent', 'section', 'label'))} as ctx2 from d2), d4 as (select *, {D.case('ctx2', D.REGIONS, 'main content')} as region from d3),
       d5 as (select *, {k(ws('label', 'parent', 'section', 'argument', 'op'))} as ctx3 from d4), d6 as (select *, {D.slot_case('ctx3', 'op')} as slot from d5),
       d7 as (select *, case when label <> '' then label when slot <> '' then slot else role end as label_text, {S.collapse('argument')} as arg, regexp_matches({S.collapse('argument')}, '[0-9]') as has_digit from d6),
-      d8 as (select *, {k(ws('label_text', 'section', 'region'))} as ctx4, {k(ws('role', 'label', 'section', 'region'))} as ctx5 from d7)
-      select task_id, pos, section, region, slot, {D.purpose_case()} as element_purpose, {D.change_case('ctx4')} as expected_state_change, {D.source_case()} as value_source,
-        {D.negative_case('ctx5')} as negative_constraints, {D.priority_case()} as grounding_priority, {D.disambiguators_case()} as disambiguators from d8"""
+      d8 as (select *, {k(ws('label_text', 'section', 'region'))} as ctx4, {k(ws('role', 'label', 'section', 'region'))} as ctx5 from d7),
+      dd as (select task_id, pos, op, argument, label, role, parent, sibling, section, region, slot, {D.purpose_case()} as element_purpose, {D.change_case('ctx4')} as expected_state_change, {D.source_case()} as value_source,
+        {D.negative_case('ctx5')} as negative_constraints, {D.priority_case()} as grounding_priority, {D.disambiguators_case()} as disambiguators from d8)"""
+
+
+def _described_sql() -> str:
+    return f"with {STEPS}, {described_ctes()} select task_id, pos, {', '.join(D.FIELDS)} from dd"
 
 
 def _ground(s, d):  # noqa: ANN001, ANN202
@@ -161,8 +181,13 @@ def _log(s, d):  # noqa: ANN001, ANN202
     return t.select(F.coalesce("agent", F.lit("none")).alias("method"), F.coalesce("domain", F.lit("unknown")).alias("domain"), "success", "num_steps")
 
 
-_LOG = """l as (select coalesce(agent, 'none') as method, coalesce(domain, 'unknown') as domain, success from (select *, row_number() over (partition by task_id
-   order by loaded_at desc nulls last, agent desc nulls last, success desc nulls last, domain desc nulls last) as rn from (select *, metadata['agent'] as agent from episode_traces) where task_id is not null) where rn = 1)"""
+_CONTAINER = ", ".join(f"j->'$.{k}'" for k in nested.CONTAINERS)
+_LOG = f"""t0 as (select *, metadata['agent'] as agent, try_cast(trajectory as json) as j0 from episode_traces where task_id is not null),
+  t1 as (select * exclude (j0), case when json_type(j0) = 'VARCHAR' then try_cast(j0->>'$' as json) else j0 end as j from t0),
+  t2 as (select *, case when json_type(j) = 'OBJECT' then coalesce({_CONTAINER}, j) else j end as h from t1),
+  t3 as (select *, coalesce(case json_type(h) when 'ARRAY' then json_array_length(h)::int when 'OBJECT' then len(list_filter(json_keys(h), lambda k: regexp_full_match(k, '[0-9]+')))::int end, 0) as num_steps from t2),
+  l as (select coalesce(agent, 'none') as method, coalesce(domain, 'unknown') as domain, success, num_steps from (select *, row_number() over (partition by task_id
+   order by loaded_at desc nulls last, agent desc nulls last, success desc nulls last, domain desc nulls last, num_steps desc) as rn from t3) where rn = 1)"""
 _WIL = "round(100.0 * (((s / n::double) + 3.8416 / (2 * n)) / (1 + 3.8416 / n) {sign} 1.96 * sqrt((s / n::double) * (1 - s / n::double) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), {r})"
 
 
@@ -175,7 +200,7 @@ def queries() -> dict:
         "step_evidence": lambda s, d: E.evidence(E.steps(s, d)).select("task_id", "pos", "op", "kind", F.array_sort("tokens").alias("tokens")),
         "stage_boundaries": lambda s, d: _boundaries(s, d).select("task_id", "pos", "distance", "split", "boundary", "stage"),
         "stage_spans": lambda s, d: E.stages(_boundaries(s, d)),
-        "stage_merge": lambda s, d: E.merge_low_confidence(E.stages(_boundaries(s, d))),
+        "stage_merge": lambda s, d: E.merge_low_confidence(E.stage_rows(_boundaries(s, d))),
         "span_repair": lambda s, d: E.repaired(_damaged(E.stages(_boundaries(s, d))), E.lengths(E.steps(s, d))),
         "span_partition_check": lambda s, d: E.span_check(_damaged(E.stages(_boundaries(s, d))), E.lengths(E.steps(s, d))),
         "span_range_join": lambda s, d: E.assigned(E.steps(s, d).select("task_id", "pos"), _damaged(E.stages(_boundaries(s, d)))).select("task_id", "pos", "stage"),
@@ -219,8 +244,8 @@ def oracle_sql() -> dict[str, str]:
     eid = "coalesce(nullif(c.backend_node_id, ''), nullif(c.node_id, ''), nullif(c.attributes['backend_node_id'], ''), nullif(c.attributes['node_id'], ''), nullif(c.attributes['id'], ''), nullif(c.attributes['data_pw_testid'], ''))"
     esc = lambda x: f"replace(replace(coalesce({x}, ''), '\\', '\\\\'), '''', '\\''')"
     typed = "o in ('type', 'input', 'fill')"
-    rate = f"""with {_LOG}, g as (select method, domain, count(*) as n, sum(coalesce(success, false)::int) as s from l group by grouping sets ((method, domain), (method)))
-      select method, domain, n, s as successes, round(100.0 * s / n, 6) as task_sr, 1.0 as avg_steps, {_WIL.format(sign='-', r=6)} as low, {_WIL.format(sign='+', r=6)} as high from g"""
+    rate = f"""with {_LOG}, g as (select method, domain, count(*) as n, sum(coalesce(success, false)::int) as s, sum(num_steps) as steps from l group by grouping sets ((method, domain), (method)))
+      select method, domain, n, s as successes, round(100.0 * s / n, 6) as task_sr, round(steps / n, 6) as avg_steps, {_WIL.format(sign='-', r=6)} as low, {_WIL.format(sign='+', r=6)} as high from g"""
     sc = f"""{_LOG}, sc as (select method, domain, round(round(100.0 * sum(coalesce(success, false)::int) / count(*), 6), 1) as score from l group by 1, 2), ct as (select domain, count(*) as n from l group by 1)"""
     host = "coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), ''), '')"
     path = "lower(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''))"
@@ -228,6 +253,13 @@ def oracle_sql() -> dict[str, str]:
         "step_evidence": f"with {EVIDENCE} select task_id, pos, op, kind, list_sort(tokens) as tokens from ev",
         "stage_boundaries": f"with {BOUNDARIES} select task_id, pos, distance, split, boundary, stage from bo",
         "stage_spans": f"with {STAGES} select * from sg",
+        "stage_merge": MERGED,
+        "span_repair": f"""with recursive {STAGES}, {_DAMAGED}, o as (select dm.*, ln.n, row_number() over (partition by dm.task_id order by start, stage) as nth, count(*) over (partition by dm.task_id) as many from dm join ln on ln.task_id = dm.task_id),
+          fix as (select task_id, stage, nth, many, n, 0 as start, case when nth = many then n - 1 else least(greatest("end", 0), n - 1) end as "end" from o where nth = 1
+            union all select o.task_id, o.stage, o.nth, o.many, o.n, f."end" + 1, case when o.nth = o.many then o.n - 1 else least(greatest(o."end", f."end" + 1), o.n - 1) end
+              from fix f join o on o.task_id = f.task_id and o.nth = f.nth + 1 where f."end" + 1 <= o.n - 1),
+          l as (select *, max(nth) over (partition by task_id) as top from fix)
+          select task_id, stage, start::int as start, (case when nth = top then n - 1 else "end" end)::int as "end" from l""",
         "span_partition_check": f"""with {STAGES}, {_DAMAGED}, x as (select *, lag("end") over (partition by task_id order by start) as p_end from dm),
           y as (select task_id, bool_and(coalesce(start = p_end + 1, true)) as contiguous, bool_or(coalesce(start <= p_end, false)) as "overlaps", sum("end" - start + 1) as covered, min(start) as lo, max("end") as hi from x group by 1)
           select y.task_id, contiguous, "overlaps", covered = n and lo = 0 and hi = n - 1 and not "overlaps" as covers from y join ln on ln.task_id = y.task_id""",

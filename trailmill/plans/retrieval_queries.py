@@ -53,6 +53,14 @@ _HIER = f"""{_STAGES}, g as materialized (select query_id, id, decision, score,
      left join (select *, {S.token_set(ACTION_TEXT)} as tokens from {live('actions')}) a on a.parent_stage_id = ch.id),
   f as (select *, row_number() over (partition by query_id order by ascore desc, coalesce(action_id, '')) as rn from ac)"""
 
+_BUCKETS = "list_transform({t}, lambda t: ('0x' || substr(sha1(t), 1, 8))::bigint % 256)"
+_COUNTS = "list_transform(range(0, 256), lambda b: len(list_filter({b}, lambda x: x = b))::double)"
+_PHASE = f"""q0 as materialized (select query_id, {S.token_set('text')} as t from {TASKS}), i0 as materialized (select intent_id as id, {S.token_set(INTENT_TEXT)} as t from {live('intents')}),
+  q as materialized (select query_id, t, {_COUNTS.replace('{b}', 'h')} as v from (select *, {_BUCKETS.replace('{t}', 't')} as h from q0)),
+  i as materialized (select id, t, {_COUNTS.replace('{b}', 'h')} as v from (select *, {_BUCKETS.replace('{t}', 't')} as h from i0)),
+  d as (select query_id, id, case when len(q.t) * len(i.t) = 0 then 0.0 else list_cosine_similarity(q.v, i.v) end as dense, {S.jaccard('q.t', 'i.t')} as lex, {S.jaccard('q.t', 'i.t', 1.0)} as over from q, i),
+  f as materialized (select * from (select query_id, id, round({{first}}, 9) as score, lex, over, row_number() over (partition by query_id order by round({{first}}, 9) desc, id) as rn from d) where rn <= 20),
+  r as (select query_id, id, score, round(lex, 9) as lexical, round(over, 9) as rerank from f)"""
 _COS = "list_cosine_similarity({a}::double[], {b}::double[])"
 
 
@@ -85,6 +93,8 @@ def queries() -> dict:
         "dense_topk": dense,
         "dense_topk_filtered": lambda s, d: dense(s, d, True),
         "two_phase_topk": retrieval.two_phase,
+        "blended_topk": retrieval.blended,
+        "all_actions_topk": retrieval.all_actions_topk,
         "l2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform(retrieval.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("v")),
         "hash_encode": lambda s, d: docs(s, d).select("id", F.explode(retrieval.hash_encode(F.col("tokens"))).alias("e")).select("id", "e.bucket", "e.n"),
         "intent_topk": retrieval.intents_topk,
@@ -115,10 +125,16 @@ def oracle_sql() -> dict[str, str]:
         "lexical_topk_filtered": _docs_topk("and q.lang = d.lang"),
         "dense_topk": dense(""),
         "dense_topk_filtered": dense("and q.label = e.label"),
-        "two_phase_topk": f"""with f as (select * from (select q.vec_id as query_id, q.label as own, e.label as of, e.vec_id as id, round({_COS.format(a='q.embedding', b='e.embedding')}, 9) as score,
-            row_number() over (partition by q.vec_id order by round({_COS.format(a='q.embedding', b='e.embedding')}, 9) desc, e.vec_id::varchar) as rn from embeddings q, embeddings e where q.vec_id % 20 = 0) where rn <= 20),
-          r as (select query_id, id, round(case when own = of and score <> 0 then 0.65 * score + 0.35 * score else score end, 9) as score from f)
-          select * from (select *, row_number() over (partition by query_id order by score desc, id::varchar) as rank from r) where rank <= 5""",
+        "two_phase_topk": f"""with {_PHASE.replace('{first}', 'dense')}
+          select query_id, id, case when rerank = 0 then score else rerank end as score, rank from (select *, row_number() over (partition by query_id order by rerank desc, id) as rank from r) where rank <= 5""",
+        "blended_topk": f"""with {_PHASE.replace('{first}', '0.82 * dense + 0.18 * lex')},
+          k as (select * from (select *, row_number() over (partition by query_id order by rerank desc, id) as n from r) where n <= 5),
+          b as (select query_id, id, lexical, rerank, round(case when rerank = 0 then score else 0.65 * rerank + 0.35 * score end, 6) as score from k)
+          select *, row_number() over (partition by query_id order by score desc, id) as rank from b""",
+        "all_actions_topk": f"""with q as materialized (select query_id, {S.token_set('text')} as tokens from {TASKS}),
+            n as materialized (select action_id as id, {S.token_set(ACTION_TEXT)} as tokens from {live('actions')})
+          select * from (select query_id, id, round({S.set_cosine('q.tokens', 'n.tokens')}, 9) as score,
+            row_number() over (partition by query_id order by round({S.set_cosine('q.tokens', 'n.tokens')}, 9) desc, id) as rank from q, n) where rank <= 5""",
         "l2_normalize": "select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 6)) as v from embeddings",
         "hash_encode": f"""select id, bucket::int as bucket, count(*)::int as n from (select doc_id as id, ('0x' || substr(sha1(unnest({S.token_set('text')})), 1, 8))::bigint % 256 as bucket from documents) group by 1, 2""",
         "intent_topk": f"with {_INTENTS} select * from hit",
