@@ -3,18 +3,17 @@
 Six token definitions stay apart because their users do: ``token_set``
 (retrieval and conditions), ``space_tokens`` (near duplicates of records),
 ``word_tokens`` (descriptors), ``evidence_tokens`` (steps), and the two keys
-``normal_text`` and ``normal_key``.  All are built-ins; the compatibility
-normal form, which the engine lacks, is the Arrow function ``nfkc``.
+``normal_text`` and ``normal_key``.  All are built-ins; of the compatibility
+normal form, which the engine lacks, ``normal_text`` takes what becomes one
+ASCII character and the Latin ligatures; marks are not composed.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # fixed values: words and pairs that the scores depend on
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the to with".split()
@@ -36,10 +35,11 @@ PUNCTUATION = "!\"#$%&'()*+,.;<=>?@[\\]^`{}~"
 TOKEN = "[a-z0-9]+(?:[-_/:][a-z0-9]+)*"
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility normal form; ASCII texts pass unchanged."""
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+# characters whose compatibility form is one ASCII character (full width, superscripts, letter-like ...), by rule
+COMPATIBLE = {c: n.lower() for c in map(chr, range(0x80, 0xFFFF)) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii()}
+LIGATURES = {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(0xFB00, 0xFB07))}
+FROM = PUNCTUATION + "".join(COMPATIBLE)
+TO = " " * len(PUNCTUATION) + "".join(" " if n in PUNCTUATION else n for n in COMPATIBLE.values())
 
 
 def blank(c: Column) -> Column:
@@ -57,8 +57,11 @@ def clean(c: Column, limit: int) -> Column:
 
 
 def normal_text(c: Column) -> Column:
-    """Lower case, punctuation but ``-_/:|`` as spaces, collapsed."""
-    return collapse(F.translate(F.lower(blank(c)), PUNCTUATION, " " * len(PUNCTUATION)))
+    """Lower case, compatible ASCII characters in place of their variants, punctuation but ``-_/:|`` as spaces, collapsed."""
+    t = F.lower(blank(c))
+    for one, several in LIGATURES.items():
+        t = F.replace(t, F.lit(one), F.lit(several))
+    return collapse(F.translate(t, FROM, TO))
 
 
 def normal_key(c: Column) -> Column:
@@ -132,15 +135,6 @@ def contradiction(cond: Column, obs: Column, tokens: Column, seen: Column) -> Co
     return F.least(F.lit(1.0), total / F.greatest(F.lit(1), F.size(tokens)))
 
 
-def first_group(text: Column, groups: dict[str, list[str]], default: str) -> Column:
-    """The first group of which a word is contained in the text."""
-    out = None
-    for name, words in groups.items():
-        hit = contains_any(text, words)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(default)
-
-
 def contains_any(text: Column, words: list[str]) -> Column:
     hit = F.contains(text, F.lit(words[0]))
     for w in words[1:]:

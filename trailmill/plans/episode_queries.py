@@ -111,37 +111,112 @@ def _described_sql() -> str:
     return f"with {STEPS}, {described_ctes()} select task_id, pos, {', '.join(D.FIELDS)} from dd"
 
 
+def _page(s, d):  # noqa: ANN001, ANN202
+    return G.snapshot(G.elements(E.steps(s, d)))
+
+
+_PATTERN = {
+    "role": "role", "label_or_text": "label", "accessible_name": "''", "element_purpose": "element_purpose", "parent_context": "parent", "sibling_context": "sibling",
+    "nearby_text": "''", "form_section": "section", "region": "region", "field_slot": "slot", "expected_state_change": "expected_state_change",
+}
+_STORED = {f: f"semantic_description.{f}" if f != "region" else "''" for f in G.FIELDS}
+
+
 def _ground(s, d):  # noqa: ANN001, ANN202
-    """Each step's operation and label matched to the step's own elements; the pattern's label is that of the page before, as a stored pattern's would be."""
-    st = E.steps(s, d)
-    a = st.select("task_id", "pos", F.lower("operation").alias("op"), F.col("role").alias("a_role"), F.col("label").alias("a_label"), F.lit("").alias("a_parent"), X.collapse(F.get("pos_candidates", F.lit(0))["sibling_text"]).alias("a_sibling"))
-    return G.grounded(a, G.elements(st))
+    """Replay: the pattern that each step leaves, with all its inferred fields, grounded on the page it was recorded on."""
+    from ..operators.construct import described_steps
 
+    many = lambda c, sep: F.filter(F.split(c, sep), lambda t: t != "")
+    a = described_steps(E.steps(s, d)).select(
+        "task_id", "pos", "op", "argument", "value_source", *[F.expr(c).alias(f"d_{f}") for f, c in _PATTERN.items()],
+        many("disambiguators", "; ").alias("d_disambiguators"), many("negative_constraints", "; ").alias("d_negative_constraints"), many("grounding_priority", " ").alias("d_priority"),
+    )
+    return G.grounded(a, _page(s, d))
 
-def _ground_sql() -> str:
+
+def _ground_memory(s, d):  # noqa: ANN001, ANN202
+    """The action that retrieval chooses for each query task, grounded on every page of the task."""
+    from ..operators import memory, retrieval
+
+    chosen = retrieval.hierarchical(s, d).where(F.col("action_id").isNotNull()).select(F.col("query_id").alias("task_id"), "action_id")
+    a = memory.live(s, d, "actions").select("action_id", F.col("operation").alias("op"), F.col("argument_template").alias("argument"), F.col("semantic_description.value_source").alias("value_source"),
+        *[X.blank(F.expr(c)).alias(f"d_{f}") for f, c in _STORED.items()], *[F.col(f"semantic_description.{c}").alias(f"d_{n}") for n, c in (("disambiguators", "disambiguators"), ("negative_constraints", "negative_constraints"), ("priority", "grounding_priority"))])
+    a = a.join(cut(chosen), "action_id")
+    page = _page(s, d)
+    steps = page.select("task_id", "pos").distinct()
+    return G.grounded(steps.join(a, "task_id"), page).join(chosen, "task_id").select("task_id", "pos", "action_id", "element_id", "total", "matched", "confidence", "argument")
+
+
+def _snapshot_ctes() -> str:
     el = lambda c: f"coalesce(nullif({c}.backend_node_id, ''), nullif({c}.node_id, ''), {', '.join(f'''nullif({c}.attributes['{k}'], '')''' for k in G.ATTRIBUTE_ID_KEYS)})"
-    fits = " or ".join(f"(op = '{o}' and role in ({', '.join(S.q(r) for r in rs)}))" for o, rs in G.ROLES.items())
+    has = lambda k: f"coalesce(map_contains(c.attributes, '{k}'), false)"
+    tags = " ".join(f"when '{t}' then '{r}'" for t, r in G.TAG_ROLES.items())
+    lg = lambda k: f"{'lag' if k < 0 else 'lead'}(nullif(label, ''), {abs(k)}) over (partition by task_id, pos order by index)"
+    places = " ".join(f"when {S.contains_any('k', ws)} then '{n}'" for n, ws in G.PLACES.items())
+    state = "concat_ws(' ', case when disabled then 'disabled:True' end, case when hidden then 'visible:False' end)"
+    parts = ", ".join(f"nullif({c}, '')" for c in ("role", "label", "parent", "region", "sibling", "nearby", "place"))
+    acts = f"(role in ({', '.join(map(S.q, G.INTERACTIVE))}) or lower(tag) in ({', '.join(map(S.q, G.INTERACTIVE_TAGS))}) or handles)"
+    return f"""c0 as (select task_id, pos, coalesce(pos_candidates, []) || coalesce(neg_candidates, []) as cs, len(coalesce(pos_candidates, [])) as np from st),
+      c1 as (select *, cs[s.i] as c, (s.i - 1)::int as index from c0, unnest(range(1, len(cs) + 1)) as s(i)),
+      c2 as (select task_id, pos, index, index < np as gold, coalesce(nullif({el('c')}, ''), 'el_' || index) as eid, coalesce(c.tag, '') as tag, {S.normal_key('c.role')} as own, {S.collapse('c.text')} as label,
+        {S.collapse('c.parent_context')} as parent, {S.collapse('c.sibling_text')} as sib, {has('onclick')} or {has('tabindex')} as handles, {has('disabled')} or {S.normal_key("c.attributes['aria-disabled']")} = 'true' as disabled,
+        {has('hidden')} or {S.normal_key("c.attributes['aria-hidden']")} = 'true' as hidden, {has('readonly')} as readonly from c1),
+      c3 as (select *, case when own <> '' then own when tag = '' then 'generic' else case lower(tag) {tags} else lower(tag) end end as role, concat_ws(' ', {lg(-1)}, {lg(1)}) as both_sides,
+        concat_ws(' ', {lg(-2)}, {lg(-1)}, {lg(1)}, {lg(2)}) as nearby, format('element {{}} of {{}}', index + 1, count(*) over (partition by task_id, pos)) as place from c2),
+      c4 as (select *, case when sib <> '' then sib else both_sides end as sibling, {S.normal_key("concat_ws(' ', parent, nearby)")} as k from c3),
+      c5 as (select *, case {places} else 'main content' end as region from c4),
+      c6 as (select *, round((case when {acts} then 2.0 else 0.0 end + case when label <> '' then 1.0 else 0.0 end + case when parent <> '' then 0.5 else 0.0 end - case when disabled then 1.0 else 0.0 end
+        + least(1.0, length(concat_ws(' ', {parts}, nullif({state}, ''))) / 120.0))::double, 4) as salience, {acts} as interactive,
+        concat_ws(' ', role, label, parent, region, sibling, nearby, place, {state}) as whole from c5),
+      sn as materialized (select *, (row_number() over (partition by task_id, pos order by salience desc, eid, index) - 1)::int as rank from c6)"""
+
+
+def _grounded_ctes() -> str:
+    """CTEs from ``ap`` (patterns) and ``sn`` (elements) to ``gb``, the best element of each action."""
+    there = {"text": "label <> ''", "beside": "sides <> ''", "around": "true", "whole": "true"}
     num, den, hit = [], [], []
-    for f, w in G.WEIGHTS.items():
-        weight = w * G.PRIORITY if f in G.PRIORITISED else w
-        sc = "(a_role = role)::int::double" if f == "role" else S.jaccard(f"ta_{f}", f"t_{f}", 1.0)
-        both = f"(a_{f} <> '' and {f} <> '')"
-        num.append(f"case when {both} then {weight} * {sc} else 0.0 end")
+    for f, (w, part) in G.FIELDS.items():
+        weight = f"(case when list_contains(d_priority, '{f}') then {w * G.PRIORITY} else {w} end)"
+        value = f"({S.normal_key('d_role')} = {S.normal_key(chr(10).join(['concat_ws(chr(32), sn.role, nullif(tag, chr(32)[1:0]))']).replace('chr(32)[1:0]', repr('')))})::int::double" if part is None else S.jaccard(f"s_{f}", f"t_{part}", 1.0)
+        both = f"(coalesce(d_{f}, '') <> '' and {there.get(part, 'true')})"
+        num.append(f"case when {both} then {weight} * {value} else 0.0 end")
         den.append(f"case when {both} then {weight} else 0.0 end")
-        hit.append(f"case when {both} and {sc} > 0 then 1 else 0 end")
-    toks = ", ".join(f"{S.token_set('a_' + f)} as ta_{f}, {S.token_set(f)} as t_{f}" for f in ("label", "parent", "sibling"))
-    length = "length(concat_ws(' ', nullif(role, ''), nullif(label, ''), nullif(parent, ''), nullif(sibling, '')))"
-    return f"""with {STEPS}, c0 as (select task_id, pos, operation, role as a_role, label as a_label, {S.collapse('pos_candidates[1].sibling_text')} as a_sibling, coalesce(pos_candidates, []) || coalesce(neg_candidates, []) as cs, len(coalesce(pos_candidates, [])) as np from st),
-      c1 as (select *, cs[s.i] as c, s.i - 1 as idx from c0, unnest(range(1, len(cs) + 1)) as s(i)),
-      c2 as (select task_id, pos, lower(operation) as op, a_role, a_label, '' as a_parent, a_sibling, idx, idx < np as gold, {el('c')} as element_id,
-        {S.normal_key("coalesce(c.role, c.tag, 'generic')")} as role, {S.collapse('c.text')} as label, {S.collapse('c.parent_context')} as parent, {S.collapse('c.sibling_text')} as sibling from c1),
-      c3 as (select *, {toks}, round((case when role in ({', '.join(S.q(r) for r in G.INTERACTIVE)}) then 2.0 else 0.0 end) + (case when label <> '' then 1.0 else 0.0 end) + (case when parent <> '' then 0.5 else 0.0 end) + least(1.0, {length} / 120.0), 4)::double as salience from c2),
-      c4 as (select *, least(1.0, (case when {fits} then 1.0 else 0.65 end) + least(0.08, salience / 50.0))::double as op_score,
-        case when ({' + '.join(den)}) > 0 then (({' + '.join(num)})::double / ({' + '.join(den)})) else 0.0 end as fields, {' + '.join(hit)} as matched from c3),
-      c5 as (select *, round(greatest(0.0, least(1.0, 0.22 * op_score + 0.58 * fields + least(0.04, salience / 100.0) + greatest(0.0, 0.03 - idx * 0.001))), 9) as total from c4),
-      c6 as (select *, lead(total, 1, 0.0) over w as second, row_number() over w as rn from c5 window w as (partition by task_id, pos order by total desc, idx)),
-      c7 as (select *, round(case when op = 'stop' then 1.0 else least(1.0, 0.78 * total + 0.15 * greatest(0.0, total - second) + least(0.15, 0.03 * matched)) end, 6) as confidence from c6 where rn = 1)
-      select task_id, pos, case when confidence >= 0.05 and op <> 'stop' then element_id end as element_id, idx as index, total, matched, confidence, gold as correct from c7"""
+        hit.append(f"case when {both} and {value} > 0 then 1 else 0 end")
+    sets = ", ".join(f"{S.token_set('d_' + f)} as s_{f}" for f, (_, part) in G.FIELDS.items() if part)
+    each = lambda c: f"list_transform(list_filter(coalesce({c}, []), lambda t: {S.collapse('t')} <> ''), lambda t: {S.token_set('t')})"
+    fits = " or ".join(f"(o = '{o}' and sn.role in ({', '.join(map(S.q, rs))}))" for o, rs in G.ROLES.items())
+    fits += f" or (o not in ({', '.join(map(S.q, G.ROLES))}) and sn.role = 'generic')"
+    over = lambda c: f"list_transform({c}, lambda t: {S.jaccard('t', 't_whole', 1.0)})"
+    return f"""pa as materialized (select * replace (coalesce(d_priority, []) as d_priority), {S.normal_key('op')} as o, {sets}, {each('d_disambiguators')} as s_more, {each('d_negative_constraints')} as s_not from ap),
+      ts as materialized (select *, concat_ws(' ', sibling, nearby) as sides, {S.token_set('label')} as t_text, {S.token_set('whole')} as t_whole, {S.token_set("concat_ws(' ', parent, region)")} as t_around, {S.token_set("concat_ws(' ', sibling, nearby)")} as t_beside from sn),
+      x1 as (select sn.task_id, sn.pos, eid, index, rank, gold, salience, o, argument, value_source, readonly, disabled, hidden, case when {fits} then 1.0 else 0.65 end::double as fit,
+        ({' + '.join(num)})::double as num, ({' + '.join(den)})::double as den, {' + '.join(hit)} as matched, {over('s_more')} as more, {over('s_not')} as nots from ts sn join pa on pa.task_id = sn.task_id and pa.pos = sn.pos),
+      x2 as (select *, greatest(0.0, least(1.0, (fit + least(0.08, salience / 50.0)) * case when o = 'type' and readonly then 0.5 else 1.0 end)) as op_score, {G.NEGATIVE} * coalesce(list_max(nots), 0.0) as against,
+        (case when disabled then {G.DISABLED} else 0.0 end + case when hidden then {G.HIDDEN} else 0.0 end)::double as state from x1),
+      x3 as (select *, round(greatest(0.0, least(1.0, 0.22 * op_score + 0.58 * case when den > 0 then num / den else 0.0 end + {G.DISAMBIGUATORS} * case when len(more) > 0 then list_sum(more) / len(more) else 0.0 end
+        + (least(0.04, salience / 100.0) + greatest(0.0, 0.03 - rank * 0.001)) - against - state)), 9) as total from x2),
+      x4 as (select *, lead(total, 1, 0.0) over w as second, row_number() over w as rn from x3 window w as (partition by task_id, pos order by total desc, eid, index)),
+      x5 as (select *, 0.78 * total + 0.15 * greatest(0.0, total - second) + least(0.15, 0.03 * matched) as raw from x4 where rn = 1),
+      gb as (select task_id, pos, eid, o, total, matched, gold, argument as arg0, coalesce(value_source, '') as vs, round(case when o = 'stop' then 1.0 else least(1.0, case when against > 0 or state > 0 or op_score = 0 then {G.REJECTED} * raw else raw end) end, 6) as confidence from x5),
+      gd as (select task_id, pos, case when confidence >= {G.FLOOR} and o <> 'stop' then eid end as element_id, total, matched, confidence, case when length(arg0) > 0 then arg0 when contains(vs, ':') then trim(substr(vs, instr(vs, ':') + 1)) end as argument, gold as correct from gb)"""
+
+
+def _ground_sql() -> str:
+    many = lambda c, sep: f"list_filter(string_split({c}, '{sep}'), lambda t: t <> '')"
+    return f"""with {STEPS}, {described_ctes()}, {_snapshot_ctes()}, ap as (select task_id, pos, op, argument, value_source, {', '.join(f'{c} as d_{f}' for f, c in _PATTERN.items())},
+        {many('disambiguators', '; ')} as d_disambiguators, {many('negative_constraints', '; ')} as d_negative_constraints, {many('grounding_priority', ' ')} as d_priority from dd), {_grounded_ctes()} select * from gd"""
+
+
+def _ground_memory_sql() -> str:
+    from .memory_queries import live
+    from .retrieval_queries import _HIER
+
+    return f"""with {STEPS}, {_HIER.replace('st as (', 'hs as (').replace("_conditions('st')", '').replace(' from st)', ' from hs)')}, {_snapshot_ctes()},
+      ho as (select query_id as task_id, action_id from f where rn = 1 and action_id is not null),
+      ap as (select p.task_id, p.pos, ho.action_id, a.operation as op, a.argument_template as argument, a.semantic_description.value_source as value_source, {', '.join(f"coalesce({'a.' + c if f != 'region' else c}, '') as d_{f}" for f, c in _STORED.items())},
+        a.semantic_description.disambiguators as d_disambiguators, a.semantic_description.negative_constraints as d_negative_constraints, a.semantic_description.grounding_priority as d_priority
+        from (select distinct task_id, pos from sn) p join ho on ho.task_id = p.task_id join {live('actions')} a on a.action_id = ho.action_id), {_grounded_ctes()}
+      select gd.task_id, gd.pos, ho.action_id, element_id, total, matched, confidence, argument from gd join ho on ho.task_id = gd.task_id"""
 
 
 def _predictions(s, d):  # noqa: ANN001, ANN202
@@ -207,7 +282,10 @@ def queries() -> dict:
         "history_tail": lambda s, d: E.history(E.steps(s, d)),
         "neighbour_text": lambda s, d: E.neighbours(E.steps(s, d)),
         "descriptor_fields": _described,
+        "page_snapshot": lambda s, d: _page(s, d).select("task_id", "pos", "index", "eid", "role", "label", "parent", "sibling", "nearby", "place", "region", "salience", "interactive", "rank"),
+        "page_summary": lambda s, d: G.page_summaries(_page(s, d)),
         "ground_best_element": _ground,
+        "ground_memory_actions": _ground_memory,
         "salience_topk": lambda s, d: G.salient(G.elements(E.steps(s, d)), E.live_tasks(s, d).select("task_id", X.blank(F.col("instruction")).alias("query"))),
         "serialize_actions": lambda s, d: (lambda st: st.select("task_id", "pos", *[c.alias(n) for n, c in G.serialized(F.col("operation"), G.element_id(F.get("pos_candidates", F.lit(0))), F.col("argument")).items()]))(E.steps(s, d)),
         "url_category": lambda s, d: E.steps(s, d).select("task_id", "pos", F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")).alias("host"), F.lower(F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit(""))).alias("path"), "url").select("task_id", "pos", "host", F.when(F.coalesce(F.length("url"), F.lit(0)) == 0, "unknown").otherwise(F.expr(D.case("path", {**D.URL_CATEGORIES}, ""))).alias("c"), "path").select("task_id", "pos", "host", F.when(F.col("c") != "", F.col("c")).when(F.col("path").isin("", "/"), "home").otherwise("detail_or_form").alias("category")),
@@ -268,7 +346,15 @@ def oracle_sql() -> dict[str, str]:
         "neighbour_text": f"""with {STEPS} select task_id, pos, concat_ws(' ', {lg(-1)}, {lg(1)}) as sibling_text, concat_ws(' ', {lg(-2)}, {lg(-1)}, {lg(1)}, {lg(2)}) as nearby_text,
           format('element {{}} of {{}}', pos + 1, count(*) over (partition by task_id)) as relative_position from st""",
         "descriptor_fields": _described_sql(),
+        "page_snapshot": f"with {STEPS}, {_snapshot_ctes()} select task_id, pos, index, eid, role, label, parent, sibling, nearby, place, region, salience, interactive, rank from sn",
+        "page_summary": f"""with {STEPS}, {_snapshot_ctes()} select task_id, pos, substring({S.collapse("'Salient elements: ' || string_agg('- ' || eid || ': role=' || role || '; text=' || label || '; context=' || concat_ws(' | ', nullif(parent, ''), nullif(region, '')), ' ' order by rank)")}, 1, 2400) as summary from sn where rank < 30 group by 1, 2""",
+        "salience_topk": f"""with {STEPS}, {_snapshot_ctes()}, q as (select task_id, {S.token_set('instruction')} as qt from {TASKS}),
+          z as (select sn.task_id, pos, index, coalesce({S.q('')} || nullif(eid, 'el_' || index), '') as key, {S.token_set("concat_ws(' ', role, label, parent, sib)")} as t, qt,
+            case when role in ('button', 'link', 'menuitem', 'checkbox', 'radio', 'input', 'option', 'textbox', 'searchbox', 'combobox', 'textarea') then 1.0 else 0.0 end as inter from sn join q on q.task_id = sn.task_id),
+          y as (select task_id, pos, index, key, round(1.0 + inter + {S.shared('qt', 't')}::double / greatest(1, len(qt) + len(t) - {S.shared('qt', 't')}) + 0.000001, 9) as score from z)
+          select task_id, pos, index, score, rank from (select *, row_number() over (partition by task_id, pos order by score desc, key, index) as rank from y) where rank <= 30""",
         "ground_best_element": _ground_sql(),
+        "ground_memory_actions": _ground_memory_sql(),
         "serialize_actions": f"""with {STEPS}, x as (select *, pos_candidates[1] as c, lower(operation) as o, coalesce(argument, '') as a from st), y as (select *, {eid} as e from x), z as (select *, coalesce(length(e) > 0, false) as has from y)
           select task_id, pos, case when o = 'click' and has then 'click [' || e || ']' when {typed} and has then 'type [' || e || '] [' || a || ']' when o = 'select' and has then 'select [' || e || '] [' || a || ']'
             when o = 'hover' and has then 'hover [' || e || ']' when o = 'press' then 'press [' || case when a = '' then 'ENTER' else a end || ']' when o = 'scroll' then 'scroll [' || case when a = '' then 'down' else a end || ']' else 'stop' end as brackets,

@@ -20,7 +20,10 @@ def collapse(x: str) -> str:
 
 
 def normal_text(x: str) -> str:
-    return collapse(f"translate(lower(coalesce({x}, '')), {q(T.PUNCTUATION)}, {q(' ' * len(T.PUNCTUATION))})")
+    t = f"lower(coalesce({x}, ''))"
+    for one, several in T.LIGATURES.items():
+        t = f"replace({t}, '{one}', '{several}')"
+    return collapse(f"translate({t}, {q(T.FROM)}, {q(T.TO)})")
 
 
 def normal_key(x: str) -> str:
