@@ -187,3 +187,60 @@ def salient(page: DataFrame, query: DataFrame, k: int = 30) -> DataFrame:
     x = x.withColumn("score", F.round(1.0 + interactive + inter / union + 0.000001, 9)).withColumn("eid", X.blank(F.col("element_id")))
     w = W.partitionBy("task_id", "pos").orderBy(F.desc("score"), "eid", "index")
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("task_id", "pos", "index", "score", "rank")
+
+
+# fixed values: names of an element's id, and of its box
+ID_KEYS = "element_id backend_node_id node_id uid id candidate_id ref".split()
+BOX_KEYS = "bbox bounding_box rect".split()
+
+
+def centre(candidate: Column) -> Column:
+    """struct<x, y>: the centre of the box of an element (a variant), its own or that of ``raw_candidate``; null without one.
+
+    A box is an object of x, y (or left, top), width and height (w, h), an
+    object with ``center``, or a list: two corners where the second is not
+    before the first, else corner and size.
+    """
+    get = lambda path, kind: F.try_variant_get(candidate, path, kind)
+    boxes = [f"$.{k}" for k in BOX_KEYS] + [f"$.raw_candidate.{k}" for k in BOX_KEYS]
+
+    def of(b: str) -> Column:
+        x, y = F.coalesce(get(f"{b}.x", "double"), get(f"{b}.left", "double")), F.coalesce(get(f"{b}.y", "double"), get(f"{b}.top", "double"))
+        w, h = F.coalesce(get(f"{b}.width", "double"), get(f"{b}.w", "double")), F.coalesce(get(f"{b}.height", "double"), get(f"{b}.h", "double"))
+        whole = x.isNotNull() & y.isNotNull() & w.isNotNull() & h.isNotNull()
+        cx, cy = get(f"{b}.center[0]", "double"), get(f"{b}.center[1]", "double")
+        p = [get(f"{b}[{i}]", "double") for i in range(4)]
+        corners = (p[2] >= p[0]) & (p[3] >= p[1])
+        four = p[3].isNotNull() & p[0].isNotNull() & p[1].isNotNull() & p[2].isNotNull()
+        at = lambda a, c: F.struct(a.alias("x"), c.alias("y"))
+        return (
+            F.when(whole, at(x + w / 2, y + h / 2)).when(cx.isNotNull() & cy.isNotNull(), at(cx, cy))
+            .when(four & corners, at((p[0] + p[2]) / 2, (p[1] + p[3]) / 2)).when(four, at(p[0] + p[2] / 2, p[1] + p[3] / 2))
+        )
+
+    return F.coalesce(*[of(b) for b in boxes])
+
+
+def identifier(candidate: Column) -> Column:
+    """The id of an element (a variant) under its first name that is neither null nor empty, its own before those of ``raw_candidate``."""
+    names = [f"$.{k}" for k in ID_KEYS] + [f"$.raw_candidate.{k}" for k in ID_KEYS[1:]]
+    return F.coalesce(*[F.nullif(F.try_variant_get(candidate, n, "string"), F.lit("")) for n in names])
+
+
+def by_coordinates(op: Column, at: Column, argument: Column) -> Column:
+    """An action in the dialect of coordinates; a stop without any."""
+    o, x, y = F.lower(op), F.format_string("%.1f", at["x"]), F.format_string("%.1f", at["y"])
+    name = F.when(o.isin("type", "input", "fill"), "type").otherwise(o)
+    text = F.when(name == "type", F.concat(F.lit(" ["), X.blank(argument), F.lit("]"))).otherwise("")
+    return F.when(at.isNull(), "stop").otherwise(F.concat(name, F.lit(" ["), x, F.lit("] ["), y, F.lit("]"), text))
+
+
+def resolved(outputs: DataFrame) -> DataFrame:
+    """``outputs`` (op, target, argument, candidates: array of variants) with the first candidate of that id, its place and the action in three dialects.
+
+    The id of a target that no candidate has stands as it is; a null target has none.
+    """
+    hit = F.get(F.filter("candidates", lambda c: identifier(c) == F.col("target")), F.lit(0))
+    x = outputs.withColumn("_hit", hit).withColumn("at", centre(F.col("_hit"))).withColumn("found", F.col("_hit").isNotNull())
+    dialects = serialized(F.col("op"), F.col("target"), F.col("argument"))
+    return x.withColumns({**dialects, "coordinates": by_coordinates(F.col("op"), F.col("at"), F.col("argument"))}).drop("_hit", "candidates")

@@ -79,3 +79,41 @@ def construction_calls(stages: Column, steps: Column, repairs: Column) -> Column
 def cost_usd(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:
     """Price a million tokens each way, eight places; null where a count is null."""
     return F.round(tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out, 8)
+
+
+def step_metrics_records(rows: DataFrame) -> DataFrame:
+    """Shares over steps and tasks of records (task_id, gold ids, pred id, operations, values), the F1 of a step being the mean of its three marks.
+
+    Without gold elements a step is right without a prediction; a gold value
+    that is null or empty asks for nothing; others count without outer spaces.
+    """
+    gold = F.coalesce("gold", F.array().cast("array<string>"))
+    element = F.when(F.size(gold) > 0, F.coalesce(F.array_contains(gold, F.col("pred")), F.lit(False))).otherwise(F.col("pred").isNull())
+    operation = F.lower(X.blank(F.col("operation_gold"))) == F.lower(X.blank(F.col("operation_pred")))
+    value = (F.length(X.blank(F.col("value_gold"))) == 0) | (F.trim("value_gold") == F.trim(X.blank(F.col("value_pred"))))
+    marks = [c.cast("int") for c in (element, operation, F.coalesce(value, F.lit(False)))]
+    x = rows.select("task_id", *[m.alias(n) for m, n in zip(marks, "eov", strict=True)]).withColumn("ok", F.least("e", "o", "v"))
+    per = x.groupBy("task_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "eov"], F.sum("ok").alias("oks"), F.min("ok").alias("all_ok"))
+    share = lambda c: F.round(F.try_divide(F.sum(c), F.sum("n")), 6)
+    return per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("num_steps"), F.count("*").alias("num_tasks"), share("e").alias("element_accuracy"), share("o").alias("operation_accuracy"), share("v").alias("value_accuracy"),
+        share((F.col("e") + F.col("o") + F.col("v")) / 3.0).alias("action_f1"), share("oks").alias("step_success_rate"), F.round(F.avg("all_ok"), 6).alias("task_success_rate"),
+    )
+
+
+def run_metrics(log: DataFrame, success_only: bool = True) -> DataFrame:
+    """domain, num_tasks, success_count, task_success_rate (percent), avg_steps and inserted, the tasks that go into memory: with steps, and successful unless ``success_only`` is off."""
+    ok = F.coalesce("success", F.lit(False))
+    keep = (F.col("num_steps") > 0) & (ok if success_only else F.lit(True))
+    g = log.groupBy("domain").agg(F.count("*").alias("num_tasks"), F.sum(ok.cast("int")).alias("success_count"), F.sum("num_steps").alias("steps"), F.sum(keep.cast("int")).alias("inserted"))
+    rate = F.round(100.0 * F.col("success_count") / F.col("num_tasks"), 6)
+    return g.select("domain", "num_tasks", "success_count", rate.alias("task_success_rate"), F.round(F.col("steps") / F.col("num_tasks"), 6).alias("avg_steps"), "inserted")
+
+
+def checked_table(table: DataFrame, required: set[str], key: str, name: str) -> DataFrame:
+    """``table`` with all ``required`` columns and a row whose ``key`` is ``name``; raises ValueError where one is missing."""
+    if missing := sorted(required - set(table.columns)):
+        raise ValueError(f"missing columns: {missing}")
+    if table.where(F.col(key) == name).isEmpty():
+        raise ValueError(f"no row with {key} = {name}")
+    return table

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import construct_queries, episode_queries, maintenance_queries, memory_queries, page_queries, records, retrieval_queries
+from . import construct_queries, episode_queries, maintenance_queries, memory_queries, page_queries, records, retrieval_queries, state_queries
 
-MODULES = (records, memory_queries, retrieval_queries, maintenance_queries, episode_queries, construct_queries, page_queries)
+MODULES = (records, memory_queries, retrieval_queries, maintenance_queries, episode_queries, construct_queries, page_queries, state_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,30 @@ def _predictions(s, d):  # noqa: ANN001, ANN202
     )
 
 
+def _records(s, d):  # noqa: ANN001, ANN202
+    """The same baseline as records: gold ids, predicted id, operations and values of each step."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("task_id").orderBy("pos")
+    ids = lambda c: F.array_compact(F.transform(F.coalesce(c, F.array()), G.element_id))
+    return E.steps(s, d).select(
+        "task_id", ids("pos_candidates").alias("gold"), F.array_min(F.concat(ids("pos_candidates"), ids("neg_candidates"))).alias("pred"), F.col("operation").alias("operation_gold"),
+        F.lag("operation").over(w).alias("operation_pred"), F.col("argument").alias("value_gold"), F.lag("argument").over(w).alias("value_pred"),
+    )
+
+
+def _resolved(s, d):  # noqa: ANN001, ANN202
+    """Each trace step's target looked up among the candidates that the step observed, and its action in three dialects."""
+    get = lambda p, kind="string": F.try_variant_get(F.col("s.step"), p, kind)
+    t = table(s, d, "episode_traces").where(F.col("task_id").isNotNull()).select("task_id", "loaded_at", F.explode(nested.json_steps(F.col("trajectory"))).alias("s"))
+    target = get("$.target", "variant")
+    out = t.select(
+        "task_id", "loaded_at", F.col("s.pos").alias("pos"), X.blank(F.coalesce(get("$.operation"), get("$.action"))).alias("op"), get("$.argument").alias("argument"),
+        G.identifier(target).alias("target"), F.coalesce(get("$.observation.candidates", "array<variant>"), F.array().cast("array<variant>")).alias("candidates"),
+    )
+    return G.resolved(out).select("task_id", "loaded_at", "pos", "op", "target", "found", "brackets", "call", "coordinates")
+
+
 _F1 = """(case when len(p) = 0 and len(g) = 0 then 1.0 when len(p) = 0 or len(g) = 0 then 0.0 else
   2.0 * list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))) / (len(p) + len(g)) end)::double"""
 _IDS = "list_filter(list_transform(coalesce({c}, []), lambda c: coalesce(nullif(c.backend_node_id, ''), nullif(c.node_id, ''), nullif(c.attributes['backend_node_id'], ''), nullif(c.attributes['node_id'], ''), nullif(c.attributes['id'], ''), nullif(c.attributes['data_pw_testid'], ''))), lambda z: z is not null)"
@@ -296,6 +320,9 @@ def queries() -> dict:
         "weighted_sr": lambda s, d: M.weighted(scores(s, d), counts(s, d)),
         "table_recompute": lambda s, d: M.table_recompute(scores(s, d), counts(s, d)),
         "step_metrics_percent": lambda s, d: M.step_metrics_percent(_predictions(s, d)),
+        "step_metrics_records": lambda s, d: M.step_metrics_records(_records(s, d)),
+        "run_metrics": lambda s, d: M.run_metrics(_log(s, d)),
+        "resolve_actions": _resolved,
         "token_f1": lambda s, d: _predictions(s, d).groupBy("task_id").agg(F.round(F.avg("f1"), 6).alias("f1")),
         "llm_cost": lambda s, d: E.stages(_boundaries(s, d)).groupBy("task_id").agg(F.count("*").alias("stages")).join(E.lengths(E.steps(s, d)), "task_id").select("task_id", M.construction_calls(F.col("stages"), F.col("n"), F.lit(0)).alias("calls"), M.cost_usd(F.col("n") * 1000, F.col("stages") * 200, 2.5, 10.0).alias("usd")),
         "split_counts": lambda s, d: E.live_tasks(s, d).groupBy(split_name(F.col("split")).alias("split")).agg(F.count("*").alias("n")),
@@ -371,6 +398,14 @@ def oracle_sql() -> dict[str, str]:
         "step_metrics_percent": f"""with {_PRED}, t as (select task_id, bool_and(element_ok and operation_ok and value_ok) as a from q3 group by 1)
           select count(*) as num_steps, (select count(*) from t) as num_tasks, round(100.0 * avg(element_ok::int), 6) as element_accuracy, round(100.0 * avg(operation_ok::int), 6) as operation_accuracy, round(100.0 * avg(value_ok::int), 6) as value_accuracy,
           round(100.0 * avg(f1), 6) as action_f1, round(100.0 * avg((element_ok and operation_ok and value_ok)::int), 6) as step_success_rate, (select round(100.0 * avg(a::int), 6) from t) as task_success_rate from q3""",
+        "step_metrics_records": f"""with {STEPS}, r as (select task_id, {_IDS.format(c='pos_candidates')} as gold, {_IDS.format(c='neg_candidates')} as neg, operation, argument, lag(operation) over w as p_op, lag(argument) over w as p_arg from st window w as (partition by task_id order by pos)),
+          m as (select task_id, (case when len(gold) > 0 then coalesce(list_contains(gold, list_min(gold || neg)), false) else list_min(neg) is null end)::int as e, (lower(operation) = lower(coalesce(p_op, '')))::int as o,
+            (coalesce(length(argument), 0) = 0 or trim(argument) = trim(coalesce(p_arg, '')))::int as v from r),
+          t as (select task_id, min(least(e, o, v)) as a from m group by 1)
+          select count(*) as num_steps, (select count(*) from t) as num_tasks, round(avg(e), 6) as element_accuracy, round(avg(o), 6) as operation_accuracy, round(avg(v), 6) as value_accuracy, round(sum((e + o + v) / 3.0) / count(*), 6) as action_f1,
+            round(avg(least(e, o, v)), 6) as step_success_rate, (select round(avg(a), 6) from t) as task_success_rate from m""",
+        "run_metrics": f"""with {_LOG} select domain, count(*) as num_tasks, sum(coalesce(success, false)::int) as success_count, round(100.0 * sum(coalesce(success, false)::int) / count(*), 6) as task_success_rate,
+            round(sum(num_steps) / count(*), 6) as avg_steps, sum((coalesce(success, false) and num_steps > 0)::int) as inserted from l group by 1""",
         "token_f1": f"with {_PRED} select task_id, round(avg(f1), 6) as f1 from q3 group by 1",
         "llm_cost": f"with {STAGES}, x as (select task_id, count(*) as stages from sg group by 1), ln as (select task_id, count(*) as n from st group by 1) select x.task_id, 2 + stages + n as calls, round(n * 1000 / 1e6 * 2.5 + stages * 200 / 1e6 * 10.0, 8) as usd from x join ln on ln.task_id = x.task_id",
         "split_counts": f"""select split, count(*) as n from (select case {' '.join(f"when t = '{a}' then '{b}'" for a, b in SPLIT_ALIASES.items())} when t = '' then 'unknown' else t end as split from (select translate(lower({S.collapse('split')}), ' -', '__') as t from {TASKS})) group by 1""",
