@@ -203,7 +203,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p3_lifespans: first and last file number of every stretch of files in which a field has one type."""
-    rows, files = typed(catalogue(_records(spark, sf_dir)))
+    rows, files = typed(cut(catalogue(_records(spark, sf_dir))))
     of = lambda c, n: files.select("feed", F.col("seq").alias(c), F.col("file_no").alias(n))
     s = lifespans(rows).drop("last").join(of("first_seq", "first_file"), ["feed", "first_seq"]).join(of("last_seq", "last_file"), ["feed", "last_seq"])
     return s.select("feed", "path", "type", "first_file", "last_file")

@@ -76,6 +76,52 @@ select s.i - 1 as _ordinal, task_id as up_task_id, st.step_index as step_index,
 from (select task_id, s.i, steps[s.i] as st from tasks, unnest(range(1, len(steps) + 1)) as s(i) where task_id is not null) as s"""
 
 
+# paths as JSON lists them: array places are dropped, fields below attributes left out
+P3_LIFESPANS = r"""
+with r as (select feed, file_no, row_number() over () as rid, payload from raw_records where feed is not null and file_no is not null),
+j as (select *, try_cast(payload as json) as j from r),
+o as (select feed, file_no, rid, j from j where json_type(j) = 'OBJECT'),
+t as (select o.feed, o.file_no, o.rid, t.type as kind, regexp_replace(regexp_replace(substr(t.fullkey, 3), '"', '', 'g'), '\[[0-9]+\]', '[]', 'g') as path
+      from o, json_tree(o.j) t where t.fullkey <> '$' and t.type <> 'NULL'),
+f as (select distinct feed, file_no, rid, path, case kind when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end as type
+      from t where not ends_with(path, ']') and not regexp_matches(path, '(^|[.])attributes([.]|\[)')),
+c as (select feed, file_no, path, type, count(*) as n from f group by all),
+m as (select feed, file_no, path, type from (select *, row_number() over (partition by feed, file_no, path order by n desc, type) as rn from c) where rn = 1),
+q as (select feed, file_no, row_number() over (partition by feed order by file_no) as seq from (select distinct feed, file_no from r)),
+s as (select m.*, q.seq from m join q on q.feed = m.feed and q.file_no = m.file_no),
+l as (select *, lag(seq) over w as p_seq, lag(type) over w as p_type from s window w as (partition by feed, path order by seq)),
+i as (select *, sum(case when p_seq = seq - 1 and p_type = type then 0 else 1 end) over (partition by feed, path order by seq) as isle from l)
+select feed, path, type, min(file_no) as first_file, max(file_no) as last_file from i group by feed, path, isle, type"""
+
+
+def _p3_found() -> str:
+    """Files compared one by one with the file before; canonical names by a walk along the parts of each path."""
+    alias = lambda kind: "case n " + " ".join(f"when '{a}' then '{names[0]}'" for names in schema_drift.ALIASES[kind] for a in names) + " else n end"
+    name = f"(case kind when 'record' then {alias('record')} when 'step' then {alias('step')} when 'candidate' then {alias('candidate')} else n end)"
+    below = "(case when kind = 'record' and c = 'actions' then 'step' when kind = 'step' and c in ('pos_candidates', 'neg_candidates') then 'candidate' else 'other' end)"
+    spelled = r"trim(lower(regexp_replace(regexp_replace(regexp_replace(part, '(\[\])+$', ''), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[ \-_]+', '_', 'g')), '_')"
+    marks = r"regexp_extract(part, '((\[\])*)$', 1)"
+    head = P3_LIFESPANS[: P3_LIFESPANS.index("l as (select *, lag(seq)")].replace("with r as", "with recursive r as", 1)
+    return f"""{head}
+ps as (select distinct path, string_split(path, '.') as parts from s),
+walk as (select path, parts, 1 as i, 'record' as kind, '' as parent, '' as canon, '' as c from ps
+  union all select path, parts, i + 1, {below}, canon, case when canon = '' then c else canon || '.' || c end || mk, c
+  from (select *, {name} as c from (select path, parts, i, kind, canon, {spelled} as n, {marks} as mk from (select path, parts, i, kind, canon, parts[i] as part from walk where i <= len(parts))))),
+cn as (select path, parent, c as name from walk where i = len(parts) + 1),
+pairs as (select a.feed, a.seq, a.path, a.type, b.type as old from s a left join s b on b.feed = a.feed and b.seq = a.seq - 1 and b.path = a.path where a.seq > 1),
+ad as (select pairs.feed, pairs.seq, pairs.path, parent, name, row_number() over (partition by pairs.feed, pairs.seq, parent, name order by pairs.path) as nth from pairs join cn on cn.path = pairs.path where old is null),
+gone as (select a.feed, a.seq + 1 as seq, a.path from s a join q on q.feed = a.feed and q.seq = a.seq + 1 left join s b on b.feed = a.feed and b.seq = a.seq + 1 and b.path = a.path where b.path is null),
+rm as (select gone.*, parent, name, row_number() over (partition by feed, seq, parent, name order by gone.path) as nth from gone join cn on cn.path = gone.path),
+ev as (select coalesce(ad.feed, rm.feed) as feed, coalesce(ad.seq, rm.seq) as seq, case when rm.path is null then 'added' when ad.path is null then 'removed' else 'renamed' end as kind, coalesce(rm.path, '') as o, coalesce(ad.path, '') as p
+    from ad full join rm on rm.feed = ad.feed and rm.seq = ad.seq and rm.parent = ad.parent and rm.name = ad.name and rm.nth = ad.nth
+  union all select feed, seq, 'retyped', path, path from pairs where old is not null and old <> type),
+hit as (select feed, seq, o as up from ev where o <> '' union select feed, seq, p from ev where p <> ''),
+up as (select feed, seq, kind, o, p from ev where exists (select 1 from hit h where h.feed = ev.feed and h.seq = ev.seq
+    and (regexp_matches(ev.o, '^' || regexp_escape(h.up) || '(\\[\\])*\\.') or regexp_matches(ev.p, '^' || regexp_escape(h.up) || '(\\[\\])*\\.'))))
+select fn.file_name, ev.kind as change_kind, ev.o as old_path, ev.p as new_path from (select * from ev except all select * from up) ev
+join q on q.feed = ev.feed and q.seq = ev.seq join (select feed, file_no, min(file_name) as file_name from raw_records group by 1, 2) fn on fn.feed = ev.feed and fn.file_no = q.file_no"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": schema_drift.found,
@@ -99,6 +145,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _p3_found(),
+        "p3_lifespans": P3_LIFESPANS,
         "p4_found": P4,
         "p4_report": f"select child_table, period, reason, count(*) as orphans from ({P4}) group by 1, 2, 3",
         "p4_current": _CURRENT,
