@@ -113,12 +113,25 @@ def flatten_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.concat(F.lit("workflow_"), "intent_id").alias("workflow_id"), F.col("canonical_intent").alias("instruction"), F.greatest(F.size("s"), F.lit(0)).alias("n_steps"), text.alias("steps"))
 
 
-def unflatten_tree(flat: DataFrame) -> DataFrame:
-    """Steps of workflows back as rows with their place: the way up from ``flatten_tree``."""
-    part = F.posexplode(F.split("steps", "; "))
-    rows = flat.where(F.col("n_steps") > 0).select("workflow_id", part.alias("place", "text"))
-    cut = F.split("text", r"\|")
-    return rows.select("workflow_id", "place", cut[0].alias("stage"), cut[1].alias("operation"), cut[2].alias("argument_template"))
+def workflow_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of all workflows as rows with their place (from 0), in the order of ``flatten_tree``: nothing is joined into one text."""
+    s = live(spark, sf_dir, "stages").select("stage_id", F.col("parent_intent_id").alias("intent_id"), F.col("name").alias("stage"), F.coalesce(F.col("span")[0], F.lit(0)).alias("at"))
+    a = live(spark, sf_dir, "actions").select(F.col("parent_stage_id").alias("stage_id"), "action_id", "operation", F.coalesce("source.step_index", F.lit(0)).alias("step"), "argument_template")
+    i = live(spark, sf_dir, "intents").select("intent_id")
+    rows = s.join(a, "stage_id").join(i, "intent_id", "left_semi")
+    # places without one task an intent: stages are placed by the sizes of those before, steps within their stage
+    sizes = rows.groupBy("intent_id", "stage_id", "at").agg(F.count("*").alias("n"))
+    w = W.partitionBy("intent_id").orderBy("at", "stage_id").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select("intent_id", "stage_id", "before")
+    nth = F.row_number().over(W.partitionBy("stage_id").orderBy("step", "action_id")) - 1
+    out = rows.withColumn("nth", nth).join(before, ["intent_id", "stage_id"])
+    return out.select(F.concat(F.lit("workflow_"), "intent_id").alias("workflow_id"), (F.col("before") + F.col("nth")).alias("place"), "stage_id", "stage", "action_id", "operation", "argument_template")
+
+
+def from_workflows(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stages and actions out of ``workflow_steps``: the way up, with spans of places."""
+    stages = steps.groupBy("workflow_id", "stage_id").agg(F.first("stage").alias("name"), F.min("place").alias("start"), F.max("place").alias("end"))
+    return stages, steps.select("action_id", F.col("stage_id").alias("parent_stage_id"), "operation", "argument_template", F.col("place").alias("step_index"))
 
 
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ from ..operators import construct as C
 from ..operators import describe as D
 from ..operators import episodes as E
 from ..operators import memory, retrieval
+from ..operators.maintenance import canonical_operation
 from . import sqltext as S
 from .episode_queries import _DAMAGED, STAGES, STEPS, TASKS, _boundaries, _damaged, described_ctes
+from .maintenance_queries import canonical_operation as canonical_sql
 from .memory_queries import live
 from .retrieval_queries import _conditions
 
@@ -40,8 +42,24 @@ def _order(s, d):  # noqa: ANN001, ANN202
     return C.ordered(rows, "parent_intent_id")
 
 
+_FILLED = {"element_purpose": "element_purpose", "form_section": "section", "field_slot": "slot", "value_source": "value_source", "expected_state_change": "expected_state_change"}
+
+
+def _enriched(s, d):  # noqa: ANN001, ANN202
+    """Stored descriptors with the fields they lack, inferred from those they have."""
+    sd = lambda f: F.col(f"semantic_description.{f}")
+    a = memory.live(s, d, "actions").select(
+        "action_id", canonical_operation(F.col("operation")).alias("op"), F.col("argument_template").alias("argument"), X.collapse(sd("label_or_text")).alias("label"),
+        F.coalesce(F.nullif(X.normal_key(sd("role")), F.lit("")), F.lit("generic")).alias("role"), X.collapse(sd("parent_context")).alias("parent"), X.collapse(sd("sibling_context")).alias("sibling"),
+        *[sd(f).alias(f"own_{f}") for f in _FILLED],
+    )
+    x = D.described(a)
+    return x.select("action_id", *[c.alias(f) for f, c in D.enriched({f: F.col(f"own_{f}") for f in _FILLED}, {f: F.col(c) for f, c in _FILLED.items()}).items()])
+
+
 def queries() -> dict:
     return {
+        "enrich_descriptors": _enriched,
         "construct_intents": lambda s, d: C.intents(_tasks(s, d)),
         "construct_stages": _stages,
         "construct_actions": lambda s, d: C.actions(E.steps(s, d), _stages(s, d)),
@@ -77,7 +95,10 @@ def oracle_sql() -> dict[str, str]:
     over = "over (partition by task_id order by stage)"
     pre, post = "array_to_string(pre_conditions, '; ')", "array_to_string(post_conditions, '; ')"
     rank = "case status " + " ".join(f"when '{k}' then {v}" for k, v in C.STATUS.items()) + " end"
+    own = f"""select action_id as task_id, 0 as pos, {canonical_sql('operation')} as op, argument_template as argument, {S.collapse('semantic_description.label_or_text')} as label,
+        coalesce(nullif({S.normal_key('semantic_description.role')}, ''), 'generic') as role, {S.collapse('semantic_description.parent_context')} as parent, {S.collapse('semantic_description.sibling_context')} as sibling from {live('actions')}"""
     return {
+        "enrich_descriptors": f"""with {described_ctes(own)} select action_id, {', '.join(f"coalesce(nullif(semantic_description.{f}, ''), dd.{c}) as {f}" for f, c in _FILLED.items())} from {live('actions')} a join dd on dd.task_id = a.action_id""",
         "construct_intents": f"with {_INTENTS} select task_id, intent_id, canonical_intent, domain_hint, constraints from ci",
         "construct_stages": f"with {_STAGES} select * from cs",
         "construct_actions": f"""with {_STAGES}, {described_ctes()} select {_id('act', 'dd.task_id', 'stage_id', 'pos', 'op', 'label', 'role')} as action_id, stage_id, dd.task_id, pos as step_index, op as operation, argument as argument_template,

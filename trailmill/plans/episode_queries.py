@@ -92,12 +92,13 @@ def _described(s, d):  # noqa: ANN001, ANN202
     return D.described(rows).select("task_id", "pos", *D.FIELDS)
 
 
-def described_ctes() -> str:
-    """CTEs up to ``dd``: the steps with their descriptor fields."""
+def described_ctes(source: str | None = None) -> str:
+    """CTEs up to ``dd``: the steps, or the rows of ``source``, with their descriptor fields."""
     k = S.normal_key
     ws = lambda *xs: "concat_ws(' ', " + ", ".join(xs) + ")"
-    return f"""d0 as (select task_id, pos, {canonical_operation('operation')} as op, argument, label, case when role = '' then 'generic' else role end as role,
-        {S.collapse('pos_candidates[1].parent_context')} as parent, {S.collapse('pos_candidates[1].sibling_text')} as sibling from st),
+    steps = f"""select task_id, pos, {canonical_operation('operation')} as op, argument, label, case when role = '' then 'generic' else role end as role,
+        {S.collapse('pos_candidates[1].parent_context')} as parent, {S.collapse('pos_candidates[1].sibling_text')} as sibling from st"""
+    return f"""d0 as ({source or steps}),
       d1 as (select *, {k(ws('parent', 'label'))} as ctx from d0), d2 as (select *, {D.case('ctx', D.SECTIONS, 'task-relevant content area')} as section from d1),
       d3 as (select *, {k(ws('parent', 'section', 'label'))} as ctx2 from d2), d4 as (select *, {D.case('ctx2', D.REGIONS, 'main content')} as region from d3),
       d5 as (select *, {k(ws('label', 'parent', 'section', 'argument', 'op'))} as ctx3 from d4), d6 as (select *, {D.slot_case('ctx3', 'op')} as slot from d5),

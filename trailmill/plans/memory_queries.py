@@ -34,12 +34,18 @@ union all select 'stage', stage_id, parent_intent_id, {STAGE_TEXT} from {live('s
 union all select 'action', action_id, parent_stage_id, {ACTION_TEXT} from {live('actions')}"""
 
 
+_WORKFLOWS = f"""w as (select 'workflow_' || s.parent_intent_id as workflow_id, row_number() over (partition by s.parent_intent_id order by coalesce(s.span[1], 0), s.stage_id, coalesce(a.source.step_index, 0), a.action_id) - 1 as place,
+  s.stage_id, s.name as stage, a.action_id, a.operation, a.argument_template from {live('stages')} s join {live('actions')} a on a.parent_stage_id = s.stage_id where s.parent_intent_id in (select intent_id from {live('intents')}))"""
+
+
 def queries() -> dict:
     return {
         "id_upsert_last_wins": lambda s, d: memory.live(s, d, "intents").select("intent_id", "canonical_intent", "domain_hint", "batch_no", "first_at"),
         "record_union": memory.nodes,
         "tree_descent": memory.descend,
         "tree_flatten": memory.flatten_tree,
+        "workflow_steps": memory.workflow_steps,
+        "workflow_stages": lambda s, d: memory.from_workflows(memory.workflow_steps(s, d))[0],
         "cascade_delete": memory.cascade,
         "fifo_prune": memory.overflow,
         "index_manifest": memory.manifest,
@@ -59,6 +65,8 @@ def oracle_sql() -> dict[str, str]:
             from {live('stages')} s join {live('actions')} a on a.parent_stage_id = s.stage_id group by 1)
             select 'workflow_' || i.intent_id as workflow_id, canonical_intent as instruction, coalesce(n, 0)::int as n_steps, coalesce(steps, '') as steps
             from {live('intents')} i left join x on x.intent_id = i.intent_id""",
+        "workflow_steps": f"with {_WORKFLOWS} select * from w",
+        "workflow_stages": f"""with {_WORKFLOWS} select workflow_id, stage_id, any_value(stage) as name, min(place) as start, max(place) as "end" from w group by 1, 2""",
         "cascade_delete": f"""with s as (select stage_id from {live('stages')} where parent_intent_id in (select intent_id from {live('intents')}))
             select 'intent' as level, count(*) as kept from {live('intents')} union all select 'stage', count(*) from s
             union all select 'action', count(*) from {live('actions')} where parent_stage_id in (select stage_id from s)""",

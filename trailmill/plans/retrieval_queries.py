@@ -69,7 +69,7 @@ def condition_status(spark, d):  # noqa: ANN001, ANN201
     s = memory.live(spark, d, "stages").select("stage_id", "parent_intent_id", "pre_conditions", "post_conditions", "name", "transfer_rationale")
     i = memory.live(spark, d, "intents").select(F.col("intent_id").alias("parent_intent_id"), "canonical_intent")
     rows = s.join(i, "parent_intent_id")
-    obs = F.concat_ws(" ", X.blank(F.col("canonical_intent")), X.blank(F.col("name")), F.lit("the dialog is closed and the field is visible"))
+    obs = F.concat_ws(" ", X.blank(F.col("canonical_intent")), X.blank(F.col("name")))
     out = retrieval.conditions(rows.withColumn("text", obs), F.col("pre_conditions"), F.col("post_conditions"), F.col("text"))
     r = lambda c: F.round(c, 9).alias(c)
     return out.select("stage_id", "decision", r("pre_score"), r("post_score"), r("conflict_score"), r("condition_score"))
@@ -139,7 +139,7 @@ def oracle_sql() -> dict[str, str]:
         "hash_encode": f"""select id, bucket::int as bucket, count(*)::int as n from (select doc_id as id, ('0x' || substr(sha1(unnest({S.token_set('text')})), 1, 8))::bigint % 256 as bucket from documents) group by 1, 2""",
         "intent_topk": f"with {_INTENTS} select * from hit",
         "condition_status": f"""select stage_id, decision, round(pre_score, 9) as pre_score, round(post_score, 9) as post_score, round(conflict_score, 9) as conflict_score, round(condition_score, 9) as condition_score
-          from {_conditions(f"(select *, {S.token_set('text')} as tokens from (select stage_id, pre_conditions, post_conditions, concat_ws(' ', coalesce(canonical_intent, ''), coalesce(s.name, ''), 'the dialog is closed and the field is visible') as text from {live('stages')} s join {live('intents')} i on i.intent_id = s.parent_intent_id))")}""",
+          from {_conditions(f"(select *, {S.token_set('text')} as tokens from (select stage_id, pre_conditions, post_conditions, concat_ws(' ', coalesce(canonical_intent, ''), coalesce(s.name, '')) as text from {live('stages')} s join {live('intents')} i on i.intent_id = s.parent_intent_id))")}""",
         "condition_rescore_topk": f"with {_STAGES} select query_id, id, decision, score, rank from top",
         "low_confidence_gate": f"with {_HIER} select query_id, id, margin, (score < 0.15 or margin < 0.1) as low_confidence from ch",
         "hierarchical_retrieval": f"""with {_HIER} select query_id, id as stage_id, decision as stage_decision, round(greatest(0.0, least(1.0, score)), 6) as confidence,
