@@ -39,11 +39,14 @@ def test_topk_fills_with_zero_scores_and_breaks_ties_by_text(spark):
     assert [r["id"] for r in d] == [1, 4, 2, 3] and d[1]["score"] == pytest.approx(0.707106781)
 
 
-def test_blocks_of_queries_change_nothing(spark):
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     items = spark.createDataFrame([(i, [f"t{i % 7}", f"u{i % 5}"]) for i in range(60)], "id long, tokens array<string>")
     q = items.where("id % 6 = 0").withColumnRenamed("id", "query_id")
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(retrieval.lexical_topk(q, items, 4)) == key(retrieval.lexical_topk(q, items, 4, block=3))
+    whole = key(retrieval.lexical_topk(q, items, 4))
+    monkeypatch.setattr(retrieval, "PART_ROWS", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    assert key(retrieval.lexical_topk(q, items, 4)) == whole and len(whole) == 40
 
 
 def test_near_duplicates_equal_brute_force_and_hot_groups_stay_one_row(spark):
@@ -69,7 +72,7 @@ def test_near_duplicates_equal_brute_force_and_hot_groups_stay_one_row(spark):
     assert got == want and members.count() == len(rows)
 
 
-def test_large_blocks_of_actions_find_what_small_ones_find(spark, folder):
+def test_actions_without_fields_in_common_are_pairs_by_role_or_text(spark, folder):
     words = [f"word{i}" for i in range(30)]
     says = lambda k, **x: {"action_id": k, "parent_stage_id": "s", "operation": "click", "semantic_description": x, "loaded_at": D(2025, 1, 1)}
     d = folder(actions=[
@@ -77,8 +80,7 @@ def test_large_blocks_of_actions_find_what_small_ones_find(spark, folder):
         says("c", role="x", value_source="up"), says("e", role="X", value_source="down"),  # a role without a token
         *[says(f"f{i}", role=f"role{i}", label_or_text=f"label{i} of{i}") for i in range(6)],
     ])
-    pairs = lambda most: sorted(map(tuple, maintenance.near_dup_actions(spark, d, most).collect()))
-    assert pairs(2) == pairs(200) and {p[:2] for p in pairs(200)} == {("a", "b"), ("c", "e")}
+    assert {tuple(p)[:2] for p in maintenance.near_dup_actions(spark, d).collect()} == {("a", "b"), ("c", "e")}
 
 
 def test_merge_removes_only_by_survivors(spark):
@@ -106,9 +108,17 @@ def test_average_steps_come_from_the_trajectories(spark, folder):
 
 
 def test_low_confidence_merge_and_repair(spark):
-    s = spark.createDataFrame([("t", i, i, i, c) for i, c in enumerate([0.5, 0.1, 0.2, 0.9, 0.1], 1)], "task_id string, stage int, start int, end int, confidence double")
-    got = [(r["start"], r["end"], r["confidence"]) for r in episodes.merge_low_confidence(s).orderBy("stage").collect()]
-    assert got == [(1, 1, 0.5), (2, 3, 0.2), (4, 4, 0.9), (5, 5, 0.1)]
+    def merged(confidences):
+        kinds = ", ".join(f"s_{k} double" for k in episodes.ORDER)
+        of = lambda i: [float(k == ("filtering" if i % 2 else "generic")) for k in episodes.ORDER]
+        rows = [("t", i, i, i, 1, 0.0, 0.9, f"L{i}", *of(i), "generic", c) for i, c in enumerate(confidences, 1)]
+        s = spark.createDataFrame(rows, f"task_id string, stage int, start int, end int, n long, inner double, edge double, last_label string, {kinds}, kind string, confidence double")
+        return [tuple(r) for r in episodes.merge_low_confidence(s).orderBy("stage").select("start", "end", "confidence", "kind").collect()]
+
+    got = merged([0.5, 0.1, 0.2, 0.9, 0.1])
+    # two steps of one kind each, 0.9 apart: 0.45 * 1 / 2 + 0.35 * 0.1 + 0.2 * sqrt(2) / 2.5
+    assert [g[:2] for g in got] == [(1, 1), (2, 3), (4, 4), (5, 5)] and got[1][2] == round(0.225 + 0.035 + 0.2 * 2**0.5 / 2.5, 6) and got[1][3] == "generic"
+    assert [g[:2] for g in merged([0.1] * 4)] == [(1, 2), (3, 4)] and [g[:2] for g in merged([0.9] * 11)][-1] == (8, 11)
     n = spark.createDataFrame([("t", 9)], "task_id string, n int")
     for spans in ([(0, 2), (1, 1), (4, 5)], [(3, 3)], [(0, 20), (2, 3)], [(0, 0), (0, 0), (0, 0)]):
         df = spark.createDataFrame([("t", i, a, b) for i, (a, b) in enumerate(spans)], "task_id string, stage int, start int, end int")

@@ -8,7 +8,7 @@ from ..operators import episodes as E
 from ..operators import pages
 from ..sources import io
 from ..session import table
-from ..streaming import online
+from ..streaming import online, online_tree
 from .episode_queries import STEPS
 
 
@@ -26,6 +26,8 @@ def queries() -> dict:
         "html_summary": pages.summary,
         "online_gate": online.gate_report,
         "online_trace": lambda s, d: online.replayed(online.episodes(s, d)),
+        "online_tree": lambda s, d: online_tree.replayed(online_tree.episodes(s, d)),
+        "online_tree_memory": lambda s, d: online_tree.kept(online_tree.episodes(s, d)),
         "online_prefix_counts": lambda s, d: online.prefix_counts(online.episodes(s, d)),
         "event_windows": lambda s, d: online.event_windows(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))),
         "prompt_cache": _cache,
