@@ -98,13 +98,13 @@ def element_id(c: Column) -> Column:
     return F.coalesce(F.nullif(c["backend_node_id"], F.lit("")), F.nullif(c["node_id"], F.lit("")), *attributes)
 
 
-def grounded(actions: DataFrame, page: DataFrame) -> DataFrame:
-    """Best element of each action: task_id, pos, element_id, total, matched, confidence, argument, correct.
+def scored(actions: DataFrame, page: DataFrame) -> DataFrame:
+    """Every element of the page of each action with the parts of its score and its place (``rn`` from 1).
 
     ``actions``: task_id, pos, op, argument, d_... for each of ``FIELDS``, and
     d_disambiguators, d_negative_constraints, d_priority (arrays); ``page``: a
     ``snapshot``.  The join is on the step, so every action meets the elements
-    of its page only.  ``element_id`` is null below the confidence floor, and for a stop.
+    of its page only.
     """
     parts = {"text": F.col("label"), "whole": F.col("whole"), "around": F.concat_ws(" ", "parent", "region"), "beside": F.concat_ws(" ", "sibling", "nearby")}
     p = page.withColumns({f"t_{n}": X.token_set(c) for n, c in parts.items()}).withColumn("_beside", parts["beside"])
@@ -141,9 +141,26 @@ def grounded(actions: DataFrame, page: DataFrame) -> DataFrame:
     tie = F.least(F.lit(0.04), F.col("salience") / 100.0) + F.greatest(F.lit(0.0), 0.03 - F.col("rank") * 0.001)
     x = x.withColumn("rejected", (against > 0) | (state > 0) | (F.col("op_score") == 0))
     score = 0.22 * F.col("op_score") + 0.58 * F.col("fields") + DISAMBIGUATORS * more + tie - against - state
-    x = x.withColumn("total", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9))
+    x = x.withColumns({"disambiguators": more, "negative": against, "state": state, "tie": tie, "total": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9)})
     w = W.partitionBy("task_id", "pos").orderBy(F.desc("total"), "eid", "index")
-    x = x.withColumn("second", F.lead("total", 1, 0.0).over(w)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)
+    return x.withColumn("second", F.lead("total", 1, 0.0).over(w)).withColumn("rn", F.row_number().over(w))
+
+
+def breakdown(actions: DataFrame, page: DataFrame, most: int = 12) -> DataFrame:
+    """The ``most`` best elements of each action with the parts of their scores and why they are held back."""
+    x = scored(actions, page).where(F.col("rn") <= most)
+    why = F.array_compact(F.array(F.when(F.col("op_score") == 0, "operation/role mismatch"), F.when(F.col("state") > 0, "candidate appears disabled or hidden"), F.when(F.col("negative") > 0, "negative constraint matched")))
+    part = lambda c: F.round(c, 6).alias(c)
+    return x.select("task_id", "pos", F.col("rn").alias("rank"), F.col("eid").alias("element_id"), *[part(c) for c in ("total", "op_score", "fields", "disambiguators", "negative", "state", "tie")], "matched", why.alias("rejected"))
+
+
+def grounded(actions: DataFrame, page: DataFrame) -> DataFrame:
+    """Best element of each action (``scored``): task_id, pos, element_id, total, matched, confidence, argument, correct.
+
+    ``element_id`` is null below the confidence floor, and for a stop.
+    """
+    x = scored(actions, page).where(F.col("rn") == 1)
+    op = X.normal_key(F.col("op"))
     conf = 0.78 * F.col("total") + 0.15 * F.greatest(F.lit(0.0), F.col("total") - F.col("second")) + F.least(F.lit(0.15), 0.03 * F.col("matched"))
     conf = F.least(F.lit(1.0), F.when(F.col("rejected"), REJECTED * conf).otherwise(conf))
     x = x.withColumn("confidence", F.round(F.when(op == "stop", 1.0).otherwise(conf), 6))

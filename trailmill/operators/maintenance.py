@@ -263,3 +263,30 @@ def near_dup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = members.join(gone.withColumnRenamed("id", "rep"), "rep", "left").withColumn("kept", F.coalesce("kept", "rep")).where(F.col("kept") != F.col("id"))
     s = memory.live(spark, sf_dir, "stages").groupBy(F.col("parent_intent_id").alias("id")).agg(F.count("*").alias("moved"))
     return out.join(s, "id", "left").select(F.col("id").alias("removed"), "kept", F.coalesce("moved", F.lit(0)).alias("stages_moved"))
+
+
+def inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``issues`` and one row of information for each near-duplicate pair: severity, record_type, record_id, message, other_id, score."""
+    row = lambda df, kind: df.select(F.lit("info").alias("severity"), F.lit(kind).alias("record_type"), F.col("id_a").alias("record_id"), F.lit("near-duplicate record").alias("message"), F.col("id_b").alias("other_id"), "score")
+    out = issues(spark, sf_dir).withColumns({"other_id": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    for kind, pairs in (("intent", near_dup_intents), ("stage", near_dup_stages), ("action", near_dup_actions)):
+        out = out.unionByName(row(pairs(spark, sf_dir), kind))
+    return out
+
+
+def remapped_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live stages whose intent goes when near duplicates are merged, with the intent that they move to."""
+    gone = near_dup_merge(spark, sf_dir).select(F.col("removed").alias("old_parent"), F.col("kept").alias("new_parent"))
+    return memory.live(spark, sf_dir, "stages").select("stage_id", F.col("parent_intent_id").alias("old_parent")).join(gone, "old_parent").select("stage_id", "old_parent", "new_parent")
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """level, before, orphans and merged: what a cleaning run starts with, drops as below no parent, and merges into a near duplicate.
+
+    Stages of merged intents move to the kept ones; orphans go first, with all below them.
+    """
+    left = memory.cascade(spark, sf_dir)
+    before = [memory.live(spark, sf_dir, n).agg(F.count("*").alias("before")).select(F.lit(n[:-1]).alias("level"), "before") for n in ("intents", "stages", "actions")]
+    merged = near_dup_merge(spark, sf_dir).agg(F.count("*").alias("merged")).select(F.lit("intent").alias("level"), "merged")
+    out = before[0].unionByName(before[1]).unionByName(before[2]).join(left, "level").join(merged, "level", "left")
+    return out.select("level", "before", (F.col("before") - F.col("kept")).alias("orphans"), F.coalesce("merged", F.lit(0)).alias("merged"))

@@ -123,16 +123,20 @@ _PATTERN = {
 _STORED = {f: f"semantic_description.{f}" if f != "region" else "''" for f in G.FIELDS}
 
 
-def _ground(s, d):  # noqa: ANN001, ANN202
-    """Replay: the pattern that each step leaves, with all its inferred fields, grounded on the page it was recorded on."""
+def _patterns(s, d):  # noqa: ANN001, ANN202
+    """The pattern that each step leaves, with all its inferred fields."""
     from ..operators.construct import described_steps
 
     many = lambda c, sep: F.filter(F.split(c, sep), lambda t: t != "")
-    a = described_steps(E.steps(s, d)).select(
+    return described_steps(E.steps(s, d)).select(
         "task_id", "pos", "op", "argument", "value_source", *[F.expr(c).alias(f"d_{f}") for f, c in _PATTERN.items()],
         many("disambiguators", "; ").alias("d_disambiguators"), many("negative_constraints", "; ").alias("d_negative_constraints"), many("grounding_priority", " ").alias("d_priority"),
     )
-    return G.grounded(a, _page(s, d))
+
+
+def _ground(s, d):  # noqa: ANN001, ANN202
+    """Replay: each step's pattern grounded on the page it was recorded on."""
+    return G.grounded(_patterns(s, d), _page(s, d))
 
 
 def _ground_memory(s, d):  # noqa: ANN001, ANN202
@@ -202,10 +206,10 @@ def _grounded_ctes() -> str:
       gd as (select task_id, pos, case when confidence >= {G.FLOOR} and o <> 'stop' then eid end as element_id, total, matched, confidence, case when length(arg0) > 0 then arg0 when contains(vs, ':') then trim(substr(vs, instr(vs, ':') + 1)) end as argument, gold as correct from gb)"""
 
 
-def _ground_sql() -> str:
+def _ground_sql(end: str = "select * from gd") -> str:
     many = lambda c, sep: f"list_filter(string_split({c}, '{sep}'), lambda t: t <> '')"
     return f"""with {STEPS}, {described_ctes()}, {_snapshot_ctes()}, ap as (select task_id, pos, op, argument, value_source, {', '.join(f'{c} as d_{f}' for f, c in _PATTERN.items())},
-        {many('disambiguators', '; ')} as d_disambiguators, {many('negative_constraints', '; ')} as d_negative_constraints, {many('grounding_priority', ' ')} as d_priority from dd), {_grounded_ctes()} select * from gd"""
+        {many('disambiguators', '; ')} as d_disambiguators, {many('negative_constraints', '; ')} as d_negative_constraints, {many('grounding_priority', ' ')} as d_priority from dd), {_grounded_ctes()} {end}"""
 
 
 def _ground_memory_sql() -> str:
@@ -310,6 +314,7 @@ def queries() -> dict:
         "page_snapshot": lambda s, d: _page(s, d).select("task_id", "pos", "index", "eid", "role", "label", "parent", "sibling", "nearby", "place", "region", "salience", "interactive", "rank"),
         "page_summary": lambda s, d: G.page_summaries(_page(s, d)),
         "ground_best_element": _ground,
+        "ground_breakdown": lambda s, d: G.breakdown(_patterns(s, d), _page(s, d)),
         "ground_memory_actions": _ground_memory,
         "salience_topk": lambda s, d: G.salient(G.elements(E.steps(s, d)), E.live_tasks(s, d).select("task_id", X.blank(F.col("instruction")).alias("query"))),
         "serialize_actions": lambda s, d: (lambda st: st.select("task_id", "pos", *[c.alias(n) for n, c in G.serialized(F.col("operation"), G.element_id(F.get("pos_candidates", F.lit(0))), F.col("argument")).items()]))(E.steps(s, d)),
@@ -382,6 +387,9 @@ def oracle_sql() -> dict[str, str]:
           y as (select task_id, pos, index, key, round(1.0 + inter + {S.shared('qt', 't')}::double / greatest(1, len(qt) + len(t) - {S.shared('qt', 't')}) + 0.000001, 9) as score from z)
           select task_id, pos, index, score, rank from (select *, row_number() over (partition by task_id, pos order by score desc, key, index) as rank from y) where rank <= 30""",
         "ground_best_element": _ground_sql(),
+        "ground_breakdown": _ground_sql("""select task_id, pos, rn as rank, eid as element_id, round(total, 6) as total, round(op_score, 6) as op_score, round(case when den > 0 then num / den else 0.0 end, 6) as fields,
+            round(case when len(more) > 0 then list_sum(more) / len(more) else 0.0 end, 6) as disambiguators, round(against, 6) as negative, round(state, 6) as state, round(least(0.04, salience / 100.0) + greatest(0.0, 0.03 - rank * 0.001), 6) as tie, matched,
+            list_filter([case when op_score = 0 then 'operation/role mismatch' end, case when state > 0 then 'candidate appears disabled or hidden' end, case when against > 0 then 'negative constraint matched' end], lambda z: z is not null) as rejected from x4 where rn <= 12"""),
         "ground_memory_actions": _ground_memory_sql(),
         "serialize_actions": f"""with {STEPS}, x as (select *, pos_candidates[1] as c, lower(operation) as o, coalesce(argument, '') as a from st), y as (select *, {eid} as e from x), z as (select *, coalesce(length(e) > 0, false) as has from y)
           select task_id, pos, case when o = 'click' and has then 'click [' || e || ']' when {typed} and has then 'type [' || e || '] [' || a || ']' when o = 'select' and has then 'select [' || e || '] [' || a || ']'

@@ -92,6 +92,9 @@ def queries() -> dict:
         "near_dup_stages": M.near_dup_stages,
         "near_dup_actions": M.near_dup_actions,
         "near_dup_merge": M.near_dup_merge,
+        "inspect_memory": M.inspection,
+        "remapped_stages": M.remapped_stages,
+        "clean_memory": M.cleaned,
         "canonical_operation": lambda s, d: memory.live(s, d, "actions").select("action_id", M.canonical_operation(F.col("operation")).alias("operation")),
     }
 
@@ -105,5 +108,13 @@ def oracle_sql() -> dict[str, str]:
         "near_dup_stages": _STAGE_DUPS,
         "near_dup_actions": _action_dups(),
         "near_dup_merge": _MERGE,
+        "inspect_memory": f"""select *, null::varchar as other_id, null::double as score from ({_ISSUES})
+          union all select 'info', 'intent', id_a, 'near-duplicate record', id_b, score from (with {_REPS} select * from p)
+          union all select 'info', 'stage', id_a, 'near-duplicate record', id_b, score from ({_STAGE_DUPS}) union all select 'info', 'action', id_a, 'near-duplicate record', id_b, score from ({_action_dups()})""",
+        "remapped_stages": f"select stage_id, parent_intent_id as old_parent, kept as new_parent from {live('stages')} s join ({_MERGE}) g on g.removed = s.parent_intent_id",
+        "clean_memory": f"""with s as (select stage_id from {live('stages')} where parent_intent_id in (select intent_id from {live('intents')})), g as ({_MERGE})
+          select 'intent' as level, (select count(*) from {live('intents')}) as before, 0::bigint as orphans, (select count(*) from g) as merged
+          union all select 'stage', (select count(*) from {live('stages')}), (select count(*) from {live('stages')}) - (select count(*) from s), 0
+          union all select 'action', (select count(*) from {live('actions')}), (select count(*) from {live('actions')} where parent_stage_id is null or parent_stage_id not in (select stage_id from s)), 0""",
         "canonical_operation": f"select action_id, {canonical_operation('operation')} as operation from {live('actions')}",
     }

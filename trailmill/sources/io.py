@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.metrics import run_metrics
+from ..operators.states import DOMAIN_WORDS, domain_name
+from ..session import cut
+
 # fixed values: keys under which a document may hold its records
 CONTAINERS = ("data", "examples", "records", "tasks", "annotations", "order")
 SOURCE = "struct<dataset:string,episode_id:string,step_index:int>"
@@ -120,14 +126,15 @@ def require(df: DataFrame, *fields: str) -> DataFrame:
     return df
 
 
-def memory_errors(rows: DataFrame) -> DataFrame:
-    """record_type, record and error of every row of a memory file that breaks its form."""
+def memory_errors(rows: DataFrame, name: str | None = None) -> DataFrame:
+    """record_type, record (its id, or the column ``name``) and error of every row of a memory file that breaks its form."""
     kind = F.col("record_type")
     checks = [F.when(~F.coalesce(kind.isin(*LEVELS), F.lit(False)), F.lit("unknown record_type"))]
     for k, need in LEVELS.items():
         checks += [F.when((kind == k) & F.coalesce(F.col(f) == "", F.lit(True)), F.lit(f"missing {f}")) for f in need]
     checks.append(F.when((kind == "stage") & (F.coalesce(F.size("span"), F.lit(0)) != 2), F.lit("span is not a pair")))
-    return rows.select("record_type", F.coalesce("intent_id", "stage_id", "action_id").alias("record"), F.explode(F.array_compact(F.array(*checks))).alias("error"))
+    record = F.col(name) if name else F.coalesce("intent_id", "stage_id", "action_id")
+    return rows.select("record_type", record.alias("record"), F.explode(F.array_compact(F.array(*checks))).alias("error"))
 
 
 def load_memory(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -186,16 +193,73 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """One hash of a folder's file names and contents, in order of names."""
-    root = Path(path).resolve().as_uri().replace("file://", "")
-    rel = F.regexp_replace("path", f"^file:/*{re.escape(root)}/?", "")
-    line = file_hashes(spark, path).select(rel.alias("p"), "sha256").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "sha256"))), lambda x: F.concat(x["p"], F.lit("\0"), x["sha256"])), "").alias("t"))
-    return line.select(F.sha2("t", 256)).first()[0]
+    """One hash of a folder's file names and contents, whatever their order: hashes of files are summed where they stand."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    rel = F.regexp_replace("path", f"^[a-z0-9]+:/*{re.escape(root.lstrip('/'))}/?", "")
+    one = F.sha2(F.concat_ws("\0", rel, "sha256"), 256)
+    parts = [F.sum(F.conv(F.substring(one, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"h{i}") for i in range(4)]
+    r = file_hashes(spark, path).agg(F.count("*").alias("n"), *parts).first()
+    return hashlib.sha256("|".join(str(v) for v in r).encode()).hexdigest()
+
+
+def write_splits(df: DataFrame, split: Column, path: str) -> DataFrame:
+    """Records partitioned by split below ``path``/records, with their counts beside them in ``path``/counts; returns the counts."""
+    df.withColumn("split", split).write.mode("overwrite").partitionBy("split").json(f"{path}/records")
+    counts = df.groupBy(split.alias("split")).agg(F.count("*").alias("records"))
+    counts.coalesce(1).write.mode("overwrite").json(f"{path}/counts")
+    return df.sparkSession.read.schema("split string, records long").json(f"{path}/counts")
+
+
+TASK = "task_id string, domain string, order_index string, intent string, config_file string, sites array<string>"
+
+
+def read_task_order(spark: SparkSession, path: str, domain: str | None = None, limit: int | None = None) -> DataFrame:
+    """Tasks of an order file or folder (lists, containers or JSON lines), in order; ``limit`` ends a run early."""
+    rows = task_order(read_records(spark, path, TASK).drop("_file"), domain)
+    return rows if limit is None else rows.limit(limit)
+
+
+def infer_tasks(configs: DataFrame) -> DataFrame:
+    """task_id and domain of task configs (``read_records`` with ``_file``): their own, else the digits or name of the file, and what sites, file and text speak of."""
+    stem = F.regexp_extract("_file", r"([^/]+?)(\.[^./]*)?$", 1)
+    digits = F.regexp_extract(stem, r"(\d+)", 1)
+    task = F.coalesce(F.nullif(F.trim("task_id"), F.lit("")), F.nullif(digits, F.lit("")), stem)
+    text = F.concat_ws(" ", F.concat_ws(" ", "sites"), "_file", "intent")
+    named = F.coalesce(F.nullif(F.trim("domain"), F.lit("")), F.get(F.coalesce("sites", F.array().cast("array<string>")), F.lit(0)))
+    hint = F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(w)), n) for n, ws in DOMAIN_WORDS.items() for w in ws], F.lit("unknown"))
+    return configs.withColumns({"task_id": task, "domain": F.when(named.isNotNull(), domain_name(named)).otherwise(hint), "config_file": F.coalesce("config_file", "_file")})
+
 
+def write_task_order(tasks: DataFrame, domains: list[str], path: str) -> DataFrame:
+    """``materialized_order`` of the tasks of ``domains`` as JSON lines below ``path``/order, with counts in ``path``/counts; returns the counts."""
+    rows = materialized_order(tasks.where(F.col("domain").isin(*domains)), domains)
+    rows.orderBy("domain_rank", "order_index").drop("domain_rank").write.mode("overwrite").json(f"{path}/order")
+    counts = rows.groupBy("domain").agg(F.count("*").alias("tasks"))
+    counts.coalesce(1).write.mode("overwrite").json(f"{path}/counts")
+    return tasks.sparkSession.read.schema("domain string, tasks long").json(f"{path}/counts")
 
-def write_splits(df: DataFrame, split: Column, path: str) -> None:
-    """Records partitioned by split."""
-    df.withColumn("split", split).write.mode("overwrite").partitionBy("split").json(path)
+
+def memory_file_errors(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, error of every line of memory files that is no record of its form; blank lines are skipped.
+
+    A file is read whole, so that its lines can be numbered.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
+    rows = files.where(F.trim("text") != "").withColumn("r", F.from_json("text", T._parse_datatype_string(MEMORY).add("_bad", "string"), {"columnNameOfCorruptRecord": "_bad"}))
+    where = F.concat_ws(":", "file", (F.col("at") + 1).cast("string"))
+    bad = rows.where(F.col("r._bad").isNotNull()).select(F.col("file"), (F.col("at") + 1).alias("line"), F.lit("no JSON of this form").alias("error"))
+    good = rows.where(F.col("r._bad").isNull()).select("r.*", where.alias("_at")).drop("_bad")
+    found = memory_errors(good, "_at")
+    place = F.regexp_extract("record", r"^(.*):(\d+)$", 1), F.regexp_extract("record", r":(\d+)$", 1).cast("int")
+    return bad.unionByName(found.select(place[0].alias("file"), place[1].alias("line"), "error"))
+
+
+def write_results(steps: DataFrame, tasks: DataFrame, path: str) -> None:
+    """Predictions of steps, results of tasks and their metrics, each below ``path``."""
+    steps.write.mode("overwrite").json(f"{path}/predictions")
+    tasks.write.mode("overwrite").json(f"{path}/task_results")
+    run_metrics(tasks).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
 
 
 def prompt_key(model: Column, name: Column, form: Column, prompt: Column) -> Column:
@@ -207,3 +271,19 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     """(answered requests, misses) by ``key``; of several answers under a key the last ``written`` counts."""
     last = cache.groupBy("key").agg(F.max_by("answer", "written").alias("answer"))
     return requests.join(last, "key"), requests.join(last, "key", "left_anti")
+
+
+def answered(requests: DataFrame, cache: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``requests`` with answers, answers to add to the cache): cached ones first, the rest from ``model``.
+
+    ``model`` takes the requests missed and returns key, answer and written,
+    such as a ``mapInPandas`` that calls a model batch by batch.  Without one
+    the run is a replay, and a miss is an error.
+    """
+    hits, misses = cache_lookup(requests, cache)
+    if model is None:
+        if lost := misses.limit(1).collect():
+            raise LookupError(f"no cached answer for {lost[0]['key']}")
+        return hits, cache.limit(0)
+    new = cut(model(misses))
+    return hits.unionByName(misses.join(new.select("key", "answer"), "key")), new
