@@ -304,7 +304,7 @@ def test_rates_are_tilted_by_size_and_meet_the_dual(spark):
                 hi = mid
         assert min(r["lam"], 1e3) == pytest.approx(hi, abs=0.03) or r["want"] == pytest.approx(r["cap"] * r["have"])
     got = mixing.copies(df, mixing.rates(df, targets)).collect()
-    tilt = {r["n_tokens"]: r["rate"] for r in got if r["source"] == "b"}
+    tilt = {r["n_tokens"]: r["rate"] for r in got if r["source"] == "a"}
     assert len(set(tilt.values())) > 5 and max(r["copies"] for r in got) <= 4
     for s, r in solved.items():
         assert sum(g["copies"] * g["n_tokens"] for g in got if g["source"] == s) == pytest.approx(r["want"], rel=0.01)

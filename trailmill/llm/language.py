@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 BITS = 24
 BUCKETS = 1 << 16
@@ -310,7 +310,7 @@ def segmented(docs: DataFrame, model: Model) -> DataFrame:
                     k += n
                 yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "segments": out})
 
-    return docs.select("doc_id", "label", "text").mapInPandas(run, f"doc_id long, label string, segments {SEGMENT}")
+    return spread(docs.select("doc_id", "label", "text")).mapInPandas(run, f"doc_id long, label string, segments {SEGMENT}")
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:

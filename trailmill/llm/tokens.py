@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 TOKENIZERS = "/opt/tokenizers"
 LEAF = 8192  # characters; longer texts are halved
@@ -145,7 +145,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZERS, leaf: int = LEAF, count_onl
                     made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], made], [*keep, out])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, {out} {'int' if count_only else 'array<int>'}")
+    return spread(docs.select(*keep, "text")).mapInArrow(run, f"{schema}, {out} {'int' if count_only else 'array<int>'}")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
