@@ -98,9 +98,11 @@ def evidence_tokens(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
-    """Shared part of the union of two sets; empty on one side gives 0, on both ``both_empty``."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Shared part of the union of two arrays without repeats; empty on one side gives 0, on both ``both_empty``."""
+    n = F.size(a) + F.size(b)
+    # the intersection is named once, as it is the dear part
+    share = F.get(F.transform(F.array(F.size(F.array_intersect(a, b))), lambda i: i / (n - i)), F.lit(0))
+    return F.when(n == 0, F.lit(both_empty)).otherwise(share)
 
 
 def set_cosine(a: Column, b: Column) -> Column:

@@ -199,20 +199,24 @@ def descriptor_pairs(reps: DataFrame, block: list[str]) -> DataFrame:
     """
     names = [n for n in SIMILARITY_WEIGHTS if n != "role"]
     bit = {n: 1 << i for i, n in enumerate([*names, "role"])}
+    pattern = sum((F.when(filled(F.col(n)), b).otherwise(0) for n, b in list(bit.items())[1:]), F.when(filled(F.col(names[0])), bit[names[0]]).otherwise(0))
+    reps = reps.withColumn("pattern", pattern)
+    # the patterns of a block, at most 2^8; a descriptor alone in its block has no partner
+    patterns = reps.groupBy(*block).agg(F.collect_set("pattern").alias("patterns"), F.count("*").alias("size")).where(F.col("size") > 1).drop("size")
+    reps = cut(reps.join(patterns, block))
+    meets = lambda mask: F.exists("patterns", lambda q: F.col("pattern").bitwiseAND(q) == mask)
+    none = F.array().cast("array<string>")
     fields = F.array(
         *[F.struct(F.lit(n).alias("f"), F.lit(0.8).alias("least"), X.word_tokens(F.col(n)).alias("t")) for n in names],
-        F.struct(F.lit("whole").alias("f"), F.lit(ACTION_SIMILARITY).alias("least"), X.word_tokens(F.col("whole")).alias("t")),
-        F.struct(F.lit("role").alias("f"), F.lit(1.0).alias("least"), F.array(X.normal_key(F.col("role"))).alias("t")),
+        F.struct(F.lit("whole").alias("f"), F.lit(ACTION_SIMILARITY).alias("least"), F.when(meets(0), X.word_tokens(F.col("whole"))).otherwise(none).alias("t")),
+        F.struct(F.lit("role").alias("f"), F.lit(1.0).alias("least"), F.when(meets(bit["role"]), F.array(X.normal_key(F.col("role")))).otherwise(none).alias("t")),
     )
-    pattern = sum((F.when(filled(F.col(n)), b).otherwise(0) for n, b in list(bit.items())[1:]), F.when(filled(F.col(names[0])), bit[names[0]]).otherwise(0))
-    rows = reps.select("id", *block, pattern.alias("pattern"), F.explode(fields).alias("x")).select("id", *block, "pattern", "x.f", "x.least", F.size("x.t").alias("n"), F.explode("x.t").alias("t"))
+    rows = reps.select("id", *block, "pattern", F.explode(fields).alias("x")).select("id", *block, "pattern", "x.f", "x.least", F.size("x.t").alias("n"), F.explode("x.t").alias("t"))
     df = rows.groupBy(*block, "f", "t").agg(F.count("*").alias("df"))
     ranked = rows.join(df, [*block, "f", "t"]).groupBy("id", *block, "pattern", "f", "n", "least").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("g"))
     prefix = F.slice("g", 1, F.col("n") - F.ceil(F.col("n") * F.col("least") - 1e-9).cast("int") + 1)
     ranked = cut(ranked.select("id", *block, "pattern", "f", prefix.alias("g")))
     index = ranked.select(*block, "pattern", "f", F.explode("g.t").alias("t"), F.col("id").alias("id_b"))
-    # the patterns of a block, at most 2^8
-    patterns = ranked.groupBy(*block).agg(F.collect_set("pattern").alias("patterns"))
     weight = F.create_map(*[F.lit(v) for n, w in SIMILARITY_WEIGHTS.items() for v in (n, w)])
     bits = F.create_map(*[F.lit(v) for n, b in bit.items() for v in (n, b)])
     cost = F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x["df"])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as X
-from ..session import cut, table
+from ..session import cut, spread, table
 from . import memory
 
 PART_ROWS, QUERY_BLOCK = 20_000, 10_000
@@ -287,7 +287,7 @@ def query_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("allow"), X.token_set(F.col("text")).alias("tokens"))
 
 
