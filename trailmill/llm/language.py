@@ -310,14 +310,14 @@ def segmented(docs: DataFrame, model: Model) -> DataFrame:
                     k += n
                 yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "segments": out})
 
-    return spread(docs.select("doc_id", "label", "text")).mapInPandas(run, f"doc_id long, label string, segments {SEGMENT}")
+    return docs.select("doc_id", "label", "text").mapInPandas(run, f"doc_id long, label string, segments {SEGMENT}")
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "lang_labels")
     model = trained(docs, labels)
-    labelled = label_code(docs, labels)
+    labelled = label_code(spread(docs), labels)
     if model is None:
         return labelled.select("doc_id", "label", F.lit(None).cast(SEGMENT).alias("segments"))
     return segmented(labelled, model)
