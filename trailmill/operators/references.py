@@ -6,7 +6,7 @@ child is an orphan if the running sum of existence of its key is zero at that
 time.
 
 The running sum is taken in two levels so that a hot key is not one task: sums
-by key and day run over the days of a key, and within a day over its deltas.
+by key and hour run over the hours of a key, and within an hour over its deltas.
 ``apply_deltas`` keeps the same counts as a stored state, a batch of changes at
 a time; keys with positive references and zero existence are the current
 orphans.
@@ -59,22 +59,22 @@ def first_children(children: DataFrame, child_id: str, reference: str) -> DataFr
 def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Of ``children`` (child_id, key, at) those whose key does not stand at ``at``, with ``reason``.
 
-    ``parents``: parent_deltas.  Two shuffles: of all deltas by key and day,
+    ``parents``: parent_deltas.  Two shuffles: of all deltas by key and hour,
     and of the sums by key.
     """
-    day = F.to_date("at").alias("day")
+    hour = F.date_trunc("hour", "at").alias("hour")
     none = F.lit(None)
-    refs = children.select("key", day, "at", F.lit(0).alias("exists"), none.cast("timestamp_ntz").alias("first"), "child_id")
-    exist = parents.select("key", day, "at", "exists", "first", none.cast("string").alias("child_id"))
+    refs = children.select("key", hour, "at", F.lit(0).alias("exists"), none.cast("timestamp_ntz").alias("first"), "child_id")
+    exist = parents.select("key", hour, "at", "exists", "first", none.cast("string").alias("child_id"))
     events = refs.unionByName(exist)
-    sums = events.groupBy("key", "day").agg(F.sum("exists").alias("s"), F.min("first").alias("first"), F.max(F.col("child_id").isNotNull()).alias("asked"))
-    days = W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("key", "day", "asked", F.coalesce(F.sum("s").over(days), F.lit(0)).alias("before"), F.min("first").over(W.partitionBy("key")).alias("first_ever"))
+    sums = events.groupBy("key", "hour").agg(F.sum("exists").alias("s"), F.min("first").alias("first"), F.max(F.col("child_id").isNotNull()).alias("asked"))
+    hours = W.partitionBy("key").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("key", "hour", "asked", F.coalesce(F.sum("s").over(hours), F.lit(0)).alias("before"), F.min("first").over(W.partitionBy("key")).alias("first_ever"))
     sums = sums.where("asked").drop("asked")
-    within = W.partitionBy("key", "day").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("key", "hour").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
     running = events.withColumn("since", F.sum("exists").over(within)).where(F.col("child_id").isNotNull())
-    # stands at the time: existence before the day plus that of the day up to and with the time
-    out = running.drop("first").join(sums, ["key", "day"]).where(F.col("before") + F.col("since") <= 0)
+    # stands at the time: existence before the hour plus that of the hour up to and with the time
+    out = running.drop("first").join(sums, ["key", "hour"]).where(F.col("before") + F.col("since") <= 0)
     reason = F.when(F.col("first_ever").isNull(), "missing").when(F.col("first_ever") > F.col("at"), "late").otherwise("deleted")
     return out.select("child_id", "key", "at", reason.alias("reason"))
 

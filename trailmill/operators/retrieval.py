@@ -298,9 +298,9 @@ def intents_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return lexical_topk(q, i, k)
 
 
-def stages_topk(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
-    """Stages below the top intents of a query, scored, re-scored on the query's text, best ``k``."""
-    hits = cut(intents_topk(spark, sf_dir))
+def stages_topk(spark: SparkSession, sf_dir: str, k: int = 8, intents: int = 5) -> DataFrame:
+    """Stages below the top ``intents`` of a query, scored, re-scored on the query's text, best ``k``."""
+    hits = cut(intents_topk(spark, sf_dir, intents))
     q = query_tasks(spark, sf_dir)
     s = memory.live(spark, sf_dir, "stages").select("stage_id", F.col("parent_intent_id").alias("id"), "pre_conditions", "post_conditions", memory.stage_text().alias("stage"))
     rows = hits.select("query_id", "id").join(s, "id").join(q, "query_id")
@@ -345,3 +345,27 @@ def all_actions_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     q = query_tasks(spark, sf_dir).select("query_id", X.token_set(F.col("text")).alias("tokens"))
     a = memory.live(spark, sf_dir, "actions").select(F.col("action_id").alias("id"), X.token_set(memory.action_text()).alias("tokens"))
     return lexical_topk(q, a, k)
+
+
+def workflows_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """Baseline: top workflows of every query task by the text of goal and steps, without the hierarchy."""
+    q = query_tasks(spark, sf_dir).select("query_id", X.token_set(F.col("text")).alias("tokens"))
+    w = memory.flatten_tree(spark, sf_dir).select(F.col("workflow_id").alias("id"), X.token_set(F.concat_ws(" ", X.blank(F.col("instruction")), "steps")).alias("tokens"))
+    return lexical_topk(q, w, k)
+
+
+def selected(first: DataFrame, expanded: DataFrame, key: str = "query_id") -> DataFrame:
+    """``key``, id, confidence and source of ``gate``d hits: the first unless it is of low confidence, then the expanded one, else none (the base policy decides).
+
+    A key in neither has no row; one with low confidence in both has a null id.
+    """
+    of = lambda df, n: df.select(key, F.when(~F.col("low_confidence"), F.col("id")).alias(f"id_{n}"), F.col("confidence").alias(f"c_{n}"))
+    x = of(first, "first").join(of(expanded, "more"), key, "full")
+    source = F.when(F.col("id_first").isNotNull(), "first").when(F.col("id_more").isNotNull(), "expanded").otherwise("base_policy")
+    confidence = F.when(F.col("id_first").isNotNull(), F.col("c_first")).when(F.col("id_more").isNotNull(), F.col("c_more")).otherwise(0.0)
+    return x.select(key, F.coalesce("id_first", "id_more").alias("id"), F.round(confidence, 6).alias("confidence"), source.alias("source"))
+
+
+def confident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage of every query task below its top 5 intents, if that is of low confidence below its top 10, else left to the base policy."""
+    return selected(gate(stages_topk(spark, sf_dir), ["query_id"]), gate(stages_topk(spark, sf_dir, intents=10), ["query_id"]))

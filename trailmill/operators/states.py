@@ -115,3 +115,10 @@ def observations(steps: DataFrame) -> DataFrame:
     text = F.coalesce(get("$.observation.text"), plain)
     n = F.size(F.coalesce(_variant("step", "$.observation.candidates", "array<variant>"), F.array().cast("array<variant>")))
     return steps.select("task_id", "pos", X.clean(text, 4000).alias("text"), X.blank(get("$.observation.url")).alias("url"), n.alias("candidates"))
+
+
+def json_span(text: Column) -> Column:
+    """The part of a text from its first ``{`` to its last ``}``, in which an answer in prose holds its object; null without one."""
+    t = X.blank(text)
+    start, end = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+    return F.when((start > 0) & F.contains(t, F.lit("}")) & (end > start), F.substring(t, start, end - start + 1))

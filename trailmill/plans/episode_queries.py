@@ -152,6 +152,32 @@ def _ground_memory(s, d):  # noqa: ANN001, ANN202
     return G.grounded(steps.join(a, "task_id"), page).join(chosen, "task_id").select("task_id", "pos", "action_id", "element_id", "total", "matched", "confidence", "argument")
 
 
+def _predicted(s, d):  # noqa: ANN001, ANN202
+    """What the agent would do on the first page of each query task: the grounded action, or a stop with the reason."""
+    from ..operators import retrieval
+
+    chosen = retrieval.hierarchical(s, d).select(F.col("query_id").alias("task_id"), "stage_id", "stage_decision", "action_id", F.lower(X.blank(F.col("operation"))).alias("op"))
+    g = _ground_memory(s, d).drop("action_id")
+    first = g.groupBy("task_id").agg(F.min_by(F.struct(*[c for c in g.columns if c != "task_id"]), "pos").alias("g")).select("task_id", "g.*")
+    x = chosen.join(first, "task_id", "left")
+    acts = F.col("element_id").isNotNull()
+    reason = (
+        F.when(F.col("action_id").isNull(), "no action hits").when(F.col("op") == "stop", "stored action is stop").when(F.col("total").isNull(), "no candidate elements available")
+        .when(acts, "selected candidate with highest semantic grounding score").otherwise("best candidate below grounding confidence threshold")
+    )
+    return x.select("task_id", "stage_id", "action_id", F.when(acts, F.col("op")).otherwise("stop").alias("operation"), "element_id", F.when(acts, F.col("argument")).alias("argument"), F.when(acts, F.col("confidence")).otherwise(0.0).alias("confidence"), reason.alias("reason"))
+
+
+def _predicted_sql() -> str:
+    from .retrieval_queries import oracle_sql as retrieval_sql
+
+    return f"""with h as (select query_id as task_id, stage_id, action_id, lower(coalesce(operation, '')) as op from ({retrieval_sql()['hierarchical_retrieval']})),
+      g as (select * from (select *, row_number() over (partition by task_id order by pos) as rn from ({_ground_memory_sql()})) where rn = 1)
+      select h.task_id, stage_id, h.action_id, case when element_id is not null then op else 'stop' end as operation, element_id, case when element_id is not null then argument end as argument,
+        case when element_id is not null then confidence else 0.0 end as confidence, case when h.action_id is null then 'no action hits' when op = 'stop' then 'stored action is stop' when total is null then 'no candidate elements available'
+        when element_id is not null then 'selected candidate with highest semantic grounding score' else 'best candidate below grounding confidence threshold' end as reason from h left join g on g.task_id = h.task_id"""
+
+
 def _snapshot_ctes() -> str:
     el = lambda c: f"coalesce(nullif({c}.backend_node_id, ''), nullif({c}.node_id, ''), {', '.join(f'''nullif({c}.attributes['{k}'], '')''' for k in G.ATTRIBUTE_ID_KEYS)})"
     has = lambda k: f"coalesce(map_contains(c.attributes, '{k}'), false)"
@@ -316,6 +342,7 @@ def queries() -> dict:
         "ground_best_element": _ground,
         "ground_breakdown": lambda s, d: G.breakdown(_patterns(s, d), _page(s, d)),
         "ground_memory_actions": _ground_memory,
+        "agent_predictions": _predicted,
         "salience_topk": lambda s, d: G.salient(G.elements(E.steps(s, d)), E.live_tasks(s, d).select("task_id", X.blank(F.col("instruction")).alias("query"))),
         "serialize_actions": lambda s, d: (lambda st: st.select("task_id", "pos", *[c.alias(n) for n, c in G.serialized(F.col("operation"), G.element_id(F.get("pos_candidates", F.lit(0))), F.col("argument")).items()]))(E.steps(s, d)),
         "url_category": lambda s, d: E.steps(s, d).select("task_id", "pos", F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")).alias("host"), F.lower(F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit(""))).alias("path"), "url").select("task_id", "pos", "host", F.when(F.coalesce(F.length("url"), F.lit(0)) == 0, "unknown").otherwise(F.expr(D.case("path", {**D.URL_CATEGORIES}, ""))).alias("c"), "path").select("task_id", "pos", "host", F.when(F.col("c") != "", F.col("c")).when(F.col("path").isin("", "/"), "home").otherwise("detail_or_form").alias("category")),
@@ -391,6 +418,7 @@ def oracle_sql() -> dict[str, str]:
             round(case when len(more) > 0 then list_sum(more) / len(more) else 0.0 end, 6) as disambiguators, round(against, 6) as negative, round(state, 6) as state, round(least(0.04, salience / 100.0) + greatest(0.0, 0.03 - rank * 0.001), 6) as tie, matched,
             list_filter([case when op_score = 0 then 'operation/role mismatch' end, case when state > 0 then 'candidate appears disabled or hidden' end, case when against > 0 then 'negative constraint matched' end], lambda z: z is not null) as rejected from x4 where rn <= 12"""),
         "ground_memory_actions": _ground_memory_sql(),
+        "agent_predictions": _predicted_sql(),
         "serialize_actions": f"""with {STEPS}, x as (select *, pos_candidates[1] as c, lower(operation) as o, coalesce(argument, '') as a from st), y as (select *, {eid} as e from x), z as (select *, coalesce(length(e) > 0, false) as has from y)
           select task_id, pos, case when o = 'click' and has then 'click [' || e || ']' when {typed} and has then 'type [' || e || '] [' || a || ']' when o = 'select' and has then 'select [' || e || '] [' || a || ']'
             when o = 'hover' and has then 'hover [' || e || ']' when o = 'press' then 'press [' || case when a = '' then 'ENTER' else a end || ']' when o = 'scroll' then 'scroll [' || case when a = '' then 'down' else a end || ']' else 'stop' end as brackets,

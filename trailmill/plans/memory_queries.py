@@ -34,6 +34,12 @@ union all select 'stage', stage_id, parent_intent_id, {STAGE_TEXT} from {live('s
 union all select 'action', action_id, parent_stage_id, {ACTION_TEXT} from {live('actions')}"""
 
 
+FLAT = f"""with x as (select s.parent_intent_id as intent_id, count(*) as n,
+              string_agg(concat_ws('|', coalesce(s.name, ''), coalesce(a.operation, ''), coalesce(a.argument_template, '')), '; '
+                order by coalesce(s.span[1], 0), s.stage_id, coalesce(a.source.step_index, 0), a.action_id) as steps
+            from {live('stages')} s join {live('actions')} a on a.parent_stage_id = s.stage_id group by 1)
+            select 'workflow_' || i.intent_id as workflow_id, canonical_intent as instruction, coalesce(n, 0)::int as n_steps, coalesce(steps, '') as steps
+            from {live('intents')} i left join x on x.intent_id = i.intent_id"""
 _WORKFLOWS = f"""w as (select 'workflow_' || s.parent_intent_id as workflow_id, row_number() over (partition by s.parent_intent_id order by coalesce(s.span[1], 0), s.stage_id, coalesce(a.source.step_index, 0), a.action_id) - 1 as place,
   s.stage_id, s.name as stage, a.action_id, a.operation, a.argument_template from {live('stages')} s join {live('actions')} a on a.parent_stage_id = s.stage_id where s.parent_intent_id in (select intent_id from {live('intents')}))"""
 
@@ -59,12 +65,7 @@ def oracle_sql() -> dict[str, str]:
         "tree_descent": f"""select s.parent_intent_id as intent_id, count(*) as stages, sum(coalesce(n, 0))::bigint as actions
             from {live('stages')} s left join (select parent_stage_id, count(*) as n from {live('actions')} group by 1) a on a.parent_stage_id = s.stage_id
             where s.parent_intent_id in (select intent_id from {live('intents')}) group by 1""",
-        "tree_flatten": f"""with x as (select s.parent_intent_id as intent_id, count(*) as n,
-              string_agg(concat_ws('|', coalesce(s.name, ''), coalesce(a.operation, ''), coalesce(a.argument_template, '')), '; '
-                order by coalesce(s.span[1], 0), s.stage_id, coalesce(a.source.step_index, 0), a.action_id) as steps
-            from {live('stages')} s join {live('actions')} a on a.parent_stage_id = s.stage_id group by 1)
-            select 'workflow_' || i.intent_id as workflow_id, canonical_intent as instruction, coalesce(n, 0)::int as n_steps, coalesce(steps, '') as steps
-            from {live('intents')} i left join x on x.intent_id = i.intent_id""",
+        "tree_flatten": FLAT,
         "workflow_steps": f"with {_WORKFLOWS} select * from w",
         "workflow_stages": f"""with {_WORKFLOWS} select workflow_id, stage_id, any_value(stage) as name, min(place) as start, max(place) as "end" from w group by 1, 2""",
         "cascade_delete": f"""with s as (select stage_id from {live('stages')} where parent_intent_id in (select intent_id from {live('intents')}))

@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import memory, retrieval
 from ..session import table
 from . import sqltext as S
-from .memory_queries import ACTION_TEXT, INTENT_TEXT, STAGE_TEXT, live
+from .memory_queries import ACTION_TEXT, FLAT, INTENT_TEXT, STAGE_TEXT, live
 
 TASKS = """(select task_id as query_id, coalesce(instruction, '') as text from (select *, row_number() over (partition by task_id
     order by loaded_at desc nulls last, instruction desc nulls last) as rn from tasks where task_id is not null)
@@ -61,6 +61,7 @@ _PHASE = f"""q0 as materialized (select query_id, {S.token_set('text')} as t fro
   d as (select query_id, id, case when len(q.t) * len(i.t) = 0 then 0.0 else list_cosine_similarity(q.v, i.v) end as dense, {S.jaccard('q.t', 'i.t')} as lex, {S.jaccard('q.t', 'i.t', 1.0)} as over from q, i),
   f as materialized (select * from (select query_id, id, round({{first}}, 9) as score, lex, over, row_number() over (partition by query_id order by round({{first}}, 9) desc, id) as rn from d) where rn <= 20),
   r as (select query_id, id, score, round(lex, 9) as lexical, round(over, 9) as rerank from f)"""
+_GATED = f"with {_HIER} select query_id, id, score, (score < 0.15 or margin < 0.1) as low from ch"
 _COS = "list_cosine_similarity({a}::double[], {b}::double[])"
 
 
@@ -103,6 +104,8 @@ def queries() -> dict:
         "low_confidence_gate": lambda s, d: retrieval.gate(retrieval.stages_topk(s, d), ["query_id"]).select("query_id", "id", "margin", "low_confidence"),
         "hierarchical_retrieval": retrieval.hierarchical,
         "flat_retrieval": flat,
+        "workflow_topk": retrieval.workflows_topk,
+        "confident_stage": retrieval.confident,
     }
 
 
@@ -144,6 +147,13 @@ def oracle_sql() -> dict[str, str]:
         "low_confidence_gate": f"with {_HIER} select query_id, id, margin, (score < 0.15 or margin < 0.1) as low_confidence from ch",
         "hierarchical_retrieval": f"""with {_HIER} select query_id, id as stage_id, decision as stage_decision, round(greatest(0.0, least(1.0, score)), 6) as confidence,
             (score < 0.15 or margin < 0.1) as low_confidence, action_id, operation from f where rn = 1""",
+        "workflow_topk": f"""with q as materialized (select query_id, {S.token_set('text')} as tokens from {TASKS}),
+            n as materialized (select workflow_id as id, {S.token_set("concat_ws(' ', coalesce(instruction, ''), steps)")} as tokens from ({FLAT}))
+          select * from (select query_id, id, round({S.set_cosine('q.tokens', 'n.tokens')}, 9) as score,
+            row_number() over (partition by query_id order by round({S.set_cosine('q.tokens', 'n.tokens')}, 9) desc, id) as rank from q, n) where rank <= 5""",
+        "confident_stage": f"""with a as ({_GATED}), b as ({_GATED.replace('where rank <= 5)', 'where rank <= 10)', 1)}), j as (select coalesce(a.query_id, b.query_id) as query_id, a.id as ia, b.id as ib, a.score as sa, b.score as sb, a.low as la, b.low as lb from a full join b on b.query_id = a.query_id)
+          select query_id, case when not la then ia when not lb then ib end as id, round(case when not la then greatest(0.0, least(1.0, sa)) when not lb then greatest(0.0, least(1.0, sb)) else 0.0 end, 6) as confidence,
+            case when not la then 'first' when not lb then 'expanded' else 'base_policy' end as source from j""",
         "flat_retrieval": f"""with q as materialized (select query_id, {S.token_set('text')} as tokens from {TASKS}),
             n as materialized (select record_type || ':' || node_id as id, {S.token_set('text')} as tokens from ({NODES}))
           select * from (select query_id, id, round({S.set_cosine('q.tokens', 'n.tokens')}, 9) as score,

@@ -13,7 +13,7 @@ from ..operators import states as St
 from ..session import table
 from . import records
 from . import sqltext as S
-from .episode_queries import STEPS, described_ctes
+from .episode_queries import STEPS, TASKS, described_ctes
 
 # the steps of traces as JSON, from the SQL of p5_found
 _TRACES = records.P5[records.P5.index("j as (") : records.P5.index("\nn as (")].rstrip().rstrip(",").replace("select task_id, ", "select task_id, loaded_at, ")
@@ -37,6 +37,8 @@ def queries() -> dict:
         "shape_candidates": lambda s, d: St.shaped(E.steps(s, d)),
         "step_texts": lambda s, d: St.step_texts(C.described_steps(E.steps(s, d))),
         "abstract_states": lambda s, d: (lambda st: St.abstract_states(st, St.shaped(st)))(E.steps(s, d)),
+        "json_spans": lambda s, d: table(s, d, "documents").select("doc_id", St.json_span(F.col("text")).alias("span")).where("span is not null"),
+        "tasks_with_steps": lambda s, d: E.live_tasks(s, d).select("task_id", F.size(F.coalesce("steps", F.array())).alias("n_steps")).where("n_steps > 0"),
         "trace_observations": lambda s, d: St.observations(_trace_steps(s, d)),
     }
 
@@ -82,6 +84,8 @@ def oracle_sql() -> dict[str, str]:
             x as (select st.task_id, st.pos, coalesce(url, '') as url, coalesce(interactive, 0) as interactive, coalesce(ed, false) as has_editable_field, coalesce(cl, false) as has_clickable_control, lines,
               lower(concat_ws(' ', coalesce(url, ''), coalesce(texts, ''))) as t from st left join g on g.task_id = st.task_id and g.pos = st.pos)
             select task_id, pos, interactive, has_editable_field, has_clickable_control, {evidence}, concat_ws(chr(10), 'url: ' || url, lines) as summary from x""",
+        "json_spans": """select doc_id, substr(text, s, e - s + 1) as span from (select doc_id, text, instr(text, '{') as s, length(text) - instr(reverse(text), '}') + 1 as e from documents where contains(text, '}')) where s > 0 and e > s""",
+        "tasks_with_steps": f"select task_id, len(steps)::int as n_steps from {TASKS} where len(steps) > 0",
         "trace_observations": f"""with {_TRACES} select task_id, pos::int as pos, substring({S.collapse("coalesce(st->>'$.observation.text', case when json_type(st->'$.observation') <> 'OBJECT' then st->>'$.observation' end)")}, 1, 4000) as text,
             coalesce(st->>'$.observation.url', '') as url, coalesce(json_array_length(st->'$.observation.candidates'), 0)::int as candidates from l""",
         "resolve_actions": f"""with {_TRACES}, r as (select task_id, loaded_at, pos::int as pos, coalesce(st->>'$.operation', st->>'$.action', '') as op, st->>'$.argument' as argument, coalesce({ids}) as target,

@@ -58,6 +58,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it has fewer partitions than there are (a small file is one): for work that costs more than a shuffle of its rows."""
+    """``df``, a scan, over all cores where it has fewer partitions than there are (a small file is one): for work that costs more than a shuffle of its rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
