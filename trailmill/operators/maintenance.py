@@ -181,7 +181,7 @@ def near_dup_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = list(SIMILARITY_WEIGHTS)
     a = memory.live(spark, sf_dir, "actions").where(F.col("parent_stage_id").isNotNull())
     a = a.select("action_id", "parent_stage_id", X.blank(F.col("operation")).alias("operation"), *[F.col(f"semantic_description.{n}").alias(n) for n in names], memory.descriptor_text().alias("whole"))
-    reps = cut(a.groupBy("parent_stage_id", "operation", "whole", *names).agg(F.min("action_id").alias("id")))
+    reps = a.groupBy("parent_stage_id", "operation", "whole", *names).agg(F.min("action_id").alias("id"))
     return descriptor_pairs(reps, ["parent_stage_id", "operation"])
 
 
@@ -197,47 +197,43 @@ def descriptor_pairs(reps: DataFrame, block: list[str]) -> DataFrame:
     are alike to 0.8 share.  Patterns with only the role in common meet by equal roles, patterns
     with nothing in common by the whole text.
     """
-    names = [n for n in SIMILARITY_WEIGHTS if n != "role"]
-    bit = {n: 1 << i for i, n in enumerate([*names, "role"])}
-    pattern = sum((F.when(filled(F.col(n)), b).otherwise(0) for n, b in list(bit.items())[1:]), F.when(filled(F.col(names[0])), bit[names[0]]).otherwise(0))
-    reps = reps.withColumn("pattern", pattern)
+    names = [*[n for n in SIMILARITY_WEIGHTS if n != "role"], "role"]
+    role, whole = len(names) - 1, len(names)
+    least = lambda f: F.when(f == whole, ACTION_SIMILARITY).when(f == role, 1.0).otherwise(0.8)
+    total = lambda xs: sum(xs[1:], xs[0])
+    reps = reps.withColumns({"pattern": total([F.when(filled(F.col(n)), 1 << i).otherwise(0) for i, n in enumerate(names)]), "_b": F.xxhash64(*block)})
     # the patterns of a block, at most 2^8; a descriptor alone in its block has no partner
-    patterns = reps.groupBy(*block).agg(F.collect_set("pattern").alias("patterns"), F.count("*").alias("size")).where(F.col("size") > 1).drop("size")
-    reps = cut(reps.join(patterns, block))
+    patterns = reps.groupBy("_b").agg(F.collect_set("pattern").alias("patterns"), F.count("*").alias("size")).where(F.col("size") > 1).drop("size")
+    reps = cut(reps.join(patterns, "_b"))
     meets = lambda mask: F.exists("patterns", lambda q: F.col("pattern").bitwiseAND(q) == mask)
     none = F.array().cast("array<string>")
-    fields = F.array(
-        *[F.struct(F.lit(n).alias("f"), F.lit(0.8).alias("least"), X.word_tokens(F.col(n)).alias("t")) for n in names],
-        F.struct(F.lit("whole").alias("f"), F.lit(ACTION_SIMILARITY).alias("least"), F.when(meets(0), X.word_tokens(F.col("whole"))).otherwise(none).alias("t")),
-        F.struct(F.lit("role").alias("f"), F.lit(1.0).alias("least"), F.when(meets(bit["role"]), F.array(X.normal_key(F.col("role")))).otherwise(none).alias("t")),
-    )
-    rows = reps.select("id", *block, "pattern", F.explode(fields).alias("x")).select("id", *block, "pattern", "x.f", "x.least", F.size("x.t").alias("n"), F.explode("x.t").alias("t"))
-    df = rows.groupBy(*block, "f", "t").agg(F.count("*").alias("df"))
-    ranked = rows.join(df, [*block, "f", "t"]).groupBy("id", *block, "pattern", "f", "n", "least").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("g"))
-    prefix = F.slice("g", 1, F.col("n") - F.ceil(F.col("n") * F.col("least") - 1e-9).cast("int") + 1)
-    ranked = cut(ranked.select("id", *block, "pattern", "f", prefix.alias("g")))
-    index = ranked.select(*block, "pattern", "f", F.explode("g.t").alias("t"), F.col("id").alias("id_b"))
-    weight = F.create_map(*[F.lit(v) for n, w in SIMILARITY_WEIGHTS.items() for v in (n, w)])
-    bits = F.create_map(*[F.lit(v) for n, b in bit.items() for v in (n, b)])
+    # blocks, fields and tokens travel as numbers; what is found is scored on the texts
+    sets = [X.word_tokens(F.col(n)) for n in names[:-1]] + [F.when(meets(1 << role), F.array(X.normal_key(F.col("role")))).otherwise(none), F.when(meets(0), X.word_tokens(F.col("whole"))).otherwise(none)]
+    fields = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("f"), F.transform(t, lambda x: F.xxhash64(x)).alias("t")) for i, t in enumerate(sets)])
+    rows = reps.select("id", "_b", "pattern", F.explode(fields).alias("x")).select("id", "_b", "pattern", "x.f", F.size("x.t").alias("n"), F.explode("x.t").alias("t"))
+    df = rows.groupBy("_b", "f", "t").agg(F.count("*").alias("df"))
+    ranked = rows.join(df, ["_b", "f", "t"]).groupBy("id", "_b", "pattern", "f", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("g"))
+    prefix = F.slice("g", 1, F.col("n") - F.ceil(F.col("n") * least(F.col("f")) - 1e-9).cast("int") + 1)
+    ranked = cut(ranked.select("id", "_b", "pattern", "f", prefix.alias("g")))
+    index = ranked.select("_b", "pattern", "f", F.explode("g.t").alias("t"), F.col("id").alias("id_b"))
+    weight = F.array(*[F.lit(SIMILARITY_WEIGHTS[n]) for n in names])
+    bits = F.array(*[F.lit(1 << i) for i in range(len(names))])
     cost = F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x["df"])
-    mine = ranked.groupBy("id", *block, "pattern").agg(F.sort_array(F.collect_list(F.struct(cost.alias("cost"), "f", "g"))).alias("fields"))
-    mine = mine.join(patterns, block).withColumn("q", F.explode("patterns"))
-    both = F.col("pattern").bitwiseAND(F.col("q"))
-    mass = sum((F.when(both.bitwiseAND(F.lit(b)) > 0, SIMILARITY_WEIGHTS[n]).otherwise(0.0) for n, b in list(bit.items())[1:]), F.when(both.bitwiseAND(F.lit(bit[names[0]])) > 0, SIMILARITY_WEIGHTS[names[0]]).otherwise(0.0))
-    mine = mine.withColumn("both", both).withColumn("mass", mass)
-    usable = F.filter("fields", lambda x: (x["f"] != "whole") & (x["f"] != "role") & (bits[x["f"]].bitwiseAND(F.col("both")) > 0))
-    none = F.struct(F.filter("fields", lambda x: F.lit(False)).alias("take"), F.lit(0.0).alias("w"))
+    mine = ranked.groupBy("id", "_b", "pattern").agg(F.sort_array(F.collect_list(F.struct(cost.alias("cost"), "f", F.col("g.t").alias("t")))).alias("fields"))
+    mine = mine.join(patterns, "_b").withColumn("q", F.explode("patterns")).withColumn("both", F.col("pattern").bitwiseAND(F.col("q")))
+    mine = mine.withColumn("mass", total([F.when(F.col("both").bitwiseAND(F.lit(1 << i)) > 0, SIMILARITY_WEIGHTS[n]).otherwise(0.0) for i, n in enumerate(names)]))
+    mine = mine.withColumn("usable", F.filter("fields", lambda x: (x["f"] < role) & (F.get(bits, x["f"].cast("int")).bitwiseAND(F.col("both")) > 0)))
+    start = F.struct(F.filter("fields", lambda x: F.lit(False)).alias("take"), F.lit(0.0).alias("w"))
     # a field without tokens has no row here and adds no weight, as nothing is alike to it
-    chosen = F.aggregate("usable", none, lambda s, x: F.when(s["w"] >= 0.4 * F.col("mass") - 1e-9, s).otherwise(F.struct(F.array_append(s["take"], x).alias("take"), (s["w"] + weight[x["f"]]).alias("w"))))
-    only = lambda name: F.filter("fields", lambda x: x["f"] == name)
-    take = F.when(F.col("both") == 0, only("whole")).when(F.col("both") == bit["role"], only("role")).otherwise(chosen["take"])
-    probe = mine.withColumn("usable", usable).select("id", *block, F.col("q").alias("pattern"), F.explode(take).alias("x"))
-    probe = probe.select("id", *block, "pattern", "x.f", F.explode("x.g.t").alias("t"))
-    pairs = probe.join(index, [*block, "pattern", "f", "t"]).where(F.col("id") < F.col("id_b")).select(F.col("id").alias("id_a"), "id_b").distinct()
+    chosen = F.aggregate("usable", start, lambda s, x: F.when(s["w"] >= 0.4 * F.col("mass") - 1e-9, s).otherwise(F.struct(F.array_append(s["take"], x).alias("take"), (s["w"] + F.get(weight, x["f"].cast("int"))).alias("w"))))
+    only = lambda i: F.filter("fields", lambda x: x["f"] == i)
+    take = F.when(F.col("both") == 0, only(whole)).when(F.col("both") == 1 << role, only(role)).otherwise(chosen["take"])
+    probe = mine.select("id", "_b", F.col("q").alias("pattern"), F.explode(take).alias("x")).select("id", "_b", "pattern", "x.f", F.explode("x.t").alias("t"))
+    pairs = probe.join(index, ["_b", "pattern", "f", "t"]).where(F.col("id") < F.col("id_b")).select(F.col("id").alias("id_a"), "id_b").distinct()
     every = list(SIMILARITY_WEIGHTS)
-    la = reps.select(F.col("id").alias("id_a"), *[F.col(n).alias(f"a_{n}") for n in every], F.col("whole").alias("a_whole"))
-    lb = reps.select(F.col("id").alias("id_b"), *[F.col(n).alias(f"b_{n}") for n in every], F.col("whole").alias("b_whole"))
-    out = pairs.join(la, "id_a").join(lb, "id_b")
+    la = reps.select(F.col("id").alias("id_a"), *block, *[F.col(n).alias(f"a_{n}") for n in every], F.col("whole").alias("a_whole"))
+    lb = reps.select(F.col("id").alias("id_b"), *block, *[F.col(n).alias(f"b_{n}") for n in every], F.col("whole").alias("b_whole"))
+    out = pairs.join(la, "id_a").join(lb, ["id_b", *block])
     sim = descriptor_similarity(lambda f: F.col(f"a_{f}"), lambda f: F.col(f"b_{f}"), F.col("a_whole"), F.col("b_whole"))
     return out.withColumn("score", F.round(sim, 9)).where(F.col("score") >= ACTION_SIMILARITY).select("id_a", "id_b", "score")
 
